@@ -91,3 +91,12 @@ def band(c, cuts: list[tuple[float, str]], top: str, strict_above: bool = False)
 
 def significance(p, levels: list[tuple[float, str]]) -> Column:
     return band(p, levels, "ns")
+
+
+def round_to(c, digits: int) -> Column:
+    """Round half away from zero on x·10^d (the rounding SQL engines such as
+    DuckDB apply to doubles), so reports round identically across engines."""
+    x = col(c)
+    p = F.lit(float(10 ** digits))
+    v = x * p
+    return (F.when(v >= 0, F.floor(v + F.lit(0.5))).otherwise(F.ceil(v - F.lit(0.5))) / p).cast("double")

@@ -227,8 +227,10 @@ def scenario_encode(df: DataFrame) -> DataFrame:
     def num(c, default):
         return F.coalesce(F.nullif(X.to_double(c), F.lit(0.0)), F.lit(float(default)))
 
+    form = {"speed_limit_text", "precrash_text", "mileage_text", "night_checked", "wet_checked",
+            "roadway_choice", "lighting_choice", "weather_choice", "airbag_checked"}
     return df.select(
-        *[c for c in df.columns if c == "incident_id"],
+        *[c for c in df.columns if c not in form],
         num("speed_limit_text", d["speedLimit"]).alias("speedLimit"),
         num("precrash_text", d["precrashSpeed"]).alias("precrashSpeed"),
         num("mileage_text", d["mileage"]).alias("mileage"),

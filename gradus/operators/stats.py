@@ -60,7 +60,7 @@ def crosstab_share(df: DataFrame, a: str, b: str, labels: list[str], digits: int
 
     def share(x):
         e = F.avg((F.col(b) == F.lit(x)).cast("double"))
-        return (F.round(e, digits) if digits is not None else e).alias(x)
+        return (X.round_to(e, digits) if digits is not None else e).alias(x)
 
     return clean.groupBy(a).agg(*[share(x) for x in labels])
 

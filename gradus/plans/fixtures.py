@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import columns as X
-from ..sources.incidents import incident_view
+from ..operators.features import scenario_encode
+from ..sources.incidents import incident_view, scenario_choices
 
 PROBS = ["p0", "p1", "p2", "p3"]
 
@@ -21,26 +22,42 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incident_view(spark, sf_dir)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model, incident_id, label, p0..p3, prediction) for two fixed scorers."""
-    inc = incidents(spark, sf_dir)
-    label = (F.array_position(F.array(*[F.lit(x) for x in C.SEVERITY_LABELS[:3]]), F.col("severity")))
-    v = inc.select(
-        "incident_id",
+def _weights(inc: DataFrame, keep: list[str]) -> DataFrame:
+    label = F.array_position(F.array(*[F.lit(x) for x in C.SEVERITY_LABELS[:3]]), F.col("severity"))
+    s = F.coalesce(F.col("precrash_speed").try_cast("double"), F.lit(50.0))
+    night = F.when(F.col("incident_time") == "Night", F.lit(0.3)).otherwise(F.lit(0.0))
+    return inc.select(
+        *keep,
         F.when(label > 0, label - 1).otherwise(F.lit(3)).cast("int").alias("label"),
-        F.coalesce(F.col("precrash_speed").try_cast("double"), F.lit(50.0)).alias("s"),
-        F.when(F.col("incident_time") == "Night", F.lit(0.3)).otherwise(F.lit(0.0)).alias("night"))
-    w = v.select("incident_id", "label", F.lit(1.0).alias("w0"), (F.col("s") / 80).alias("w1"),
-                 (F.greatest(F.col("s") - 70, F.lit(0.0)) / 20).alias("w2"),
-                 (F.greatest(F.col("s") - 80, F.lit(0.0)) / 10 + F.col("night")).alias("w3"))
+        F.lit(1.0).alias("w0"), (s / 80).alias("w1"),
+        (F.greatest(s - 70, F.lit(0.0)) / 20).alias("w2"),
+        (F.greatest(s - 80, F.lit(0.0)) / 10 + night).alias("w3"))
+
+
+def _speed_probs() -> list:
     tot = F.col("w0") + F.col("w1") + F.col("w2") + F.col("w3")
-    speed = w.select(F.lit("speed").alias("model"), "incident_id", "label",
-                     *[F.round(F.col(f"w{k}") / tot, 6).alias(f"p{k}") for k in range(4)])
+    return [X.round_to(F.col(f"w{k}") / tot, 6).alias(f"p{k}") for k in range(4)]
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, incident_id, label, p0..p3, prediction) for two fixed scorers."""
+    w = _weights(incidents(spark, sf_dir), ["incident_id"])
+    speed = w.select(F.lit("speed").alias("model"), "incident_id", "label", *_speed_probs())
     tot2 = F.lit(3.0) + F.col("w1") + 2 * F.col("w3")
     night = w.select(F.lit("night").alias("model"), "incident_id", "label",
-                     F.round(F.lit(3.0) / tot2, 6).alias("p0"),
-                     F.round(F.col("w1") / tot2, 6).alias("p1"),
+                     X.round_to(F.lit(3.0) / tot2, 6).alias("p0"),
+                     X.round_to(F.col("w1") / tot2, 6).alias("p1"),
                      F.lit(0.0).alias("p2"),
-                     F.round(2 * F.col("w3") / tot2, 6).alias("p3"))
+                     X.round_to(2 * F.col("w3") / tot2, 6).alias("p3"))
     both = speed.unionByName(night)
     return both.withColumn("prediction", X.first_argmax(X.proba_array(PROBS)))
+
+
+def scored_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario request rows with the speed scorer's p0..p3 (one projection, no join)."""
+    inc = incidents(spark, sf_dir)
+    form = scenario_choices(inc, keep=["severity", "incident_time"])
+    keep = [c for c in form.columns if c not in ("severity", "incident_time")]
+    w = _weights(form.withColumn("precrash_speed", F.col("precrash_text")), keep)
+    with_p = w.select(*keep, *_speed_probs())
+    return scenario_encode(with_p)

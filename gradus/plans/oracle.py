@@ -105,7 +105,7 @@ w AS (
     GREATEST(s - 80, 0e0) / 10 + night AS w3
   FROM v
 ),
-sc AS (
+scr AS (
   SELECT 'speed' AS model, incident_id, label,
     ROUND(w0 / (w0 + w1 + w2 + w3), 6) AS p0,
     ROUND(w1 / (w0 + w1 + w2 + w3), 6) AS p1,
@@ -121,9 +121,9 @@ sc AS (
   FROM w
 ),
 pred AS (
-  SELECT sc.*,
+  SELECT scr.*,
     CASE GREATEST(p0, p1, p2, p3) WHEN p0 THEN 0 WHEN p1 THEN 1 WHEN p2 THEN 2 ELSE 3 END AS prediction
-  FROM sc
+  FROM scr
 )"""
 
 

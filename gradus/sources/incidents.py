@@ -124,10 +124,10 @@ def incident_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scenario_choices(incidents: DataFrame) -> DataFrame:
+def scenario_choices(incidents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Raw scenario-form rows (text fields and choices) derived from incidents."""
     return incidents.select(
-        F.col("incident_id"),
+        F.col("incident_id"), *[F.col(c) for c in (keep or [])],
         F.col("posted_speed_limit").alias("speed_limit_text"),
         F.col("precrash_speed").alias("precrash_text"),
         F.col("mileage").cast("string").alias("mileage_text"),
