@@ -10,12 +10,12 @@ Neighbour search never forms all pairs of a class:
    cut into blocks of ``block`` rows (ranks from the distributed running
    sum);
 2. a grouped ``applyInPandas`` per (class, block) sees its own block plus the
-   two adjacent ones (3·block rows, bounded) and finds each row's k nearest
-   among them with NumPy;
+   w blocks on each side and finds each row's k nearest among them with
+   NumPy (distances are computed inside the task, never emitted as rows);
 3. since |w·x - w·y| <= |x - y|, a row whose k-th distance is within the
-   projection gap to the rows outside its window is certified exact; the rest
-   (rare) are resolved by a range join on the projection: all rows within
-   their k-th distance in projection, no cap, so the result is exact.
+   projection gap to the rows outside its window is settled exactly; the
+   other rows repeat step 2 with a doubled window, until every row is
+   settled — at the latest when the window spans the class.
 
 Random draws are hashes of (class, sample index, seed), so the output does
 not depend on partitioning or retries.
@@ -45,12 +45,20 @@ def _direction(d: int, seed: int) -> np.ndarray:
     return w / np.linalg.norm(w)
 
 
-def knn_within_class(points: DataFrame, k: int = C.SMOTE_K, block: int = 256, seed: int = C.SEED) -> DataFrame:
+def knn_within_class(points: DataFrame, k: int = C.SMOTE_K, block: int = 512, seed: int = C.SEED):
     """Exact k nearest same-class neighbours of every row.
 
     ``points``: (cls int, rid long, x array<double>).  Returns
-    (cls, rid, nn_rank array<long>) with neighbours identified by their rank
-    along the projection, plus the ranked points (cls, rank, rid, x).
+    ``(neighbours, ranked)``: neighbours (cls, rank, nn array<long>) name the
+    k nearest rows by their rank along the projection; ranked holds
+    (cls, rid, x, proj, rank, blk).
+
+    Level w compares each pending row with the rows of blocks b-w..b+w of its
+    own class (NumPy, per (class, block) group).  A row is settled when its
+    k-th distance is within the projection gap to the window edges — no row
+    outside the window can then be closer.  Pending rows go to the next level
+    with a doubled window; once a window spans the whole class every row is
+    settled, so the result is exact with no cap on candidates.
     """
     d = len(points.select("x").first()["x"])
     w = _direction(d, seed)
@@ -58,71 +66,68 @@ def knn_within_class(points: DataFrame, k: int = C.SMOTE_K, block: int = 256, se
     proj = F.aggregate(F.zip_with("x", wcol, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     ranked = rank_rows(points.withColumn("proj", proj), ["cls"], ["proj", "rid"], "rank")
     ranked = ranked.withColumn("blk", ((F.col("rank") - 1) / F.lit(block)).cast("long")).checkpoint()
-
-    windowed = (ranked.select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("off"))
-                .withColumn("gblk", F.col("blk") - F.col("off")))
-
+    settled = []
+    pending = None  # (cls, rank) still to resolve; None = every row
+    half = 1
+    while True:
+        cand = ranked.select("cls", "rank", "blk", "proj", "x",
+                             F.explode(F.sequence(F.col("blk") - half, F.col("blk") + half)).alias("gblk"))
+        if pending is None:
+            rows = cand.withColumn("q", F.col("gblk") == F.col("blk"))
+        else:
+            qblocks = pending.select("cls", F.col("blk").alias("gblk")).distinct()
+            marks = pending.select("cls", "rank", F.lit(True).alias("_p"))
+            rows = (cand.join(qblocks, ["cls", "gblk"])
+                    .join(marks, ["cls", "rank"], "left")
+                    .withColumn("q", (F.col("gblk") == F.col("blk")) & F.col("_p").isNotNull())
+                    .drop("_p"))
+        res = (rows.groupBy("cls", "gblk")
+               .applyInPandas(_window_knn(k, half), "cls int, rank long, blk long, nn array<long>, ok boolean")
+               .checkpoint())
+        settled.append(res.where("ok").select("cls", "rank", "nn"))
+        pending = res.where(~F.col("ok")).select("cls", "rank", "blk")
+        if pending.limit(1).count() == 0:
+            break
+        half *= 2
+    out = settled[0]
+    for extra in settled[1:]:
+        out = out.unionByName(extra)
+    return out, ranked
+
+
+def _window_knn(k: int, half: int):
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         g = int(pdf["gblk"].iloc[0])
+        qmask = pdf["q"].to_numpy()
+        q = np.where(qmask)[0]
+        if len(q) == 0:
+            return pd.DataFrame({"cls": pd.Series([], dtype="int32"), "rank": pd.Series([], dtype="int64"),
+                                 "blk": pd.Series([], dtype="int64"), "nn": pd.Series([], dtype=object),
+                                 "ok": pd.Series([], dtype=bool)})
         X = np.stack(pdf["x"].to_numpy())
         proj_all = pdf["proj"].to_numpy()
         ranks = pdf["rank"].to_numpy()
         blks = pdf["blk"].to_numpy()
-        q = np.where(blks == g)[0]
-        if len(q) == 0:
-            return pd.DataFrame({"cls": pd.Series([], dtype="int32"), "rank": pd.Series([], dtype="int64"),
-                                 "nn": pd.Series([], dtype=object), "rk": pd.Series([], dtype="float64"),
-                                 "ok": pd.Series([], dtype=bool)})
-        lo_edge = proj_all[blks == g - 1].min() if np.any(blks == g - 1) else -np.inf
-        hi_edge = proj_all[blks == g + 1].max() if np.any(blks == g + 1) else np.inf
-        # the window is complete when neighbouring blocks are absent because they do not exist
+        # a window edge block that is absent does not exist: nothing lies beyond it
+        lo_edge = proj_all[blks == g - half].min() if np.any(blks == g - half) else -np.inf
+        hi_edge = proj_all[blks == g + half].max() if np.any(blks == g + half) else np.inf
         Xq = X[q]
-        d2 = (np.sum(Xq * Xq, axis=1)[:, None] + np.sum(X * X, axis=1)[None, :] - 2.0 * Xq @ X.T)
+        d2 = np.sum(Xq * Xq, axis=1)[:, None] + np.sum(X * X, axis=1)[None, :] - 2.0 * Xq @ X.T
         d2 = np.maximum(d2, 0.0)
         d2[np.arange(len(q)), q] = np.inf
         kk = min(k, X.shape[0] - 1)
         order = np.lexsort((np.broadcast_to(ranks, d2.shape), d2), axis=1)[:, :kk]
-        nn = ranks[order]
         rk = np.sqrt(d2[np.arange(len(q))[:, None], order][:, -1])
         pq = proj_all[q]
         gap = np.minimum(pq - lo_edge, hi_edge - pq)
-        return pd.DataFrame({"cls": pdf["cls"].iloc[q].to_numpy(), "rank": ranks[q],
-                             "nn": list(nn.astype(np.int64)), "rk": rk, "ok": rk <= gap})
-
-    # a block absent from the window does not exist (first or last block of
-    # its class), so there are no rows beyond that edge
-    local = (windowed.groupBy("cls", "gblk")
-             .applyInPandas(nearest, "cls int, rank long, nn array<long>, rk double, ok boolean")
-             .checkpoint())
-    sure = local.where("ok").select("cls", "rank", "nn")
-    todo = local.where(~F.col("ok")).select("cls", "rank", "rk")
-    n_todo = todo.count()
-    if n_todo == 0:
-        return sure, ranked
-    return sure.unionByName(_range_resolve(ranked, todo, k)), ranked
-
-
-def _range_resolve(ranked: DataFrame, todo: DataFrame, k: int) -> DataFrame:
-    """Exact k-NN for uncertified rows: every row of the class whose
-    projection lies within the row's current k-th distance is a candidate."""
-    width = todo.agg(F.percentile_approx("rk", 0.5).alias("w")).first()["w"] or 1.0
-    width = max(float(width), 1e-9)
-    pts = ranked.select("cls", F.col("rank").alias("crank"), F.col("proj").alias("cproj"),
-                        F.col("x").alias("cx"), F.floor(F.col("proj") / width).cast("long").alias("bkt"))
-    q = (todo.join(ranked.select("cls", "rank", "proj", "x"), ["cls", "rank"])
-         .withColumn("bkt", F.explode(F.sequence(F.floor((F.col("proj") - F.col("rk")) / width).cast("long"),
-                                                F.floor((F.col("proj") + F.col("rk")) / width).cast("long")))))
-    pairs = (q.join(pts, ["cls", "bkt"])
-             .where((F.col("crank") != F.col("rank")) & (F.abs(F.col("cproj") - F.col("proj")) <= F.col("rk"))))
-    dist = F.aggregate(F.zip_with("x", "cx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-    cand = pairs.select("cls", "rank", dist.alias("d2"), "crank")
-    best = cand.groupBy("cls", "rank").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("d2", "crank"))), 1, k).alias("top"))
-    return best.select("cls", "rank", F.transform("top", lambda s: s["crank"]).alias("nn"))
+        ok = (rk <= gap) & (kk == k)
+        return pd.DataFrame({"cls": pdf["cls"].iloc[q].to_numpy(), "rank": ranks[q], "blk": blks[q],
+                             "nn": list(ranks[order].astype(np.int64)), "ok": ok})
+    return nearest
 
 
 def smote(df: DataFrame, label: str = "label", features: str = "features", k: int = C.SMOTE_K,
-          seed: int = C.SEED, block: int = 256, id_col: str | None = None) -> DataFrame:
+          seed: int = C.SEED, block: int = 512, id_col: str | None = None) -> DataFrame:
     """Resample every class up to the majority size; returns (label, features, synthetic)."""
     counts = {int(r["c"]): r["n"] for r in
               df.groupBy(F.col(label).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -19,6 +19,9 @@ def get_spark(master: str | None = None, app: str = "gradus",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", os.environ.get("GRADUS_DRIVER_MEMORY", "16g"))
     builder = (
         builder
         .config("spark.sql.adaptive.enabled", "true")
@@ -27,6 +30,7 @@ def get_spark(master: str | None = None, app: str = "gradus",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
