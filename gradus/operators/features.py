@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import columns as X
-from .ranking import exact_percentiles
+from .ranking import exact_medians
 
 MAX_CATEGORIES = 1000
 
@@ -36,11 +36,7 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def fit_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Exact median of every column (nulls ignored; even count averages the middle two)."""
-    out = {}
-    for c in cols:
-        row = exact_percentiles(df, c, [0.5], names=["m"]).first()
-        out[c] = None if row is None else row["m"]
-    return out
+    return exact_medians(df, cols)
 
 
 def impute_median(df: DataFrame, cols: list[str], medians: dict | None = None) -> DataFrame:
@@ -164,8 +160,11 @@ def clean_incidents(df: DataFrame, task: C.TaskConfig = C.DEFAULT_TASK,
     speed_cols = [C.SPEED_LIMIT, C.PRECRASH]
     out = encode_ordinal(df, task.label_col, task.labels, "label")
     out = coerce_numeric(out, speed_cols)
-    if medians is None:
-        medians = fit_medians(out, speed_cols)
+    if medians is None or model_year_median is None:
+        # all three medians in one pass over the coerced values
+        fitted = fit_medians(out.withColumn("_my", X.to_double("model_year")), speed_cols + ["_my"])
+        medians = medians or {c: fitted[c] for c in speed_cols}
+        model_year_median = fitted["_my"] if model_year_median is None else model_year_median
     out = impute_median(out, speed_cols, medians)
     out = out.withColumns({
         "is_night": X.equals_flag("incident_time", C.NIGHT_VALUE),
@@ -177,8 +176,6 @@ def clean_incidents(df: DataFrame, task: C.TaskConfig = C.DEFAULT_TASK,
         "speed_ratio": X.safe_ratio(C.PRECRASH, C.SPEED_LIMIT),
     })
     out = date_parts(out, "incident_date")
-    if model_year_median is None:
-        model_year_median = fit_medians(out.withColumn("_my", X.to_double("model_year")), ["_my"])["_my"]
     out = flag_below_median(out, "is_old_vehicle", "model_year", model_year_median)
     out = out.withColumn("speed_night", (F.col(C.PRECRASH) * F.col("is_night")).cast("double"))
     return out, medians, model_year_median

@@ -41,10 +41,12 @@ def _sort_exprs(order_cols: list) -> list[Column]:
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-    joined = left.join(right, cond, "left")
-    return joined.select(*[left[c] for c in left.columns],
-                         *[right[c] for c in right.columns if c not in keys])
+    """Left join on null-safe key equality; ``right`` may derive from ``left``."""
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in keys else F.col(f"`{c}`")
+                             for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    joined = left.join(renamed, cond, "left")
+    return joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def running_sums(df: DataFrame, group_cols: list[str], order_cols: list,
@@ -156,7 +158,7 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: list[float],
     group_cols = list(group_cols or [])
     names = names or [f"p{int(round(p * 100))}" for p in probs]
     v = F.col(value_col)
-    clean = df.select(*group_cols, v.cast("double").alias("_v")).where(
+    clean = df.select(*group_cols, v.try_cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     n_distinct = clean.agg(F.approx_count_distinct("_v").alias("d")).first()["d"]
     if n_distinct <= distinct_limit:
@@ -166,6 +168,25 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: list[float],
     return _percentiles_by_rank(clean, group_cols, probs, names, small_limit)
 
 
+def exact_medians(df: DataFrame, cols: list[str], distinct_limit: int = 500_000,
+                  small_limit: int | None = SMALL_LIMIT) -> dict:
+    """Exact medians of several columns: one pass for the distinct counts and
+    one pass for all low-cardinality columns together."""
+    vals = {c: F.col(c).try_cast("double") for c in cols}
+    clean = {c: F.when(~F.isnan(v), v) for c, v in vals.items()}
+    counts = df.agg(*[F.approx_count_distinct(clean[c]).alias(c) for c in cols]).first()
+    low = [c for c in cols if counts[c] <= distinct_limit]
+    out = {}
+    if low:
+        row = df.agg(*[F.percentile(clean[c], F.lit(0.5)).alias(c) for c in low]).first()
+        out.update({c: row[c] for c in low})
+    for c in cols:
+        if c not in out:
+            r = exact_percentiles(df, c, [0.5], names=["m"], distinct_limit=-1, small_limit=small_limit).first()
+            out[c] = None if r is None else r["m"]
+    return out
+
+
 def _percentiles_by_rank(clean, group_cols, probs, names, small_limit):
     gkey = group_cols or ["_g"]
     if not group_cols:
