@@ -91,6 +91,12 @@ def fit_categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
 
     The distinct sets are collected; ``MAX_CATEGORIES`` bounds them.
     """
+    # bounded check first (HyperLogLog sketch), so collect_set never meets an
+    # unbounded number of values
+    approx = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first()
+    wide = [c for c in cols if approx[c] > MAX_CATEGORIES * 1.1]
+    if wide:
+        raise ValueError(f"{wide}: more than {MAX_CATEGORIES} levels")
     agg = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).first()
     cats = {}
     for c in cols:

@@ -115,11 +115,36 @@ def q_chi_square_test(spark, sf):
     return rounded(ST.chi_square(incidents(spark, sf), C.CHI_SQUARE_COLUMNS, SEV, with_p=True))
 
 
-@query("significance")
+# Oracle side: p < alpha  <=>  statistic > upper-tail critical value.
+# Chi-square critical values (published table) for dof 1..10 at
+# alpha = 0.05, 0.01, 0.001.
+_CRIT = """crit AS (SELECT * FROM (VALUES
+  (1, 3.841, 6.635, 10.828), (2, 5.991, 9.210, 13.816), (3, 7.815, 11.345, 16.266),
+  (4, 9.488, 13.277, 18.467), (5, 11.070, 15.086, 20.515), (6, 12.592, 16.812, 22.458),
+  (7, 14.067, 18.475, 24.322), (8, 15.507, 20.090, 26.124), (9, 16.919, 21.666, 27.877),
+  (10, 18.307, 23.209, 29.588)) t(dof, c05, c01, c001)),
+sig AS (
+  SELECT variable, CASE WHEN chi2 > c001 THEN '***' WHEN chi2 > c01 THEN '**' WHEN chi2 > c05 THEN '*'
+                        ELSE 'ns' END AS significance
+  FROM chi JOIN crit ON chi.dof = crit.dof
+)"""
+
+
+@query("significance", with_(_chi_sql() + ",\n" + _CRIT,
+                             'SELECT variable AS "Variable", significance AS "Significance" FROM sig'))
 def q_significance(spark, sf):
-    """Number of significant tests among the chi-square results."""
+    """Significance stars of every chi-square test (p-value from the UDF)."""
+    chi = ST.chi_square(incidents(spark, sf), C.CHI_SQUARE_COLUMNS, SEV, with_p=True)
+    return ST.significance(chi).select("Variable", "Significance")
+
+
+@query("significance_count", with_(_chi_sql() + ",\n" + _CRIT, """
+SELECT CAST(COUNT(*) FILTER (WHERE significance <> 'ns') AS BIGINT) AS n_significant,
+  CAST(COUNT(*) AS BIGINT) AS n_tests FROM sig"""))
+def q_significance_count(spark, sf):
+    """Number of tests significant at 5 %."""
     chi = ST.chi_square(incidents(spark, sf), C.CHI_SQUARE_COLUMNS, SEV, with_p=True)
-    return ST.count_significant(ST.significance(chi))
+    return ST.count_significant(chi)
 
 
 def _bayes_sql():
