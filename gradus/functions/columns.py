@@ -99,4 +99,7 @@ def round_to(c, digits: int) -> Column:
     x = col(c)
     p = F.lit(float(10 ** digits))
     v = x * p
-    return (F.when(v >= 0, F.floor(v + F.lit(0.5))).otherwise(F.ceil(v - F.lit(0.5))) / p).cast("double")
+    rounded = (F.when(v >= 0, F.floor(v + F.lit(0.5))).otherwise(F.ceil(v - F.lit(0.5))) / p).cast("double")
+    # beyond 2^52 a double has no fraction left at this scale (and floor
+    # would leave the long range): the value is already rounded
+    return F.when(F.abs(v) < F.lit(4.0e15), rounded).otherwise(x.cast("double"))

@@ -123,9 +123,8 @@ def fit_gbt_ovr(train: DataFrame, k: int = 4, rounds: int = C.GBT_ROUNDS, depth:
 
 
 def _ovr_predict(df: DataFrame, parts: list, k: int) -> DataFrame:
-    out = df.withColumn("_rid", F.monotonically_increasing_id())
     score_cols = []
-    cur = out
+    cur = df
     for j, m in enumerate(parts):
         if m is None:
             cur = cur.withColumn(f"_s{j}", F.lit(0.0))
@@ -136,7 +135,7 @@ def _ovr_predict(df: DataFrame, parts: list, k: int) -> DataFrame:
     tot = sum(score_cols[1:], score_cols[0])
     arr = F.array(*[F.when(tot > 0, c / tot).otherwise(F.lit(1.0 / k)) for c in score_cols])
     res = _with_probs(cur, arr, k)
-    return res.drop("_rid", *[f"_s{j}" for j in range(k)])
+    return res.drop(*[f"_s{j}" for j in range(k)])
 
 
 # ------------------------------------------------------------- perceptron

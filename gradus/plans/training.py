@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +76,16 @@ _CACHE: dict = {}
 def prepare(spark: SparkSession, incidents: DataFrame, task: C.TaskConfig = C.DEFAULT_TASK,
             test_fraction: float = C.SPLIT_TEST_FRACTION, seed: int = C.SEED) -> Prepared:
     ensure_checkpoint_dir(spark)
-    feats, fmodel = FE.fit_features(incidents, task)
-    labelled = feats.where(F.col("label").isNotNull())
-    split = SA.split_stratified(labelled, "label", test_fraction, seed, task.id_col).checkpoint()
+    # the fit passes (medians, levels, scaler, class counts) all read the
+    # input; keep it materialised (memory + disk, recomputable) until the
+    # split is checkpointed
+    src = incidents.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        feats, fmodel = FE.fit_features(src, task)
+        labelled = feats.where(F.col("label").isNotNull())
+        split = SA.split_stratified(labelled, "label", test_fraction, seed, task.id_col).checkpoint()
+    finally:
+        src.unpersist()
     train = split.where(~F.col("is_test")).drop("is_test")
     test = split.where(F.col("is_test")).drop("is_test")
     return Prepared(feats, fmodel, split, train, test)
