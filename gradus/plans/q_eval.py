@@ -221,10 +221,10 @@ sl AS (""" + "\n  UNION ALL ".join(
 
 @query("coef_ranking", with_(_SLOPES_SQL, """
 SELECT "Feature", ROUND("Coefficient", 6) AS "Coefficient" FROM sl
-ORDER BY abs("Coefficient") DESC, "Feature" LIMIT 5"""))
+ORDER BY abs("Coefficient") DESC, "Feature" LIMIT 10"""))
 def q_coef_ranking(spark, sf):
     from ..models.ordinal import coef_ranking
-    return rounded(coef_ranking(_slopes(spark, sf), k=5))
+    return rounded(coef_ranking(_slopes(spark, sf), k=10))
 
 
 @query("odds_ratio", with_(_SLOPES_SQL, """

@@ -100,8 +100,7 @@ def q_class_counts(spark, sf):
 @query("smote")
 def q_smote(spark, sf):
     """Resampled training rows: label, synthetic flag, feature values."""
-    tr = TR.cached_training(spark, sf, TR.QUICK, which=("RF_SMOTE",))
-    return tr.resampled.select("label", "synthetic", vector_to_array("features").alias("x"))
+    return TR.cached_resampled(spark, sf).select("label", "synthetic", vector_to_array("features").alias("x"))
 
 
 # ------------------------------------------------------------------ models
@@ -157,7 +156,7 @@ for _q, _m in [("fit_random_forest", "RF"), ("fit_rf_smote", "RF_SMOTE"), ("fit_
 @query("fit_logistic")
 def q_fit_logistic(spark, sf):
     """Multinomial logistic baseline, test-row predictions."""
-    prep = TR.cached_training(spark, sf, TR.QUICK, which=("RF",)).prepared
+    prep = TR.cached_prepared(spark, sf)
     m = CL.fit_logistic(prep.train, len(L), TR.QUICK.lr_iter)
     return m.predict(prep.test).select(F.lit("LR").alias("model"), ID, "label", "p0", "p1", "p2", "p3",
                                        "prediction")
@@ -165,7 +164,7 @@ def q_fit_logistic(spark, sf):
 
 @query("cross_validate")
 def q_cross_validate(spark, sf):
-    prep = TR.cached_training(spark, sf, TR.QUICK, which=("RF",)).prepared
+    prep = TR.cached_prepared(spark, sf)
     return TR.cross_validation_report(spark, prep, TR.QUICK)
 
 

@@ -96,17 +96,26 @@ def _tag(pred: DataFrame, name: str, id_col: str) -> DataFrame:
                        "p0", "p1", "p2", "p3", "prediction")
 
 
-def train_all(spark: SparkSession, incidents: DataFrame, sizes: Sizes = FULL,
-              task: C.TaskConfig = C.DEFAULT_TASK, which: tuple | None = None) -> Trained:
-    """Fit the seven models of the application and predict the test rows."""
-    prep = prepare(spark, incidents, task)
+def resample(prep: Prepared, task: C.TaskConfig = C.DEFAULT_TASK) -> DataFrame:
+    """SMOTE on the training part (checkpointed: it feeds several fits)."""
+    return smote(prep.train, "label", "features", seed=C.SEED, id_col=task.id_col).checkpoint()
+
+
+def train_all(spark: SparkSession, incidents: DataFrame | None, sizes: Sizes = FULL,
+              task: C.TaskConfig = C.DEFAULT_TASK, which: tuple | None = None,
+              prep: Prepared | None = None, resampled: DataFrame | None = None) -> Trained:
+    """Fit the seven models of the application and predict the test rows.
+
+    ``prep`` / ``resampled`` reuse an earlier split / SMOTE output.
+    """
+    prep = prep or prepare(spark, incidents, task)
     k, idc = task.k, task.id_col
     out = Trained(prep)
     want = set(which or ("OLR", "RF", "OLR_SMOTE", "RF_SMOTE", "GBM", "MLP", "SVM"))
     train = prep.train
     needs_smote = want & {"OLR_SMOTE", "RF_SMOTE", "GBM", "MLP", "SVM"}
     if needs_smote:
-        out.resampled = smote(train, "label", "features", seed=C.SEED, id_col=idc).checkpoint()
+        out.resampled = resampled if resampled is not None else resample(prep, task)
     sm = out.resampled
     if "OLR" in want:
         out.ordinal = OrdinalLogit(task.labels, max_iter=sizes.ordinal_iter).fit(train, prep.feature_model.feature_names)
@@ -144,12 +153,31 @@ class _OrdinalAdapter:
         return None
 
 
-def cached_training(spark: SparkSession, sf_dir: str, sizes: Sizes = QUICK, which: tuple | None = None) -> Trained:
-    """Train once per (session, input folder, sizes, models) within a process."""
+def cached_prepared(spark: SparkSession, sf_dir: str) -> Prepared:
+    """Feature fit + split once per (session, input folder) within a process."""
     from .fixtures import incidents
+    key = ("prep", id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = prepare(spark, incidents(spark, sf_dir))
+    return _CACHE[key]
+
+
+def cached_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = ("smote", id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = resample(cached_prepared(spark, sf_dir))
+    return _CACHE[key]
+
+
+def cached_training(spark: SparkSession, sf_dir: str, sizes: Sizes = QUICK, which: tuple | None = None) -> Trained:
+    """Train once per (session, input folder, sizes, models) within a process;
+    the split and the SMOTE output are shared by all model sets."""
     key = (id(spark), sf_dir, sizes, which)
     if key not in _CACHE:
-        _CACHE[key] = train_all(spark, incidents(spark, sf_dir), sizes, which=which)
+        want = set(which or ("OLR", "RF", "OLR_SMOTE", "RF_SMOTE", "GBM", "MLP", "SVM"))
+        needs = want & {"OLR_SMOTE", "RF_SMOTE", "GBM", "MLP", "SVM"}
+        _CACHE[key] = train_all(spark, None, sizes, which=which, prep=cached_prepared(spark, sf_dir),
+                                resampled=cached_resampled(spark, sf_dir) if needs else None)
     return _CACHE[key]
 
 
