@@ -93,7 +93,9 @@ def chi_square(df: DataFrame, cols: list[str], label: str, with_p: bool = True)
     long = (df.select(label, *[F.col(c).cast("string").alias(c) for c in cols])
             .unpivot([label], cols, "variable", "value")
             .where(F.col("value").isNotNull() & F.col(label).isNotNull()))
-    cells = long.groupBy("variable", "value", label).agg(F.count(F.lit(1)).alias("o"))
+    # the observed cells are tiny (values x labels per column); materialise
+    # them once so the marginals below do not re-scan and re-unpivot the input
+    cells = long.groupBy("variable", "value", label).agg(F.count(F.lit(1)).alias("o")).checkpoint()
     rows = cells.groupBy("variable", "value").agg(F.sum("o").alias("r"))
     colm = cells.groupBy("variable", label).agg(F.sum("o").alias("c"))
     tot = rows.groupBy("variable").agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("nr"))
