@@ -38,5 +38,9 @@ def test_confusion_and_report_do_not_rescan(plans):
         assert "SortMergeJoin" not in plans[name], name
 
 
-def test_chi_square_unpivots_once(plans):
-    assert plans["chi_square"].count("Expand") == 1
+def test_chi_square_reads_input_once(plans):
+    # the unpivot + cell counts are materialised once; the marginals and the
+    # grid read that small table, never the incident tables again
+    plan = plans["chi_square"]
+    assert plan.count("Expand") <= 1
+    assert plan.count("orders.parquet") <= 1
