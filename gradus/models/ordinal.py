@@ -27,8 +27,6 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from .. import config as C
 
 _STEPS = [1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625, 0.0078125, 0.00390625, 0.001953125]
@@ -129,7 +127,7 @@ class OrdinalLogitModel:
                 expr = expr + arr[j] * F.lit(float(b))
         return expr
 
-    def probability_columns(self, eta: Column, prefix: str = "p") -> list[Column]:
+    def probability_columns(self, eta: Column) -> list[Column]:
         """p_k = max(F(theta_k - eta) - F(theta_{k-1} - eta), 0), row-normalised."""
         cum = [F.lit(0.0)] + [F.lit(1.0) / (F.lit(1.0) + F.exp(eta - F.lit(float(t)))) for t in self.thresholds] \
             + [F.lit(1.0)]

@@ -69,14 +69,19 @@ def split_stratified(df: DataFrame, label: str = "label", test_fraction: float =
 
 
 def kfold(df: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED, key: str = C.ID_COL,
-          order: Column | None = None, out: str = "fold") -> DataFrame:
+          order: Column | None = None, out: str = "fold", exact_sizes: bool = True) -> DataFrame:
     """Shuffled k-fold assignment: contiguous chunks of a seeded permutation.
 
     The first n mod k folds get one extra row, as in the usual k-fold split.
+    That needs a global rank (a distributed sort); ``exact_sizes=False``
+    assigns ``pmod(hash, k)`` instead — a pure projection, fold sizes equal
+    only in expectation.
     """
+    h = order if order is not None else seeded_hash(key, seed, "fold")
+    if not exact_sizes:
+        return df.withColumn(out, F.pmod(h, F.lit(k)).cast("int"))
     n = df.count()
     size, extra = divmod(n, k)
-    h = order if order is not None else seeded_hash(key, seed, "fold")
     ranked = rank_rows(df.withColumn("_h", h), [], ["_h", key], "_rank")
     r = F.col("_rank") - 1
     big = F.lit(extra * (size + 1))
