@@ -6,9 +6,9 @@ nearest same-class neighbours (Euclidean, self excluded), ``u`` ∈ [0, 1).
 
 Neighbour search never forms all pairs of a class:
 
-1. each class is sorted along a seeded random direction ``w`` (|w| = 1) and
-   cut into blocks of ``block`` rows (ranks from the distributed running
-   sum);
+1. each class is sorted along its first principal axis ``w`` (|w| = 1, one
+   pass of per-partition moment sums) and cut into blocks of ``block`` rows
+   (ranks from the distributed running sum);
 2. a grouped ``applyInPandas`` per (class, block) sees its own block plus the
    w blocks on each side and finds each row's k nearest among them with
    NumPy (distances are computed inside the task, never emitted as rows);
@@ -45,6 +45,42 @@ def _direction(d: int, seed: int) -> np.ndarray:
     return w / np.linalg.norm(w)
 
 
+def _principal_directions(points: DataFrame, d: int, seed: int) -> dict:
+    """First principal axis of every class (one distributed pass).
+
+    Sorting along the axis of largest spread makes projection gaps largest,
+    so most rows settle in the first windows.  Per-partition sums of n, Σx
+    and Σxxᵀ per class are added up by a ``groupBy`` — (d² + d + 1) numbers
+    per class reach the driver.
+    """
+    def sums(batches):
+        acc = {}
+        for pdf in batches:
+            for c, g in pdf.groupby("cls"):
+                X = np.stack(g["x"].to_numpy())
+                n0, s0, q0 = acc.get(int(c), (0, np.zeros(d), np.zeros((d, d))))
+                acc[int(c)] = (n0 + len(X), s0 + X.sum(axis=0), q0 + X.T @ X)
+        for c, (n0, s0, q0) in acc.items():
+            vals = np.concatenate([[n0], s0, q0.ravel()])
+            yield pd.DataFrame({"cls": np.full(len(vals), c, dtype=np.int32),
+                                "i": np.arange(len(vals), dtype=np.int32), "v": vals})
+
+    rows = (points.mapInPandas(sums, "cls int, i int, v double")
+            .groupBy("cls", "i").agg(F.sum("v").alias("v")).collect())
+    per = {}
+    for r in rows:
+        per.setdefault(r["cls"], np.zeros(1 + d + d * d))[r["i"]] = r["v"]
+    out = {}
+    for c, vec in per.items():
+        n = vec[0]
+        mean = vec[1:1 + d] / n
+        cov = vec[1 + d:].reshape(d, d) / n - np.outer(mean, mean)
+        vals, vecs = np.linalg.eigh(cov)
+        w = vecs[:, -1] if vals[-1] > 1e-12 else _direction(d, seed)
+        out[c] = w / np.linalg.norm(w)
+    return out
+
+
 def knn_within_class(points: DataFrame, k: int = C.SMOTE_K, block: int = 512, seed: int = C.SEED):
     """Exact k nearest same-class neighbours of every row.
 
@@ -61,9 +97,12 @@ def knn_within_class(points: DataFrame, k: int = C.SMOTE_K, block: int = 512, se
     settled, so the result is exact with no cap on candidates.
     """
     d = len(points.select("x").first()["x"])
-    w = _direction(d, seed)
-    wcol = F.array(*[F.lit(float(v)) for v in w])
-    proj = F.aggregate(F.zip_with("x", wcol, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    axes = _principal_directions(points, d, seed)
+    proj = None
+    for c, w in axes.items():
+        wcol = F.array(*[F.lit(float(v)) for v in w])
+        dot = F.aggregate(F.zip_with("x", wcol, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        proj = F.when(F.col("cls") == c, dot) if proj is None else proj.when(F.col("cls") == c, dot)
     ranked = rank_rows(points.withColumn("proj", proj), ["cls"], ["proj", "rid"], "rank")
     ranked = ranked.withColumn("blk", ((F.col("rank") - 1) / F.lit(block)).cast("long")).checkpoint()
     settled = []
