@@ -4,18 +4,20 @@ Every class below the majority size is raised to it with synthetic points
 ``x + u·(nn - x)``: ``x`` a random row of the class, ``nn`` one of its k
 nearest same-class neighbours (Euclidean, self excluded), ``u`` ∈ [0, 1).
 
-Neighbour search never forms all pairs of a class:
+Neighbour search compares a row only with rows near it along one axis and
+never emits pairs as rows:
 
 1. each class is sorted along its first principal axis ``w`` (|w| = 1, one
    pass of per-partition moment sums) and cut into blocks of ``block`` rows
    (ranks from the distributed running sum);
 2. a grouped ``applyInPandas`` per (class, block) sees its own block plus the
-   w blocks on each side and finds each row's k nearest among them with
+   h blocks on each side and finds each row's k nearest among them with
    NumPy (distances are computed inside the task, never emitted as rows);
 3. since |w·x - w·y| <= |x - y|, a row whose k-th distance is within the
    projection gap to the rows outside its window is settled exactly; the
-   other rows repeat step 2 with a doubled window, until every row is
-   settled — at the latest when the window spans the class.
+   other rows repeat step 2 with h doubled, until every row is settled — at
+   the latest when the window spans the class (the worst case, where the
+   axis separates nothing, costs as much as comparing all pairs).
 
 Random draws are hashes of (class, sample index, seed), so the output does
 not depend on partitioning or retries.
