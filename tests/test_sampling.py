@@ -40,3 +40,9 @@ def test_class_weights_balanced(spark):
     w = {r["label"]: r["weight"] for r in out.select("label", "weight").distinct().collect()}
     assert abs(w[0] - 4000 / (3 * 3600)) < 1e-12
     assert abs(w[1] - 4000 / (3 * 200)) < 1e-12
+
+
+def test_hash_folds_are_a_projection(spark):
+    out = SA.kfold(_frame(spark, 3), 5, exact_sizes=False)
+    sizes = [r["n"] for r in out.groupBy("fold").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 5 and sum(sizes) == 4000 and min(sizes) > 600
