@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -43,8 +44,9 @@ def get_spark(master: str | None = None, app: str = "gradus",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local runs and tests) a fresh local folder is created.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    local run (one JVM, as in tests) gets a fresh local folder; any other master
+    is an error, since executors would not share the driver's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: master {sc.master} needs a folder "
+                               "that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="gradus-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
