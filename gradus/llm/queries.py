@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .token_files import op7_token_files
 from .url_rules import OP4_SQL, op4_url_rules
 
 QUERIES = {
     "op4_url_rules": op4_url_rules,
+    "op7_token_files": op7_token_files,
 }
 ORACLES = {
     "op4_url_rules": OP4_SQL,
