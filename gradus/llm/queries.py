@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .piece_bpe import op10_piece_bpe
 from .token_files import op7_token_files
 from .url_rules import OP4_SQL, op4_url_rules
 
 QUERIES = {
     "op4_url_rules": op4_url_rules,
     "op7_token_files": op7_token_files,
+    "op10_piece_bpe": op10_piece_bpe,
 }
 ORACLES = {
     "op4_url_rules": OP4_SQL,
