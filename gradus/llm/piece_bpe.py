@@ -139,7 +139,7 @@ class PieceBpe:
         """Text of the ids: one leading space goes, runs of byte pieces become characters."""
         if not len(ids):
             return ""
-        first = self.pieces[ids[0]].startswith(SPACE)
+        first = next((self.pieces[i].startswith(SPACE) for i in ids.tolist() if self.text_of[i]), False)
         if not self.high[ids].any():
             text = "".join(map(self.text_of.__getitem__, ids.tolist()))
         else:
