@@ -5,9 +5,11 @@ from __future__ import annotations
 from .leaks import OP9_SQL, op9_leaks
 from .piece_bpe import op10_piece_bpe
 from .token_files import op7_token_files
+from .toxicity import op1_toxicity
 from .url_rules import OP4_SQL, op4_url_rules
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_url_rules": op4_url_rules,
     "op7_token_files": op7_token_files,
     "op9_leaks": op9_leaks,
