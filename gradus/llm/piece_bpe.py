@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import doc_columns, read
 
 SPACE = "▁"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 DOCS_PER_STEP = 512
 _RUNS = re.compile(" *[^ ]+| +$")
 
