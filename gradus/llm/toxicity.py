@@ -198,8 +198,9 @@ class Scorer:
         words = words_of(text)
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        for w in words - self.words.keys():
-            self.words[w] = tuple(i for f in features(w) if (i := self.slot.get(f)) is not None)
+        for w in words:
+            if w not in self.words:
+                self.words[w] = tuple(i for f in features(w) if (i := self.slot.get(f)) is not None)
         hit = {i for w in words for i in self.words[w]}
         g = self.offset + (self.weights[sorted(hit)].sum(axis=0) if hit else 0)
         return float(_sigmoid(g).mean())
