@@ -39,6 +39,11 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _digest(e: DataFrame) -> tuple:
+    """Count and order-free checksum of an edge list."""
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an undirected edge list; root is the
     smallest node reachable.
@@ -52,25 +57,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = stored(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
                .where("hi <> lo").distinct(), "edges")
-    while True:
+    state = None
+    while state != (state := _digest(e)):
         # large-star: neighbours above the node move to the smallest one seen
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
-            e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-                 .where("hi <> lo").distinct())
+        both = e.union(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        low = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
+        large = (both.join(low, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+                 .distinct())
         # small-star: neighbours below the node, and the node, move to the smallest below
-        low2 = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        nxt = large.join(low2, "hi")
-        nxt = (nxt.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-               .union(nxt.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct())
-        nxt = stored(nxt, "edges")
-        # done when every node links to one node only and that node is no one's child
-        more = nxt.select("lo").distinct().join(nxt.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi")
-        many = nxt.groupBy("hi").count().where("count > 1")
-        e = nxt
-        if not more.take(1) and not many.take(1):
-            break
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = large.join(low, "hi")
+        e = stored(moved.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+                   .union(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
     pairs = e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return stored(pairs.union(pairs.select(F.col("root").alias("node"), "root").distinct()), "roots")

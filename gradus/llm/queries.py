@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fast_sketch import OP3_SQL, op3_fast_sketch
 from .leaks import OP9_SQL, op9_leaks
 from .piece_bpe import op10_piece_bpe
 from .token_files import op7_token_files
@@ -10,12 +11,14 @@ from .url_rules import OP4_SQL, op4_url_rules
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_fast_sketch": op3_fast_sketch,
     "op4_url_rules": op4_url_rules,
     "op7_token_files": op7_token_files,
     "op9_leaks": op9_leaks,
     "op10_piece_bpe": op10_piece_bpe,
 }
 ORACLES = {
+    "op3_fast_sketch": OP3_SQL,
     "op4_url_rules": OP4_SQL,
     "op9_leaks": OP9_SQL,
 }
