@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fast_sketch import OP3_SQL, op3_fast_sketch
 from .leaks import OP9_SQL, op9_leaks
 from .piece_bpe import op10_piece_bpe
+from .suffix_dedup import op6_suffix_dedup
 from .token_files import op7_token_files
 from .toxicity import op1_toxicity
 from .url_rules import OP4_SQL, op4_url_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_fast_sketch": op3_fast_sketch,
     "op4_url_rules": op4_url_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_files": op7_token_files,
     "op9_leaks": op9_leaks,
     "op10_piece_bpe": op10_piece_bpe,
