@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fast_sketch import OP3_SQL, op3_fast_sketch
+from .kn_quality import op5_kn_quality
 from .leaks import OP9_SQL, op9_leaks
 from .piece_bpe import op10_piece_bpe
 from .suffix_dedup import op6_suffix_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_fast_sketch": op3_fast_sketch,
     "op4_url_rules": op4_url_rules,
+    "op5_kn_quality": op5_kn_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_files": op7_token_files,
     "op9_leaks": op9_leaks,
