@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fast_sketch import OP3_SQL, op3_fast_sketch
+from .flat_graph import op8_flat_graph
 from .kn_quality import op5_kn_quality
 from .leaks import OP9_SQL, op9_leaks
 from .piece_bpe import op10_piece_bpe
@@ -18,11 +19,13 @@ QUERIES = {
     "op5_kn_quality": op5_kn_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_files": op7_token_files,
+    "op8_flat_graph": op8_flat_graph,
     "op9_leaks": op9_leaks,
     "op10_piece_bpe": op10_piece_bpe,
 }
 ORACLES = {
     "op3_fast_sketch": OP3_SQL,
     "op4_url_rules": OP4_SQL,
+    "op8_flat_graph": op8_flat_graph,
     "op9_leaks": OP9_SQL,
 }
