@@ -9,11 +9,13 @@ from .leaks import OP9_SQL, op9_leaks
 from .piece_bpe import op10_piece_bpe
 from .suffix_dedup import op6_suffix_dedup
 from .token_files import op7_token_files
+from .tool_calls import OP2_SQL, op2_tool_calls
 from .toxicity import op1_toxicity
 from .url_rules import OP4_SQL, op4_url_rules
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_tool_calls": op2_tool_calls,
     "op3_fast_sketch": op3_fast_sketch,
     "op4_url_rules": op4_url_rules,
     "op5_kn_quality": op5_kn_quality,
@@ -24,6 +26,7 @@ QUERIES = {
     "op10_piece_bpe": op10_piece_bpe,
 }
 ORACLES = {
+    "op2_tool_calls": OP2_SQL,
     "op3_fast_sketch": OP3_SQL,
     "op4_url_rules": OP4_SQL,
     "op8_flat_graph": op8_flat_graph,
