@@ -238,7 +238,7 @@ def _digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 def _cut_texts(batches: Iterator[pa.RecordBatch], length: int, text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(text).to_pylist()
-        for i, ranges in enumerate(batch.column("ranges").to_pylist()):
+        for i, ranges in enumerate(batch.column("__ranges").to_pylist()):
             if ranges:
                 raw = column[i].encode()
                 cuts = []
@@ -249,7 +249,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], length: int, text: str) -> Ite
                         b -= 1
                     cuts.append([a, b])
                 column[i] = _rest(raw, cuts).decode()
-        names = [n for n in batch.schema.names if n != "ranges"]
+        names = [n for n in batch.schema.names if n != "__ranges"]
         schema = pa.schema([batch.schema.field(n) for n in names])
         yield pa.RecordBatch.from_arrays([pa.array(column, schema.field(n).type) if n == text else batch.column(n)
                                           for n in names], schema=schema)
@@ -317,7 +317,7 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str =
 
 def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first") -> DataFrame:
     """``docs`` (doc_id, text and any columns) without the removed passages, in whole characters."""
-    found = repeats(_raw(docs), keep, length, gram).withColumnsRenamed({"key": "__key", "th": "__th"})
+    found = repeats(_raw(docs), keep, length, gram).withColumnsRenamed({"key": "__key", "th": "__th", "ranges": "__ranges"})
     own = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
                             "__t": text_hash(F.col("text").cast("string"))})
     joined = own.join(found, (own["__k"] == found["__key"]) & (own["__t"] == found["__th"]), "left")

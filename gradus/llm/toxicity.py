@@ -149,7 +149,7 @@ def _train_member(pdf: pd.DataFrame, prior: float) -> pd.DataFrame:
     pdf = pdf.sort_values(["id", "text", "positive"])
     positive = pdf["positive"].to_numpy(bool)
     if positive.all() or not positive.any():
-        return pd.DataFrame({"names": [], "weights": [], "offset": []})
+        return pd.DataFrame({"names": [], "weights": [], "offset": []}, dtype=object)
     names, w, b = train(list(pdf["text"]), positive, prior, int(pdf["member"].iloc[0]))
     return pd.DataFrame({"names": [names.view(np.int64)], "weights": [w], "offset": [b]})
 
