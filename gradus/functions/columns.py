@@ -103,3 +103,9 @@ def round_to(c, digits: int) -> Column:
     # beyond 2^52 a double has no fraction left at this scale (and floor
     # would leave the long range): the value is already rounded
     return F.when(F.abs(v) < F.lit(4.0e15), rounded).otherwise(x.cast("double"))
+
+
+def rows_of(rows: list[tuple[Column, ...]]) -> Column:
+    """Literal table as a generator: one output row per tuple of aliased columns.
+    Names are values here, so any character may occur in them."""
+    return F.inline(F.array(*[F.struct(*r) for r in rows]))

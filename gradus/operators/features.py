@@ -19,8 +19,6 @@ from .. import config as C
 from ..functions import columns as X
 from .ranking import exact_medians
 
-MAX_CATEGORIES = 1000
-
 
 # ---------------------------------------------------------------- encoding
 def encode_ordinal(df: DataFrame, col: str, labels: list[str], out: str = "label") -> DataFrame:
@@ -89,22 +87,11 @@ def flag_below_median(df: DataFrame, out: str, col: str, median: float | None =
 def fit_categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     """Sorted distinct non-null values per column (one distributed pass).
 
-    The distinct sets are collected; ``MAX_CATEGORIES`` bounds them.
+    Every level becomes a column of the result, so the levels are collected.
     """
-    # bounded check first (HyperLogLog sketch), so collect_set never meets an
-    # unbounded number of values
-    approx = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first()
-    wide = [c for c in cols if approx[c] > MAX_CATEGORIES * 1.1]
-    if wide:
-        raise ValueError(f"{wide}: more than {MAX_CATEGORIES} levels")
-    agg = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).first()
-    cats = {}
-    for c in cols:
-        values = list(agg[c] or [])
-        if len(values) > MAX_CATEGORIES:
-            raise ValueError(f"{c}: {len(values)} levels exceed {MAX_CATEGORIES}")
-        cats[c] = values
-    return cats
+    agg = df.agg(*[F.array_sort(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"c{i}")
+                   for i, c in enumerate(cols)]).first()
+    return {c: list(agg[f"c{i}"] or []) for i, c in enumerate(cols)}
 
 
 def dummy_name(col: str, value: str) -> str:

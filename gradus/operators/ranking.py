@@ -1,34 +1,33 @@
-"""Running sums, ranks and exact percentiles without single-task windows.
+"""Running sums, ranks, cut points and exact percentiles without single-task windows.
 
 A window ordered over a whole group runs in one task; with one class holding
 most rows (or with no group at all) that is one task for most of the data.
-The distributed form here is two-pass:
-
-1. range-partition on (group, order) and sort within partitions; a
-   ``mapInPandas`` pass adds partition-local running sums and the partition
-   id, and the result is checkpointed (range bounds come from sampling, so a
-   recomputation must not re-derive them);
-2. per (partition, group) totals (at most partitions + groups rows) give the
-   offset of every group that continues from an earlier partition; at most
-   one group per partition can, so the offset table has at most
-   ``#partitions`` rows and is broadcast.
-
-Inputs below ``small_limit`` rows use an ordinary window: the limit bounds
-what a single task holds.  Order keys must be unique within a group so that
-the result does not depend on partitioning; callers add a tie-break.
+Every size of input takes the same plans here:
+
+* Running sums: range-partition on (group, order) and sort within partitions; a
+  ``mapInPandas`` pass adds partition-local running sums and the partition id, and
+  the result is checkpointed (range bounds come from sampling, so a recomputation
+  must not re-derive them).  Per (partition, group) totals give the offset of every
+  group that continues from an earlier partition; at most one group per partition
+  can, so there are at most ``#partitions`` offsets.
+* Cut points: the t-th smallest of a 64-bit key in each group is found by counting
+  on the leading 16 bits, then on the next 16 inside the one bucket that holds it,
+  and so on; no sort, no shuffle of rows.
+
+Order keys must be unique within a group so that the result does not depend on
+partitioning; callers add a tie-break.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_LIMIT = 2_000_000
-
 
 def _sort_exprs(order_cols: list) -> list[Column]:
     out = []
@@ -51,7 +50,6 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 def running_sums(df: DataFrame, group_cols: list[str], order_cols: list,
                  value_cols: list[str], prefix: str = "cum_",
-                 small_limit: int | None = SMALL_LIMIT,
                  num_partitions: int | None = None) -> DataFrame:
     """Add inclusive running sums ``prefix + v`` of ``value_cols``.
 
@@ -59,17 +57,6 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list,
     (names sort ascending; pass ``F.col(x).desc()`` for descending).
     """
     order = _sort_exprs(order_cols)
-    n = None
-    if small_limit is not None:
-        n = df.count()
-    if n is not None and n <= small_limit:
-        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy())
-        w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({prefix + v: F.sum(F.col(v)).over(w) for v in value_cols})
-    return _running_sums_distributed(df, group_cols, order, value_cols, prefix, num_partitions)
-
-
-def _running_sums_distributed(df, group_cols, order, value_cols, prefix, num_partitions):
     spark = df.sparkSession
     if num_partitions is None:
         num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -89,29 +76,26 @@ def _running_sums_distributed(df, group_cols, order, value_cols, prefix, num_par
     def local_cumsum(batches):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        last_key, carry = None, None
+        last, carry = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            if gcols:
-                key_frame = pdf[gcols].astype(object).where(pdf[gcols].notna(), None)
-                keys_t = list(map(tuple, key_frame.itertuples(index=False, name=None)))
-                codes = pd.Series(pd.factorize(pd.Series(keys_t, dtype=object))[0], index=pdf.index)
-            else:
-                keys_t = [()] * len(pdf)
-                codes = pd.Series(0, index=pdf.index)
-            sums = pdf.groupby(codes, sort=False)[vcols].cumsum()
-            if carry is not None:
-                first_key = keys_t[0]
-                if first_key == last_key:
-                    same = codes == codes.iloc[0]
-                    for v in vcols:
-                        sums.loc[same, v] = sums.loc[same, v] + carry[v]
+            # where the group changes, column by column (a missing value equals a missing value)
+            new = np.zeros(len(pdf), bool)
+            new[0] = True
+            for g in gcols:
+                v, gone = pdf[g].to_numpy(), pdf[g].isna().to_numpy()
+                new[1:] |= ((v[1:] != v[:-1]) & ~(gone[1:] & gone[:-1])) | (gone[1:] != gone[:-1])
+            codes = np.cumsum(new)
             out = pdf.copy()
+            goes_on = carry is not None and all(
+                pd.isna(x) and pd.isna(y) or x == y for x, y in zip(pdf[gcols].iloc[0], last))
             for v in vcols:
-                out[prefix + v] = sums[v].values
+                out[prefix + v] = pdf[v].groupby(codes).cumsum().to_numpy()
+                if goes_on:
+                    out.loc[codes == codes[0], prefix + v] += carry[v]
             out["_pid"] = pid
-            last_key = keys_t[-1]
+            last = list(pdf[gcols].iloc[-1])
             carry = {v: out[prefix + v].iloc[-1] for v in vcols}
             yield out
 
@@ -135,64 +119,103 @@ def _running_sums_distributed(df, group_cols, order, value_cols, prefix, num_par
 
 
 def rank_rows(df: DataFrame, group_cols: list[str], order_cols: list,
-              rank_col: str = "rank", small_limit: int | None = SMALL_LIMIT) -> DataFrame:
+              rank_col: str = "rank") -> DataFrame:
     """1-based row number within each group; order keys must be unique."""
     ones = df.withColumn("_one", F.lit(1).cast("long"))
-    out = running_sums(ones, group_cols, order_cols, ["_one"], prefix="_cum",
-                       small_limit=small_limit)
+    out = running_sums(ones, group_cols, order_cols, ["_one"], prefix="_cum")
     return out.withColumnRenamed("_cum_one", rank_col).drop("_one")
 
 
+def cut_points(df: DataFrame, group: Column, key: Column, targets: dict) -> dict:
+    """{group value: (value, before, equal)} for ``targets`` {group value: t >= 1}: the
+    t-th smallest of the long ``key`` in the group, the rows below it, the rows at it.
+
+    Each pass is one aggregation on (group, next 16 bits); of its at most 65,536 counts
+    a group only the one bucket with the cut reaches the driver.  A bucket of one value
+    ends the search early, so unique hashes take two or three passes.
+    """
+    rows = df.select(group.alias("_g"), key.cast("long").alias("_k")).where(F.col("_k").isNotNull())
+    # flipping the sign bit makes unsigned digits sort like the signed key
+    rows = rows.withColumn("_u", F.col("_k").bitwiseXOR(F.lit(-(1 << 63))))
+    state = {g: (0, t, 0) for g, t in targets.items() if t > 0}  # prefix, rank inside it, rows below it
+    done: dict = {}
+    for shift in (48, 32, 16, 0):
+        if not state:
+            break
+        digit = F.shiftright("_u", shift).bitwiseAND(F.lit(0xFFFF))
+        prefix, rank = None, None
+        for g, (p, t, _) in state.items():
+            mine = F.col("_g") == F.lit(g)
+            prefix = F.when(mine, F.lit(p)) if prefix is None else prefix.when(mine, F.lit(p))
+            rank = F.when(mine, F.lit(t)) if rank is None else rank.when(mine, F.lit(t))
+        inside = F.lit(True) if shift == 48 else F.shiftrightunsigned("_u", shift + 16) == prefix
+        counts = (rows.where(F.col("_g").isin(list(state)) & inside).groupBy("_g", digit.alias("_d"))
+                  .agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi")))
+        upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_d"))
+        found = (counts.withColumn("_c", upto).where((F.col("_c") >= rank) & (F.col("_c") - F.col("_n") < rank)).collect())
+        nxt = {}
+        for r in found:
+            p, t, below = state[r["_g"]]
+            below += r["_c"] - r["_n"]
+            if r["_lo"] == r["_hi"]:
+                done[r["_g"]] = (r["_lo"], below, r["_n"])
+            else:
+                nxt[r["_g"]] = ((p << 16) | r["_d"], t - (r["_c"] - r["_n"]), below)
+        state = nxt
+    return done
+
+
+def first_rows(df: DataFrame, group: Column, hash_key: Column, key: Column, targets: dict) -> Column:
+    """Condition for the first t rows of each group in the order (hash, key)."""
+    cuts = cut_points(df, group, hash_key, targets)
+    # rows that share the cut's hash are told apart by the key
+    ties = {g: targets[g] - below for g, (_, below, equal) in cuts.items() if targets[g] - below < equal}
+    tied = {}
+    if ties:
+        at = None
+        for g in ties:
+            mine = (group == F.lit(g)) & (hash_key == F.lit(cuts[g][0]))
+            at = mine if at is None else at | mine
+        tied = cut_points(df.where(at), group, key, ties)
+    out = F.lit(False)
+    for g, (cut, _, _) in cuts.items():
+        last = hash_key == F.lit(cut)
+        if g in tied:
+            last = last & (key <= F.lit(tied[g][0]))
+        out = F.when(group == F.lit(g), (hash_key < F.lit(cut)) | last).otherwise(out)
+    return out
+
+
 def exact_percentiles(df: DataFrame, value_col: str, probs: list[float],
-                      group_cols: list[str] | None = None, names: list[str] | None = None,
-                      distinct_limit: int = 500_000,
-                      small_limit: int | None = SMALL_LIMIT) -> DataFrame:
+                      group_cols: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles (numpy 'linear') of a column.
 
-    Nulls and NaNs are ignored.  Low-cardinality columns use Spark's
-    ``percentile``, whose partial buffers map each distinct value to a count,
-    so memory is bounded by the distinct count, not the row count.  Above
-    ``distinct_limit`` distinct values the rank of every distinct value is
-    found with the distributed running sum over (group, value) counts.
+    Nulls and NaNs are ignored.  Rows are first counted by (group, distinct value);
+    a distributed running sum over these counts gives every value's ranks.
     """
     group_cols = list(group_cols or [])
     names = names or [f"p{int(round(p * 100))}" for p in probs]
-    v = F.col(value_col)
+    v = F.col(f"`{value_col}`")
     clean = df.select(*group_cols, v.try_cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    n_distinct = clean.agg(F.approx_count_distinct("_v").alias("d")).first()["d"]
-    if n_distinct <= distinct_limit:
-        agg = F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs]))
-        res = (clean.groupBy(*group_cols) if group_cols else clean.groupBy()).agg(agg.alias("_q"))
-        return res.select(*group_cols, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    return _percentiles_by_rank(clean, group_cols, probs, names, small_limit)
-
-
-def exact_medians(df: DataFrame, cols: list[str], distinct_limit: int = 500_000,
-                  small_limit: int | None = SMALL_LIMIT) -> dict:
-    """Exact medians of several columns: one pass for the distinct counts and
-    one pass for all low-cardinality columns together."""
-    vals = {c: F.col(c).try_cast("double") for c in cols}
-    clean = {c: F.when(~F.isnan(v), v) for c, v in vals.items()}
-    counts = df.agg(*[F.approx_count_distinct(clean[c]).alias(c) for c in cols]).first()
-    low = [c for c in cols if counts[c] <= distinct_limit]
-    out = {}
-    if low:
-        row = df.agg(*[F.percentile(clean[c], F.lit(0.5)).alias(c) for c in low]).first()
-        out.update({c: row[c] for c in low})
-    for c in cols:
-        if c not in out:
-            r = exact_percentiles(df, c, [0.5], names=["m"], distinct_limit=-1, small_limit=small_limit).first()
-            out[c] = None if r is None else r["m"]
-    return out
+    return _percentiles_by_rank(clean, group_cols, probs, names)
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict:
+    """Exact medians of several columns: one count of (column, value) and one running
+    sum for all of them; None for a column without values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"`{c}`").try_cast("double").alias("_v"))
+                                         for c in cols])).alias("_s")).select("_s.*")
+    got = {r["_c"]: r["m"] for r in exact_percentiles(long, "_v", [0.5], ["_c"], ["m"]).collect()}
+    return {c: got.get(c) for c in cols}
 
 
-def _percentiles_by_rank(clean, group_cols, probs, names, small_limit):
+def _percentiles_by_rank(clean, group_cols, probs, names):
     gkey = group_cols or ["_g"]
     if not group_cols:
         clean = clean.withColumn("_g", F.lit(0))
     counts = clean.groupBy(*gkey, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_sums(counts, gkey, ["_v"], ["_n"], small_limit=small_limit)
+    cum = running_sums(counts, gkey, ["_v"], ["_n"])
     cum = cum.withColumn("_lo_rank", F.col("cum__n") - F.col("_n"))
     sizes = counts.groupBy(*gkey).agg(F.sum("_n").alias("_size"))
     targets = []
@@ -203,11 +226,11 @@ def _percentiles_by_rank(clean, group_cols, probs, names, small_limit):
                                     F.ceil(pos).cast("long").alias("_r_hi"),
                                     (pos - F.floor(pos)).alias("_frac")))
     tgt = reduce(DataFrame.unionByName, targets)
-    # one row per (group, quantile); the number of groups is small (labels)
-    lo = (cum.join(F.broadcast(tgt), gkey)
+    # one row per (group, quantile): joined as its size asks for
+    lo = (cum.join(tgt, gkey)
           .where((F.col("_lo_rank") <= F.col("_r_lo")) & (F.col("_r_lo") < F.col("cum__n")))
           .select(*gkey, "_qi", "_frac", F.col("_v").alias("_v_lo")))
-    hi = (cum.join(F.broadcast(tgt), gkey)
+    hi = (cum.join(tgt, gkey)
           .where((F.col("_lo_rank") <= F.col("_r_hi")) & (F.col("_r_hi") < F.col("cum__n")))
           .select(*gkey, "_qi", F.col("_v").alias("_v_hi")))
     q = lo.join(hi, [*gkey, "_qi"]).select(

@@ -2,9 +2,8 @@
 
 Every random choice is a hash of the row key and a seed
 (``xxhash64(key, seed)`` by default), never ``rand()``: the result is then
-independent of partitioning and of task retries.  Row ranks come from the
-distributed running sum in ``ranking`` — no single-task window over a class
-that may hold most of the rows.
+independent of partitioning and of task retries.  Split and folds are cut points
+of that hash, found by counting; the assignment itself is a projection.
 """
 
 from __future__ import annotations
@@ -13,15 +12,22 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
-from .ranking import rank_rows
+from .ranking import first_rows
 
 
 def seeded_hash(key: str, seed: int, purpose: str = "") -> Column:
     return F.xxhash64(F.col(key), F.lit(purpose), F.lit(seed))
 
 
+def _tie_key(df: DataFrame, key: str) -> Column:
+    """The key as a long; keys that are no integers stand by their hash."""
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    return F.col(key).cast("long") if whole else F.xxhash64(F.col(key), F.lit("tie"))
+
+
 def class_counts_dict(df: DataFrame, label: str) -> dict:
     """Rows per class (one aggregation; k result rows)."""
     return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -60,12 +66,8 @@ def split_stratified(df: DataFrame, label: str = "label", test_fraction: float =
     train = approximate_mode(counts, n - n_test)
     quota = {c: counts[c] - train[c] for c in counts}
     h = order if order is not None else seeded_hash(key, seed, "split")
-    ranked = rank_rows(df.withColumn("_h", h), [label], ["_h", key], "_rank")
-    q = None
-    for c, t in quota.items():
-        cond = F.col(label) == F.lit(c)
-        q = F.when(cond, F.lit(t)) if q is None else q.when(cond, F.lit(t))
-    return ranked.withColumn(out, F.col("_rank") <= q).drop("_h", "_rank")
+    h = h.cast("long")
+    return df.withColumn(out, first_rows(df, F.col(label), h, _tie_key(df, key), quota))
 
 
 def kfold(df: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED, key: str = C.ID_COL,
@@ -73,7 +75,7 @@ def kfold(df: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED, key: str = C.I
     """Shuffled k-fold assignment: contiguous chunks of a seeded permutation.
 
     The first n mod k folds get one extra row, as in the usual k-fold split.
-    That needs a global rank (a distributed sort); ``exact_sizes=False``
+    The k - 1 cut points are found by counting; ``exact_sizes=False``
     assigns ``pmod(hash, k)`` instead — a pure projection, fold sizes equal
     only in expectation.
     """
@@ -82,12 +84,13 @@ def kfold(df: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED, key: str = C.I
         return df.withColumn(out, F.pmod(h, F.lit(k)).cast("int"))
     n = df.count()
     size, extra = divmod(n, k)
-    ranked = rank_rows(df.withColumn("_h", h), [], ["_h", key], "_rank")
-    r = F.col("_rank") - 1
-    big = F.lit(extra * (size + 1))
-    fold = F.when(r < big, F.floor(r / F.lit(size + 1))).otherwise(
-        F.lit(extra) + F.floor((r - big) / F.lit(max(size, 1))))
-    return ranked.withColumn(out, fold.cast("int")).drop("_h", "_rank")
+    h, key_col = h.cast("long"), _tie_key(df, key)
+    fold = F.lit(k - 1)
+    ends = [(i + 1) * size + min(i + 1, extra) for i in range(k - 1)]
+    for i in reversed(range(k - 1)):
+        first = first_rows(df, F.lit(0), h, key_col, {0: ends[i]}) if ends[i] else F.lit(False)
+        fold = F.when(first, F.lit(i)).otherwise(fold)
+    return df.withColumn(out, fold.cast("int"))
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:

@@ -41,9 +41,8 @@ def marginal_prob(df: DataFrame, label: str, labels: list[str]) -> DataFrame:
     """Share of each label over all rows (one aggregation)."""
     row = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count_if(F.col(label) == F.lit(x)).alias(f"_c{i}") for i, x in enumerate(labels)])
-    stacked = ", ".join(f"'{x}', _c{i}" for i, x in enumerate(labels))
-    return row.selectExpr(f"stack({len(labels)}, {stacked}) as ({label}, n)", "_n").select(
-        label, (F.col("n") / F.col("_n")).alias("p"))
+    long = row.select(X.rows_of([(F.lit(x).alias(label), F.col(f"_c{i}").alias("n")) for i, x in enumerate(labels)]), "_n")
+    return long.select(label, (F.col("n") / F.col("_n")).alias("p"))
 
 
 def crosstab_counts(df: DataFrame, a: str, b: str, labels: list[str]) -> DataFrame:
@@ -69,8 +68,8 @@ def wilson_interval(df: DataFrame, label: str, labels: list[str], z: float = C.W
     """95 % Wilson score interval for each label's share, clipped to [0, 1]."""
     counts = df.agg(F.count(F.lit(1)).alias("_n"),
                     *[F.count_if(F.col(label) == F.lit(x)).alias(f"_c{i}") for i, x in enumerate(labels)])
-    stacked = ", ".join(f"'{x}', {i}, _c{i}" for i, x in enumerate(labels))
-    long = counts.selectExpr(f"stack({len(labels)}, {stacked}) as ({label}, _pos, k)", "_n")
+    long = counts.select(X.rows_of([(F.lit(x).alias(label), F.lit(i).alias("_pos"), F.col(f"_c{i}").alias("k"))
+                                    for i, x in enumerate(labels)]), "_n")
     n = F.col("_n").cast("double")
     p = F.col("k") / n
     z2 = F.lit(z * z)
@@ -100,17 +99,20 @@ def chi_square(df: DataFrame, cols: list[str], label: str, with_p: bool = True)
     colm = cells.groupBy("variable", label).agg(F.sum("o").alias("c"))
     tot = rows.groupBy("variable").agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("nr"))
     ncols = colm.groupBy("variable").agg(F.count(F.lit(1)).alias("nc"))
-    # full r x c grid of the contingency table (values x labels per variable)
-    grid = (rows.join(colm, "variable")
-            .join(cells, ["variable", "value", label], "left")
-            .join(tot, "variable").join(ncols, "variable"))
+    # Only observed cells: an empty cell adds its expected count, and all expected counts add up to n
+    seen = (cells.join(rows, ["variable", "value"]).join(colm, ["variable", label]).join(tot, "variable"))
     e = F.col("r") * F.col("c") / F.col("n")
-    o = F.coalesce(F.col("o"), F.lit(0)).cast("double")
-    dof = (F.col("nr") - 1) * (F.col("nc") - 1)
-    diff = F.abs(o - e)
-    diff = F.when(dof == 1, diff - F.least(F.lit(0.5), diff)).otherwise(diff)
-    stat = (grid.groupBy("variable")
-            .agg(F.sum(diff * diff / e).alias("chi2"), F.first(dof).cast("int").alias("dof")))
+    o = F.col("o").cast("double")
+    plain = seen.groupBy("variable").agg((F.sum((o - e) * (o - e) / e) + F.first("n") - F.sum(e)).alias("chi2"))
+    # Yates' correction looks at each of the four cells of a 2 x 2 table
+    two = tot.where("nr = 2").join(ncols.where("nc = 2"), "variable").select("variable", "n")
+    four = (rows.join(two, "variable").join(colm, "variable").join(cells, ["variable", "value", label], "left"))
+    diff = F.abs(F.coalesce("o", F.lit(0)).cast("double") - e)
+    diff = diff - F.least(F.lit(0.5), diff)
+    yates = four.groupBy("variable").agg(F.sum(diff * diff / e).alias("yates"))
+    stat = (plain.join(yates, "variable", "left").join(tot, "variable").join(ncols, "variable")
+            .select("variable", F.coalesce("yates", "chi2").alias("chi2"),
+                    ((F.col("nr") - 1) * (F.col("nc") - 1)).cast("int").alias("dof")))
     out = stat.select(F.col("variable").alias("Variable"), F.col("chi2").alias("Chi2"),
                       F.col("dof").alias("df"))
     if with_p:
@@ -148,9 +150,9 @@ def bayes_table(df: DataFrame, conditions: list[tuple[str, str, str]], label: st
     parts = []
     for j, (_, _, name) in enumerate(conditions):
         for i, x in enumerate(labels):
-            parts.append(f"'{name}', {j}, '{x}', {i}, c{j}, s{i}, c{j}s{i}")
-    long = wide.selectExpr(
-        f"stack({len(parts)}, {', '.join(parts)}) as (condition, _cpos, {label}, _lpos, nc, ns, ncs)", "_n")
+            parts.append((F.lit(name).alias("condition"), F.lit(j).alias("_cpos"), F.lit(x).alias(label), F.lit(i).alias("_lpos"),
+                          F.col(f"c{j}").alias("nc"), F.col(f"s{i}").alias("ns"), F.col(f"c{j}s{i}").alias("ncs")))
+    long = wide.select(X.rows_of(parts), "_n")
     n = F.col("_n").cast("double")
     p_c = F.col("nc") / n
     p_s = F.col("ns") / n
@@ -171,8 +173,7 @@ def histogram_by(df: DataFrame, col: str, label: str, bins: int = C.HIST_BINS) -
     rng = rng.select(label,
                      F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("_lo"),
                      F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("_hi"))
-    # one row per label: a small, bounded side
-    j = clean.join(F.broadcast(rng), label)
+    j = clean.join(rng, label)
     width = (F.col("_hi") - F.col("_lo"))
     b = F.least(F.floor((F.col(col) - F.col("_lo")) * F.lit(bins) / width).cast("int"), F.lit(bins - 1))
     counted = j.groupBy(label, b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
@@ -188,7 +189,7 @@ def box_stats(df: DataFrame, col: str, label: str, whis: float = 1.5) -> DataFra
     clean = df.where(F.col(col).isNotNull() & F.col(label).isNotNull())
     q = exact_percentiles(clean, col, [0.25, 0.5, 0.75], group_cols=[label],
                           names=["q1", "median", "q3"])
-    j = clean.join(F.broadcast(q), label)
+    j = clean.join(q, label)
     iqr = F.col("q3") - F.col("q1")
     lo_lim = F.col("q1") - F.lit(whis) * iqr
     hi_lim = F.col("q3") + F.lit(whis) * iqr

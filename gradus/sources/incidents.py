@@ -62,21 +62,6 @@ def read_incidents(spark: SparkSession, path: str, fmt: str = "parquet",
     return reader.format(fmt).load(path)
 
 
-def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition on ``key`` when a scan yields fewer splits than cores.
-
-    A small input stored as one Parquet row group is read by one task; every
-    projection and partial aggregation downstream would then run on a single
-    core.  Large inputs already have one split per file block and are left
-    alone.  Partitioning on the join key lets a later sort-merge join on the
-    same key reuse this shuffle.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
-    return df
-
-
 def _case(col: Column, mapping: list, default) -> Column:
     expr = None
     for key, value in mapping:
@@ -99,7 +84,6 @@ def incident_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    o = ensure_parallelism(o, "o_custkey")
     base = (o.join(c, o.o_custkey == c.c_custkey)
             .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")))
 
