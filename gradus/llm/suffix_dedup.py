@@ -40,7 +40,7 @@ from .rolling import Spans, mix, runs
 
 LENGTH, GRAM = 200, 50
 STEP_BYTES = 2_000_000
-MAX_CLASSES = 2_000
+MAX_CLASSES = 20_000  # contexts of one anchor that one task sorts, about 5 MB
 GROUP_ROWS = 4_000
 NO_ID = -(1 << 63)
 ROW = "gram long, context long, key long, th long, pos long"
