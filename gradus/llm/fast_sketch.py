@@ -12,10 +12,12 @@ Equal sets are one class from the start.  No bucket's pairs are ever listed:
 
 1. each bucket links its members to two of them (smallest and largest class hash);
    confirmed links give first components;
-2. only buckets that still hold several components are looked at in full, in blocks
-   of at most ``BLOCK`` members, where sketches rule out pairs in numpy: a pair is
-   dropped if its equal coordinates are six deviations below the threshold, and the
-   rest is confirmed on full sets.
+2. buckets that still hold several components are looked at in blocks of at most
+   ``BLOCK`` members, where sketches rule out pairs in numpy: a pair is dropped if its
+   equal coordinates are five deviations below the threshold.  First every member's
+   likeliest candidates of other components are confirmed on full sets, which joins
+   most of a group of near copies.  Then all that are left are compared in their blocks
+   on sets of short hashes, and those that agree are confirmed on full sets.
 
 Misses: a pair at the threshold s shares no band with probability (1 - s^rows)^bands:
 1e-9 at 0.85 and 1e-6 at 0.8 with the default 36 bands of 5.
@@ -41,6 +43,7 @@ from .rolling import Spans, mix, runs
 
 BANDS, ROWS = 36, 5
 BLOCK = 512
+LIKELIEST = (2,)  # candidates of a member in the rounds before the one that takes all
 STEP_BYTES = 2_000_000
 STEP_DOCS = 4_000
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -158,20 +161,55 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, t: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block, or between two, of different components whose sketches allow a link."""
-    least = t * (percent / 100) - 6 * (t * percent / 100 * (1 - percent / 100)) ** 0.5
+def _agree(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sets of 32-bit hashes allow a link; up to two of each set's may coincide."""
+    both = len(np.intersect1d(x, y)) + 2
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _short_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for s in steps(texts):
+            h, ptr = shingle_sets(texts[s], k)
+            short = (h >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("h")[s.start:s.stop],
+                 pa.array([short[x:y].tobytes() for x, y in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())],
+                names=["h", "set"])
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, t: int, best: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of one block, or between two, of different components whose sketches allow a
+    link: of each member the ``best`` likeliest, or (0) all whose sets agree enough."""
+    least = t * (percent / 100) - 5 * (t * percent / 100 * (1 - percent / 100)) ** 0.5
     for table, at in runs(batches, ["band", "i", "j"], 4096):
         c = {n: table.column(n).to_numpy() for n in ("h", "root", "n", "side", "i", "j")}
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, t)
+        sets = [] if best else [np.frombuffer(x, np.uint32) for x in table.column("set").to_pylist()]
+        keys = np.zeros((0, 0)) if best else table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sig), -1)
+        band = table.column("band").to_numpy()
         found: list[np.ndarray] = []
         for s, e in zip(at, [*at[1:], table.num_rows], strict=True):
-            left = np.arange(s, e)[c["side"][s:e] == 0]
-            right = left if c["i"][s] == c["j"][s] else np.arange(s, e)[c["side"][s:e] == 1]
-            for x in left:
-                y = right[c["root"][right] != c["root"][x]]
+            rows = np.arange(s, e)
+            one_block = c["i"][s] == c["j"][s]
+            for x in rows:
+                y = rows[c["root"][s:e] != c["root"][x]] if one_block else rows[
+                    (c["root"][s:e] != c["root"][x]) & (c["side"][s:e] != c["side"][x])]
                 y = y[100 * np.minimum(c["n"][y], c["n"][x]) >= percent * np.maximum(c["n"][y], c["n"][x])]
-                y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
+                same = (sig[y] == sig[x]).sum(axis=1)
+                y, same = y[same >= least], same[same >= least]
+                if best and len(y) > best:
+                    y = y[np.argpartition(-same, best - 1)[:best]]
+                elif not best:
+                    if not one_block:
+                        y = y[c["side"][x] < c["side"][y]]
+                    else:
+                        y = y[y > x]
+                    if len(y):  # in the first band that the two share
+                        before = int(np.flatnonzero(keys[x] == band[x])[0])
+                        y = y[~(keys[y][:, :before] == keys[x, :before]).any(axis=1)]
+                    y = y[np.array([_agree(sets[x], sets[k], percent) for k in y], bool)]
                 if len(y):
                     found.append(np.stack([np.minimum(c["h"][y], c["h"][x]), np.maximum(c["h"][y], c["h"][x])]))
         if found:
@@ -179,6 +217,18 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, t: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
+def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after some more links, which can only join whole components."""
+    a, b = (root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    ends = (links.join(a, "a", "left").join(b, "b", "left")
+            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    ends = stored(ends, "ends")
+    upper = components(ends).select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    own = ends.select(F.explode(F.array("a", "b")).alias("node"))
+    nodes = root.union(own.select("node", F.col("node").alias("root"))).distinct()
+    return stored(nodes.join(upper, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """id, th (hash of the text), n_shingles, component_id, kept for every row of ``docs``."""
@@ -215,30 +265,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links = stored(confirmed(stars), "links")
     root = components(links)
 
-    rest = (member.select("band", "h").join(root.select(F.col("node").alias("h"), "root"), "h", "left")
-            .withColumn("root", F.coalesce("root", "h")))
-    open_ = (rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
-             .where("lo < hi").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     sig = sk.where("n > 0").join(involved.select("h"), "h", "left_semi").groupBy("h").agg(
-        F.first("n").alias("n"), F.first("sig").alias("sig"))
-    rest = (rest.join(open_, "band").join(sig, "h")
-            .withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                    (F.col("block") > F.col("other")).cast("int").alias("side"), "h", "root", "n", "sig"))
+        F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    sets = text.mapInArrow(functools.partial(_short_sets, k=shingle), "h long, set binary").groupBy("h").agg(
+        F.first("set").alias("set"))
+    sig = stored(sig.join(sets, "h", "left"), "signatures")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = (rest.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-            .mapInArrow(functools.partial(_block_pairs, percent=percent, t=bands * rows), "a long, b long")
-            .distinct().join(stars, ["a", "b"], "left_anti"))
-    # links between components only join whole components
-    late = stored(confirmed(more), "late")
-    to = {c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"}
-    late = (late.join(to["a"], "a", "left").join(to["b"], "b", "left")
-            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    upper = components(late).select(F.col("node").alias("root"), F.col("root").alias("upper"))
-    nodes = root.union(late.select(F.col("a").alias("node"), F.col("a").alias("root"))).union(
-        late.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-    root = nodes.join(upper, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+    tried = stars
+    for best in (*LIKELIEST, 0):
+        rest = (member.select("band", "h").join(root.select(F.col("node").alias("h"), "root"), "h", "left")
+                .withColumn("root", F.coalesce("root", "h")))
+        open_ = (rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
+                 .where("lo < hi").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+        rest = (rest.join(open_, "band").join(sig.drop("set", "bands") if best else sig, "h")
+                .withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                        (F.col("block") > F.col("other")).cast("int").alias("side"), "h", "root", "n", "sig", *([] if best else ["set", "bands"])))
+        more = (rest.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+                .mapInArrow(functools.partial(_block_pairs, percent=percent, t=bands * rows, best=best), "a long, b long")
+                .distinct().join(tried, ["a", "b"], "left_anti"))
+        more = stored(more, "pairs")
+        tried = tried.union(more)
+        root = _joined(root, stored(confirmed(more), "late"))
 
     top = classes.join(root.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     low = top.groupBy("root").agg(F.min("cid").alias("component_id"))
