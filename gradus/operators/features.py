@@ -95,7 +95,9 @@ def fit_categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
 
 
 def dummy_name(col: str, value: str) -> str:
-    return f"{col}_{value}"
+    """Column of a level.  A dot would be read as a field path by the assembler, so it
+    becomes the one-dot leader, which looks alike and keeps levels apart."""
+    return f"{col}_{value}".replace(".", "\u2024")
 
 
 def one_hot(df: DataFrame, cols: list[str], categories: dict | None = None,

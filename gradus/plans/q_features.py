@@ -33,7 +33,7 @@ SELECT column_name AS column,
        WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS dtype
 FROM (DESCRIBE SELECT * FROM i)"""))
 def q_profile_dtypes(spark, sf):
-    return PR.profile_dtypes(incidents(spark, sf))
+    return PR.profile_dtypes(incidents(spark, sf, own_schema=True))
 
 
 _SAMPLE_COLS = ["incident_id", "reported_at", "incident_date", "incident_time", "roadway_type",

@@ -224,7 +224,7 @@ def q_score_stream(spark, sf):
 @query("sink_reports")
 def q_sink_reports(spark, sf):
     """Writes every report table and returns the written index."""
-    tr = TR.cached_training(spark, sf, TR.QUICK, which=("OLR", "RF"))
+    tr = TR.cached_training(spark, sf, TR.QUICK)
     reps = TR.build_reports(spark, incidents(spark, sf), tr, TR.QUICK)
     return RS.write_reports(spark, reps, scratch_path(spark, "reports"))
 
@@ -253,4 +253,4 @@ def q_job_retrain(spark, sf):
     """Refit and republish to a fresh version; returns the published index."""
     from . import jobs
     root = scratch_path(spark, "published")
-    return jobs.retrain(spark, sf, root, TR.QUICK, which=("OLR", "RF"))
+    return jobs.retrain(spark, incidents(spark, sf), root, TR.QUICK, on_missing="drop")

@@ -49,7 +49,8 @@ class Sizes:
 
 FULL = Sizes(C.RF_TREES, C.RF_DEPTH, C.GBT_ROUNDS, C.GBT_DEPTH, tuple(C.MLP_HIDDEN), C.MLP_MAX_ITER,
              C.ORDINAL_MAX_ITER, C.LR_MAX_ITER, 300, 100, C.PERMUTATION_REPEATS)
-QUICK = Sizes(20, 10, 5, 5, (16, 8), 30, 50, 100, 60, 30, 2)
+#: the ordinal and the logistic fit run to the application's limits; the others are cut
+QUICK = Sizes(20, 10, 5, 5, (16, 8), 30, C.ORDINAL_MAX_ITER, C.LR_MAX_ITER, 60, 30, 2)
 
 
 @dataclass
@@ -74,8 +75,23 @@ _CACHE: dict = {}
 
 
 def prepare(spark: SparkSession, incidents: DataFrame, task: C.TaskConfig = C.DEFAULT_TASK,
-            test_fraction: float = C.SPLIT_TEST_FRACTION, seed: int = C.SEED) -> Prepared:
+            test_fraction: float = C.SPLIT_TEST_FRACTION, seed: int = C.SEED,
+            on_missing: str = "fail") -> Prepared:
+    """Features and split.  Rows with an unknown label or without a mileage cannot be
+    trained on: an error that names their counts, or (``on_missing="drop"``) left out."""
+    if on_missing not in ("fail", "drop"):
+        raise ValueError("on_missing is 'fail' or 'drop'")
     ensure_checkpoint_dir(spark)
+    known = F.col(task.label_col).isin(task.labels)
+    number = {c: X.to_double(c) for c in task.numeric if c in incidents.columns and c not in (C.SPEED_LIMIT, C.PRECRASH)}
+    whole = reduce(lambda a, b: a & b, [v.isNotNull() for v in number.values()], F.coalesce(known, F.lit(False)))
+    if on_missing == "drop":
+        incidents = incidents.where(whole)
+    else:
+        lost = incidents.agg(F.count_if(~F.coalesce(known, F.lit(False))).alias(task.label_col),
+                             *[F.count_if(v.isNull()).alias(c) for c, v in number.items()]).first().asDict()
+        if any(lost.values()):
+            raise ValueError(f"rows that cannot be trained on: {lost}")
     # the fit passes (medians, levels, scaler, class counts) all read the
     # input; keep it materialised (memory + disk, recomputable) until the
     # split is checkpointed
@@ -103,12 +119,13 @@ def resample(prep: Prepared, task: C.TaskConfig = C.DEFAULT_TASK) -> DataFrame:
 
 def train_all(spark: SparkSession, incidents: DataFrame | None, sizes: Sizes = FULL,
               task: C.TaskConfig = C.DEFAULT_TASK, which: tuple | None = None,
-              prep: Prepared | None = None, resampled: DataFrame | None = None) -> Trained:
+              prep: Prepared | None = None, resampled: DataFrame | None = None,
+              on_missing: str = "fail") -> Trained:
     """Fit the seven models of the application and predict the test rows.
 
     ``prep`` / ``resampled`` reuse an earlier split / SMOTE output.
     """
-    prep = prep or prepare(spark, incidents, task)
+    prep = prep or prepare(spark, incidents, task, on_missing=on_missing)
     k, idc = task.k, task.id_col
     out = Trained(prep)
     want = set(which or ("OLR", "RF", "OLR_SMOTE", "RF_SMOTE", "GBM", "MLP", "SVM"))
@@ -158,7 +175,7 @@ def cached_prepared(spark: SparkSession, sf_dir: str) -> Prepared:
     from .fixtures import incidents
     key = ("prep", id(spark), sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = prepare(spark, incidents(spark, sf_dir))
+        _CACHE[key] = prepare(spark, incidents(spark, sf_dir), on_missing="drop")
     return _CACHE[key]
 
 

@@ -1,5 +1,9 @@
 """Report sink and version pointers."""
 
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
 from gradus.plans.jobs import current_version
 from gradus.sources.reports import read_report, write_reports
 
@@ -17,3 +21,20 @@ def test_current_version_is_latest_pointer(spark, tmp_path):
     for v in ("20260101T000000-aaaa", "20260102T000000-bbbb"):
         spark.createDataFrame([(v, "x")], "version string, path string").write.json(f"{root}/pointers/{v}")
     assert current_version(spark, root) == "20260102T000000-bbbb"
+
+
+def test_rows_that_cannot_be_trained_on(spark, sf_small):
+    from gradus.plans import training as TR
+    from gradus.plans.fixtures import incidents
+    inc = incidents(spark, sf_small).withColumn("severity", F.when(F.col("incident_id") % 50 == 0, "odd").otherwise(F.col("severity")))
+    with pytest.raises(ValueError, match="severity"):
+        TR.prepare(spark, inc)
+    prep = TR.prepare(spark, inc, on_missing="drop")
+    assert prep.split.count() <= inc.where("severity <> 'odd'").count()
+
+
+def test_current_version_reports_other_errors(spark, tmp_path):
+    (tmp_path / "pointers" / "v").mkdir(parents=True)
+    (tmp_path / "pointers" / "v" / "part.json").write_text('{"other": 1}')
+    with pytest.raises(AnalysisException):
+        current_version(spark, str(tmp_path))

@@ -22,9 +22,9 @@ def test_no_cartesian_or_nested_loop_joins(plans):
 
 
 def test_scans_are_pruned(spark, sf_small):
-    plan = E.queries()["src_incidents"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
-    # customer is read without c_name, nation without n_name
-    assert "c_name" not in plan and "n_name" not in plan
+    from gradus.sources.incidents import incident_view
+    plan = _plan(incident_view(spark, sf_small))  # before it is written and read back
+    assert "c_custkey" in plan and "c_name" not in plan and "n_name" not in plan
 
 
 def test_bayes_table_is_one_aggregation(plans):

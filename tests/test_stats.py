@@ -54,3 +54,18 @@ def test_bayes_equals_direct_share(spark, sf_small):
 def test_wilson_contains_share(spark, sf_small):
     for r in ST.wilson_interval(incidents(spark, sf_small), "severity", C.SEVERITY_LABELS).collect():
         assert 0.0 <= r["lower"] <= r["p"] <= r["upper"] <= 1.0
+
+
+def test_any_character_in_names(spark):
+    """Apostrophes and dots in labels, levels and conditions."""
+    rows = [("St. John's", "it's", float(i % 7), i) for i in range(20)] + [("b", "so.so", float(i % 5), 20 + i) for i in range(30)]
+    df = spark.createDataFrame(rows, "place string, label string, x double, id int")
+    labels = ["it's", "so.so"]
+    assert {r["label"]: r["p"] for r in ST.marginal_prob(df, "label", labels).collect()} == {"it's": 0.4, "so.so": 0.6}
+    assert ST.wilson_interval(df, "label", labels).count() == 2
+    assert ST.bayes_table(df, [("place", "St. John's", "it's there")], "label", labels).count() == 2
+    assert ST.chi_square(df, ["place"], "label").count() == 1
+    from gradus.operators import features as FE
+    enc, names = FE.one_hot(df, ["place"], drop_first=False)
+    got = FE.assemble(enc, names).select("id", "features").collect()
+    assert sorted((r["id"] < 20, list(r["features"].toArray())) for r in got) == [(False, [0.0, 1.0])] * 30 + [(True, [1.0, 0.0])] * 20
