@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -213,7 +214,21 @@ def q_scenario_features(spark, sf):
     return rounded(out.select(ID, *keep))
 
 
-@query("assemble_features")
+_VECTOR_SQL = with_(_STD_SQL, """
+SELECT incident_id, label,
+  ROUND((lim - m1) / CASE WHEN s1 = 0 THEN 1 ELSE s1 END, 6) AS posted_speed_limit,
+  ROUND((mileage - m2) / CASE WHEN s2 = 0 THEN 1 ELSE s2 END, 6) AS mileage,
+  ROUND((pre - m3) / CASE WHEN s3 = 0 THEN 1 ELSE s3 END, 6) AS precrash_speed,
+  ROUND((speed_ratio - m4) / CASE WHEN s4 = 0 THEN 1 ELSE s4 END, 6) AS speed_ratio,
+  ROUND((speed_night - m5) / CASE WHEN s5 = 0 THEN 1 ELSE s5 END, 6) AS speed_night,
+  """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.ENGINEERED_FEATURES) + ", "
+                    + ", ".join(d.replace(" AS \"", "::DOUBLE AS \"") for c, vs in _ONE_HOT_LEVELS.items()
+                                for d in _dummy_sql(c, vs)) + " FROM f2, st")
+
+
+@query("assemble_features", _VECTOR_SQL)
 def q_assemble_features(spark, sf):
-    feats, _ = FE.fit_features(incidents(spark, sf))
-    return feats.select(ID, "label", "features")
+    """The assembled vector, taken apart again by position."""
+    feats, model = FE.fit_features(incidents(spark, sf))
+    x = vector_to_array("features")
+    return rounded(feats.select(ID, "label", *[x[i].alias(n) for i, n in enumerate(model.feature_names)]))
