@@ -22,7 +22,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import doc_columns, read
 
 SPACE = "▁"
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
+SHORT = 48  # symbols
 DOCS_PER_STEP = 512
 _RUNS = re.compile(" *[^ ]+| +$")
 
@@ -65,14 +68,32 @@ class PieceBpe:
                 self.text_of[i] = " ⁇ "
         for b in range(128):
             self.text_of[self.bytes[b]] = chr(b)
-        self.high = np.zeros(n, bool)
-        self.high[self.bytes[128:]] = True
+        self.high = frozenset(self.bytes[128:])
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cache: dict[str, bytes] = {}
 
     def agenda(self, text: str) -> list[int]:
         """Ids of ``text``, whose spaces are U+2581, by the score-ordered agenda."""
         sym = list(text)
+        return self._ids(self._merge_short(sym) if len(sym) <= SHORT else self._merge_long(sym))
+
+    def _merge_short(self, sym: list[str]) -> list[str]:
+        """The agenda as a plain list of the pairs' scores: few pairs are scanned faster
+        than a heap is kept."""
+        get, none = self.scores.get, -np.inf
+        queue = [get(a + b, none) for a, b in itertools.pairwise(sym)]
+        while queue and (best := max(queue)) != none:
+            i = queue.index(best)  # the leftmost of equals
+            sym[i] += sym.pop(i + 1)
+            del queue[i]
+            if i < len(queue):
+                queue[i] = get(sym[i] + sym[i + 1], none)
+            if i:
+                queue[i - 1] = get(sym[i - 1] + sym[i], none)
+        return sym
+
+    def _merge_long(self, sym: list[str]) -> list[str]:
+        """The agenda as a heap with lazy deletion."""
         left, right = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
         queue: list[tuple[float, int, int, str]] = []
         scores = self.scores
@@ -94,14 +115,16 @@ class PieceBpe:
                     heapq.heappush(queue, (-scores[new], a, c, new))
             if (z := left[a]) >= 0 and (new := sym[z] + pair) in scores:
                 heapq.heappush(queue, (-scores[new], z, a, new))
+        return [s for s in sym if s]
+
+    def _ids(self, sym: list[str]) -> list[int]:
         out: list[int] = []
         for s in sym:
-            if s:
-                i = self.ids.get(s)
-                if i is None:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(i)
+            i = self.ids.get(s)
+            if i is None:
+                out.extend(self.bytes[b] for b in s.encode())
+            else:
+                out.append(i)
         return out
 
     def _words(self, text: str) -> list[str]:
@@ -121,7 +144,7 @@ class PieceBpe:
             got = [self.agenda(SPACE + w.replace(" ", SPACE)) if w else [self.ids[SPACE]] for w in new]
             filled = [(w, g) for w, g in zip(new, got, strict=True) if w]
             self.check([w for w, _ in filled], [g for _, g in filled])
-            self.cache.update((w, np.array(g, "<u4").tobytes()) for w, g in zip(new, got, strict=True))
+            self.cache.update((w, struct.pack(f"<{len(g)}I", *g)) for w, g in zip(new, got, strict=True))
         out = [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in cut]
         for t, ids in zip(texts, out, strict=True):
             if t:
@@ -132,26 +155,28 @@ class PieceBpe:
     def check(self, texts: list[str], ids: list[list[int]]) -> None:
         if self.library.encode(texts, num_threads=1) != ids:
             raise RuntimeError("ids differ from the sentencepiece library's")
-        if self.library.decode(ids, num_threads=1) != [self.decode(np.array(x, np.int64)) for x in ids]:
+        if self.library.decode(ids, num_threads=1) != list(map(self.decode, ids)):
             raise RuntimeError("decoded texts differ from the sentencepiece library's")
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Text of the ids: one leading space goes, runs of byte pieces become characters."""
-        if not len(ids):
+        if not ids:
             return ""
-        first = next((self.pieces[i].startswith(SPACE) for i in ids.tolist() if self.text_of[i]), False)
-        if not self.high[ids].any():
-            text = "".join(map(self.text_of.__getitem__, ids.tolist()))
+        if self.high.isdisjoint(ids):
+            text = "".join(map(self.text_of.__getitem__, ids))
         else:
             parts, run = [], bytearray()
-            for i in ids.tolist():
+            for i in ids:
                 if i in self.byte_of:
                     run.append(self.byte_of[i])
                     continue
                 parts += [self._chars(run), self.text_of[i]]
                 run.clear()
             text = "".join([*parts, self._chars(run)])
-        return text[1:] if first else text
+        if text[:1] != " ":
+            return text
+        first = next((self.pieces[i] for i in ids if self.text_of[i]), "")
+        return text[1:] if first.startswith(SPACE) else text
 
     @staticmethod
     def _chars(run: bytearray) -> str:
@@ -189,7 +214,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(
             [b.column("id"), pa.array([len(x) for x in ids], pa.int64()),
              pa.array([sha(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]),
-             pa.array([sha(decode(x).encode()).hexdigest() for x in ids])],
+             pa.array([sha(decode(x.tolist()).encode()).hexdigest() for x in ids])],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -205,7 +230,7 @@ def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatc
 def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     decode = vocabulary(path).decode
     for b in batches:
-        texts = [None if x is None else decode(np.array(x, np.int64)) for x in b.column("token_ids").to_pylist()]
+        texts = [None if x is None else decode(x) for x in b.column("token_ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(texts, pa.string())],
                                          names=[*b.schema.names, "decoded"])
 
