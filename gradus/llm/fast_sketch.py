@@ -44,7 +44,7 @@ from .rolling import Spans, mix, runs
 BANDS, ROWS = 36, 5
 BLOCK = 512
 LIKELIEST = (2,)  # candidates of a member in the rounds before the one that takes all
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 STEP_DOCS = 4_000
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -41,7 +41,7 @@ ORDER = 5
 SHARD = 4_000_000
 QUANTILE, SLACK = 0.99, 1.15
 BROADCAST_IDS = 1_000_000
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 FLUSH = 1_500_000
 
 

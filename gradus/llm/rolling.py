@@ -21,7 +21,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    return _powers(1 << max(21, int(n).bit_length()))
+    return _powers(1 << max(20, int(n).bit_length()))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -39,7 +39,7 @@ from .common import doc_columns, read, stored, text_hash
 from .rolling import Spans, mix, runs
 
 LENGTH, GRAM = 200, 50
-STEP_BYTES = 2_000_000
+STEP_BYTES = 400_000
 MAX_CLASSES = 20_000  # contexts of one anchor that one task sorts, about 5 MB
 GROUP_ROWS = 4_000
 NO_ID = -(1 << 63)
