@@ -13,7 +13,7 @@ without a shuffle; a worker holds one shard at a time (the last one stays loaded
 A document's perplexity is exp(-mean log p) over its bytes.  A fifth of the trusted
 documents, by a hash of the id, is not trained on; the ``quantile`` of their
 perplexities in each language is that language's threshold, and documents above
-``slack`` times the threshold are rejected.
+the threshold are rejected.
 
 Defined cases: null and empty texts have no perplexity and are kept; so are
 documents of a language without trusted text (there is nothing to judge by); a null
@@ -39,7 +39,7 @@ from .common import fresh_path, read, stored, text_hash
 
 ORDER = 5
 SHARD = 4_000_000
-QUANTILE, SLACK = 0.99, 1.15
+QUANTILE = 0.99
 BROADCAST_IDS = 1_000_000
 STEP_BYTES = 1_000_000
 FLUSH = 1_500_000
@@ -257,8 +257,7 @@ def _perplexities(batches: Iterator[pa.RecordBatch], path: str, order: int) -> I
                                          names=[*names, "perplexity"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE,
-             slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """id, th (hash of the text), lang, perplexity, threshold, kept of every document."""
     d = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash(F.col("text").cast("string")).alias("th"),
                     F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
@@ -274,7 +273,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     scored = stored(d.mapInArrow(functools.partial(_perplexities, path=path, order=order),
                                  "id long, th long, lang string, perplexity double"), "perplexities")
     limits = (scored.join(near, "id").where(aside).groupBy("lang")
-              .agg((slack * F.percentile_approx("perplexity", quantile, 100_000)).alias("threshold")))
+              .agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold")))
     return scored.join(limits, "lang", "left").withColumn(
         "kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 

@@ -73,6 +73,17 @@ def test_quality_edges(spark, edge_docs, no_docs, prose):
     assert kn_quality.classify(no_docs, labels).count() == 0
 
 
+def test_low_quality_goes_at_the_quantile(spark):
+    sf = "/root/testdata/sf0.1"  # the smaller tables have too few held-out texts
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    got = kn_quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).collect()
+    seen = {r["perplexity"] for r in got}
+    assert all(r["threshold"] in seen for r in got if r["threshold"] is not None)  # a text's own perplexity, no multiple
+    low = [r["kept"] for r in got if quality.get(r["id"]) == 0 and r["threshold"] is not None]
+    assert low.count(False) >= 0.87 * len(low)
+
+
 def test_nnpu_gradient_is_the_risk_s():
     rng = np.random.default_rng(0)
     g, positive = rng.normal(size=12), np.arange(12) < 4
