@@ -10,12 +10,15 @@
 3. Each node is searched for in all parts of its shards, in blocks of queries: greedy
    search from the part's medoid, which goes on past the beam as long as unexpanded
    nodes lie within ``MARGIN`` of the threshold.  Found pairs are verified by cosine in
-   double precision, and counted in one shard only if they meet in several.
-4. The links are audited: for a sample of queries all links are counted by brute force
+   double precision; each node's root among them gives the components.
+4. Nodes of one component that share a shard are tested exactly, a pair once, in the
+   smallest shard that both have, and counted for both ends: a link found by one side
+   only, or in another common shard only, is not lost.
+5. The links are audited: for a sample of queries all links are counted by brute force
    over all rows.  Below ``RECALL`` the search is repeated with a wider overlap and beam.
 
-A part gives each node's link count and its root among the links found there, never
-a list of pairs, so that groups of thousands of near copies stay linear.
+No step makes a list of pairs, so that rows of groups of thousands of near copies stay
+linear.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, or
 are not of the commonest length, link with nothing; repeated rows link with each
@@ -185,15 +188,14 @@ def _build(pdf: pd.DataFrame, dim: int) -> pd.DataFrame:
 
 
 def _search(pdf: pd.DataFrame, dim: int, threshold: float, beam: int) -> pd.DataFrame:
-    """For the nodes of a part and a block of queries: links counted here, and the root
-    of each linked node among the links found."""
-    shard = int(pdf["shard"].iloc[0])
+    """For the nodes of a part and a block of queries: the root of each linked node
+    among the links found."""
     base = pdf[pdf["base"]].sort_values("node")
     ask = pdf[~pdf["base"]].sort_values("node")
     nodes, x = base["node"].to_numpy(), _rows(base, dim)
     q, asked = _rows(ask, dim), ask["node"].to_numpy()
     if not len(nodes) or not len(asked):
-        return pd.DataFrame({"node": [], "links": [], "root": []})
+        return pd.DataFrame({"node": [], "root": []})
     width = max(1, max(len(a) for a in base["near"]))
     graph = np.full((len(nodes), width), -1)
     for i, near in enumerate(base["near"]):
@@ -201,10 +203,6 @@ def _search(pdf: pd.DataFrame, dim: int, threshold: float, beam: int) -> pd.Data
         at[at == len(nodes)] = 0
         own = at[nodes[at] == near]
         graph[i, :len(own)] = own
-    copies = base["copies"].to_numpy()
-    shards_x = [set(s.tolist()) for s in base["shards"]]
-    shards_q = [set(s.tolist()) for s in ask["shards"]]
-    links = np.zeros(len(asked), np.int64)
     names = np.union1d(nodes, asked)
     parent = np.arange(len(names))
 
@@ -221,15 +219,41 @@ def _search(pdf: pd.DataFrame, dim: int, threshold: float, beam: int) -> pd.Data
         for i, j in zip(*np.nonzero(found), strict=True):
             if nodes[j] == asked[s + i]:
                 continue
-            if min(shards_x[j] & shards_q[s + i]) == shard:
-                links[s + i] += copies[j]
             a, b = find(at_q[s + i]), find(at_x[j])
             parent[max(a, b)] = min(a, b)
             touched[at_q[s + i]] = touched[at_x[j]] = True
     root = np.array([find(i) if t else i for i, t in enumerate(touched)])
-    count = np.zeros(len(names), np.int64)
-    count[at_q] = links
-    return pd.DataFrame({"node": names[touched], "links": count[touched], "root": names[root[touched]]})
+    return pd.DataFrame({"node": names[touched], "root": names[root[touched]]})
+
+
+def _count(pdf: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:
+    """Links (rows) and peers (nodes) of each node of two parts, or of one with itself:
+    pairs of one component whose smallest common shard this is, tested once for both ends."""
+    shard, same = int(pdf["shard"].iloc[0]), pdf["part"].iloc[0] == pdf["block"].iloc[0]
+    out = []
+    for _, own in pdf.groupby("root"):
+        own = own.sort_values("node")
+        left = own[own["base"]]
+        right = left if same else own[~own["base"]]
+        if not len(left) or not len(right):
+            continue
+        x, y = _rows(left, dim), _rows(right, dim)
+        sx, sy = np.stack(left["shards"].to_list()), np.stack(right["shards"].to_list())
+        cx, cy = left["copies"].to_numpy(), right["copies"].to_numpy()
+        far = np.zeros((2, len(right)), np.int64)
+        near = np.zeros((2, len(left)), np.int64)
+        for s in range(0, len(left), QUERIES):
+            hit = x[s:s + QUERIES] @ y.T >= threshold
+            for i in range(sx.shape[1]):
+                for j in range(sy.shape[1]):
+                    less = np.where(sx[s:s + QUERIES, i] < shard, sx[s:s + QUERIES, i], -1)
+                    hit &= less[:, None] != sy[None, :, j]
+            if same:
+                hit &= np.arange(s, s + len(hit))[:, None] < np.arange(len(right))[None, :]
+            near[:, s:s + QUERIES] = hit @ cy, hit.sum(axis=1)
+            far += np.stack([cx[s:s + QUERIES] @ hit, hit.sum(axis=0)])
+        out += [pd.DataFrame({"node": f["node"].to_numpy(), "links": n[0], "peers": n[1]}) for f, n in ((left, near), (right, far))]
+    return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "peers": []})
 
 
 def _brute(batches: Iterator[pa.RecordBatch], queries, dim: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -240,23 +264,23 @@ def _brute(batches: Iterator[pa.RecordBatch], queries, dim: int, threshold: floa
             part = b.slice(s, 4_000)
             hit = q @ _matrix(part.column("vec"), dim).T >= threshold
             hit &= names[:, None] != part.column("node").to_numpy()[None, :]
-            total += hit @ part.column("copies").to_numpy()
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], names=["node", "links"])
+            total += hit.sum(axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], names=["node", "peers"])
 
 
 def true_links(nodes: DataFrame, queries: list[tuple[int, bytes]], dim: int, threshold: float) -> DataFrame:
-    """node, links of a bounded list of queries, by brute force over all nodes in blocks."""
+    """node, peers of a bounded list of queries, by brute force over all nodes in blocks."""
     if not queries:
-        return nodes.sparkSession.createDataFrame([], "node long, links long")
+        return nodes.sparkSession.createDataFrame([], "node long, peers long")
     names = np.array([n for n, _ in queries])
     q = np.stack([np.frombuffer(bytes(v), np.float64) for _, v in queries])
     shared = nodes.sparkSession.sparkContext.broadcast((names, q))
     return nodes.mapInArrow(functools.partial(_brute, queries=shared, dim=dim, threshold=threshold),
-                            "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+                            "node long, peers long").groupBy("node").agg(F.sum("peers").alias("peers"))
 
 
-def _links(nodes: DataFrame, dim: int, n: int, threshold: float, overlap: int, beam: int) -> DataFrame:
-    """node, links, root as every part found them."""
+def _links(nodes: DataFrame, dim: int, n: int, threshold: float, overlap: int, beam: int) -> tuple[DataFrame, DataFrame]:
+    """node, links, peers of the linked nodes, and node, root of all in a component."""
     spark = nodes.sparkSession
     draw = F.pmod(F.xxhash64("node", F.lit("centres")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
     sample = nodes.where(draw).select("node", "vec").orderBy("node").collect()
@@ -275,8 +299,17 @@ def _links(nodes: DataFrame, dim: int, n: int, threshold: float, overlap: int, b
     base = dealt.join(near, "node").withColumn("block", F.explode(both)).withColumn("base", F.lit(True))
     ask = (dealt.withColumn("block", F.col("part")).withColumn("part", F.explode(both))
            .withColumn("near", F.array().cast("array<bigint>")).withColumn("base", F.lit(False)))
-    return stored(base.unionByName(ask).groupBy("shard", "part", "block").applyInPandas(
-        functools.partial(_search, dim=dim, threshold=threshold, beam=beam), "node long, links long, root long"), "found")
+    found = stored(base.unionByName(ask).groupBy("shard", "part", "block").applyInPandas(
+        functools.partial(_search, dim=dim, threshold=threshold, beam=beam), "node long, root long"), "found")
+    root = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    # a pair found by either side in any shard is in one component, and is tested where both first meet
+    held = dealt.join(root, "node")
+    left = held.withColumn("block", F.explode(F.sequence("part", F.col("parts") - 1))).withColumn("base", F.lit(True))
+    right = (held.withColumn("block", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("part"))))
+             .where("part < block").withColumn("base", F.lit(False)))
+    links = left.unionByName(right).groupBy("shard", "part", "block").applyInPandas(
+        functools.partial(_count, dim=dim, threshold=threshold), "node long, links long, peers long")
+    return stored(links.groupBy("node").agg(F.sum("links").alias("links"), F.sum("peers").alias("peers")), "links"), root
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -300,14 +333,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id
     audit = [(r["node"], r["vec"]) for r in packed.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDIT).collect()]
     truth = stored(true_links(packed, audit, dim, threshold), "audit")
     for widen in (1, 2, 4):
-        found = _links(packed, dim, max(1, n), threshold, 1 + widen, BEAM * widen)
-        total = found.groupBy("node").agg(F.sum("links").alias("links"))
-        got = (truth.withColumnRenamed("links", "want").join(total, "node", "left")
-               .agg(F.sum("want").alias("want"), F.sum("links").alias("links")).first())
-        if not got["want"] or (got["links"] or 0) >= RECALL * got["want"]:
+        total, root = _links(packed, dim, max(1, n), threshold, 1 + widen, BEAM * widen)
+        got = (truth.withColumnRenamed("peers", "want").join(total, "node", "left")
+               .agg(F.sum("want").alias("want"), F.sum("peers").alias("peers")).first())
+        if not got["want"] or (got["peers"] or 0) >= RECALL * got["want"]:
             break
-    root = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    top = (nodes.select("node", "copies", "least").join(total, "node", "left").join(root, "node", "left")
+    top = (nodes.select("node", "copies", "least").join(total.select("node", "links"), "node", "left").join(root, "node", "left")
            .withColumn("root", F.coalesce("root", "node")))
     low = top.groupBy("root").agg(F.min("least").alias("component_id"))
     top = top.join(low, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),

@@ -166,3 +166,26 @@ def test_parts_of_a_large_shard(spark, monkeypatch):
     want = (u @ u.T >= 0.9).sum() - len(u)
     got = flat_graph.near_duplicates(df, 0.9).agg({"n_links": "sum"}).first()[0]
     assert 0.95 * want <= got <= want
+
+
+def linked(x, threshold=0.9):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = u @ u.T >= threshold
+    np.fill_diagonal(hit, False)
+    return hit.sum(axis=1)
+
+
+@pytest.mark.parametrize("most", [3_000, 60])
+def test_links_found_by_one_side_count_for_both(spark, most, monkeypatch):
+    monkeypatch.setattr(flat_graph, "SHARD_MAX", most)
+    monkeypatch.setattr(flat_graph, "SHARD_TARGET", 100)
+    whole = flat_graph._search
+
+    def half(pdf, **how):  # odd nodes never search
+        return whole(pdf[pdf["base"] | (pdf["node"] % 2 == 0)], **how)
+
+    monkeypatch.setattr(flat_graph, "_search", lambda pdf, **how: half(pdf, **how))
+    x = vectors()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in flat_graph.near_duplicates(df, 0.9).collect()}
+    assert [got[i] for i in range(len(x))] == linked(x).tolist()
