@@ -189,3 +189,22 @@ def test_links_found_by_one_side_count_for_both(spark, most, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["n_links"] for r in flat_graph.near_duplicates(df, 0.9).collect()}
     assert [got[i] for i in range(len(x))] == linked(x).tolist()
+
+
+def test_audit_sees_lost_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16))
+    x[:100] = x[0] + 0.1 * rng.normal(size=(100, 16))
+    x[100:120:2] = x[101:121:2] + 0.05 * rng.normal(size=(10, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = flat_graph._search
+
+    def groups_only(pdf, **how):  # loses all groups of less than 5
+        out = whole(pdf, **how)
+        return out[out.groupby("root")["node"].transform("size") >= 5]
+
+    want = linked(x)
+    assert (want[100:120] >= 1).all() and want[100:].sum() < 0.05 * want.sum()
+    monkeypatch.setattr(flat_graph, "_search", lambda pdf, **how: groups_only(pdf, **how))
+    with pytest.raises(RuntimeError, match="recall"):
+        flat_graph.near_duplicates(df, 0.9).count()
