@@ -29,6 +29,5 @@ ORACLES = {
     "op2_tool_calls": OP2_SQL,
     "op3_fast_sketch": OP3_SQL,
     "op4_url_rules": OP4_SQL,
-    "op8_flat_graph": op8_flat_graph,
     "op9_leaks": OP9_SQL,
 }

@@ -58,3 +58,7 @@ def test_entry_runs(spark):
     rows = df.collect()
     assert len(rows) == 4
     assert sum(r["n"] for r in rows) > 0
+
+
+def test_every_oracle_is_sql():
+    assert all(isinstance(sql, str) for sql in E.oracle_sql().values())
