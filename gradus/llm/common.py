@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -39,6 +39,25 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def ranked(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df`` with ``part``, ``pos`` (from 0) and ``n`` of its row within ``group``, by ``order``.
+
+    Rows are dealt out by ranges of (group, order), so a group of any size spreads over
+    many tasks; a part's share of a group is numbered by its place in the part, and parts
+    are put in line by a prefix sum over one row for each part of a group.  The sorted
+    rows are a table in the shared folder, as a second sampling could cut other ranges.
+    ``group`` has no nulls; equal rows are numbered in any order.
+    """
+    rows = stored(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+                  .withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "ranked")
+    line = Window.partitionBy(group).orderBy("part")
+    share = (rows.groupBy("part", group).agg(F.min("row").alias("low"), F.count("*").alias("held"))
+             .withColumns({"before": F.sum("held").over(line) - F.col("held"),
+                           "n": F.sum("held").over(Window.partitionBy(group))}))
+    return (rows.join(share.drop("held"), ["part", group])
+            .withColumn("pos", F.col("row") - F.col("low") + F.col("before")).drop("row", "low", "before"))
+
+
 def _digest(e: DataFrame) -> tuple:
     """Count and order-free checksum of an edge list."""
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())

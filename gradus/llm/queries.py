@@ -6,6 +6,7 @@ from .fast_sketch import OP3_SQL, op3_fast_sketch
 from .flat_graph import op8_flat_graph
 from .kn_quality import op5_kn_quality
 from .leaks import OP9_SQL, op9_leaks
+from .merkle import OP11_SQL, op11_merkle
 from .piece_bpe import op10_piece_bpe
 from .suffix_dedup import op6_suffix_dedup
 from .token_files import op7_token_files
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_flat_graph": op8_flat_graph,
     "op9_leaks": op9_leaks,
     "op10_piece_bpe": op10_piece_bpe,
+    "op11_merkle": op11_merkle,
 }
 ORACLES = {
     "op2_tool_calls": OP2_SQL,
     "op3_fast_sketch": OP3_SQL,
     "op4_url_rules": OP4_SQL,
     "op9_leaks": OP9_SQL,
+    "op11_merkle": OP11_SQL,
 }
