@@ -8,6 +8,7 @@ from .kn_quality import op5_kn_quality
 from .leaks import OP9_SQL, op9_leaks
 from .merkle import OP11_SQL, op11_merkle
 from .piece_bpe import op10_piece_bpe
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .suffix_dedup import op6_suffix_dedup
 from .token_files import op7_token_files
 from .tool_calls import OP2_SQL, op2_tool_calls
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_leaks": op9_leaks,
     "op10_piece_bpe": op10_piece_bpe,
     "op11_merkle": op11_merkle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op2_tool_calls": OP2_SQL,
@@ -33,4 +35,5 @@ ORACLES = {
     "op4_url_rules": OP4_SQL,
     "op9_leaks": OP9_SQL,
     "op11_merkle": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
