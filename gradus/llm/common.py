@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a shared folder, for files that tasks write themselves.
+
+    Spark's names of stores are mapped to Arrow's: ``s3a`` and ``s3n`` are ``s3``.
+    """
+    if not re.match(r"[a-z][a-z0-9+.-]*:", folder):
+        return pafs.LocalFileSystem(), folder
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", folder)))
+
+
 def doc_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text) only, under fixed names, so no other column can clash."""
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"),

@@ -35,7 +35,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read, stored, text_hash
+from .common import file_system, fresh_path, read, stored, text_hash
 
 ORDER = 5
 SHARD = 4_000_000
@@ -198,10 +198,7 @@ class Model:
     """The shards of a folder; the latest one stays loaded."""
 
     def __init__(self, path: str):
-        if "://" in path or path.startswith("file:"):
-            self.fs, self.base = pafs.FileSystem.from_uri(path)
-        else:
-            self.fs, self.base = pafs.LocalFileSystem(), path
+        self.fs, self.base = file_system(path)
         self.parts: dict[str, list[tuple[int, int, str]]] = {}
         for f in self.fs.get_file_info(pafs.FileSelector(self.base)):
             name = f.path.rsplit("/", 1)[-1]

@@ -14,6 +14,7 @@ from .token_files import op7_token_files
 from .tool_calls import OP2_SQL, op2_tool_calls
 from .toxicity import op1_toxicity
 from .url_rules import OP4_SQL, op4_url_rules
+from .warc import OP12_SQL, op12_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_leaks": op9_leaks,
     "op10_piece_bpe": op10_piece_bpe,
     "op11_merkle": op11_merkle,
+    "op12_warc": op12_warc,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
@@ -35,5 +37,6 @@ ORACLES = {
     "op4_url_rules": OP4_SQL,
     "op9_leaks": OP9_SQL,
     "op11_merkle": OP11_SQL,
+    "op12_warc": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_columns, fresh_path, read, stored, text_hash
+from .common import doc_columns, file_system, fresh_path, read, stored, text_hash
 
 CACHE_CHUNKS = 600_000
 DOCS_PER_STEP = 512
@@ -149,13 +149,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: l
                  pa.array(ids, pa.binary())], names=["part", "id", "th", "ids"])
 
 
-def _target(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (
-        pafs.LocalFileSystem(), folder)
-
-
 def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterator[pa.RecordBatch]:
-    fs, base = _target(folder)
+    fs, base = file_system(folder)
     part, tokens, docs, nulls, attempt = None, 0, 0, 0, uuid.uuid4().hex
     offsets: list[np.ndarray] = [np.zeros(1, np.int64)]
     keys: list[np.ndarray] = []
@@ -197,7 +192,7 @@ def _open(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    fs, base = _target(folder)
+    fs, base = file_system(folder)
     for b in batches:
         for row in b.to_pylist():
             name = f"{base}/part-{row['part']:06d}"
@@ -222,7 +217,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, parts: int, folder:
     cuts = [i / parts for i in range(1, parts)]
     bounds = d.select(F.percentile_approx(F.coalesce("id", F.lit(-(1 << 63))), cuts, 100 * parts).alias("b")).first()["b"] if cuts else []
     width = encoder(tokenizer_path).dtype.itemsize
-    fs, base = _target(folder)
+    fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
     rows = d.mapInArrow(functools.partial(_encode, path=tokenizer_path, end_id=end_id, bounds=list(bounds or [])),
                         "part int, id long, th long, ids binary")
