@@ -4,20 +4,24 @@ Every class below the majority size is raised to it with synthetic points
 ``x + u·(nn - x)``: ``x`` a random row of the class, ``nn`` one of its k
 nearest same-class neighbours (Euclidean, self excluded), ``u`` ∈ [0, 1).
 
-Neighbour search compares a row only with rows near it along one axis and
-never emits pairs as rows:
-
-1. each class is sorted along its first principal axis ``w`` (|w| = 1, one
-   pass of per-partition moment sums) and cut into blocks of ``block`` rows
-   (ranks from the distributed running sum);
-2. a grouped ``applyInPandas`` per (class, block) sees its own block plus the
-   h blocks on each side and finds each row's k nearest among them with
-   NumPy (distances are computed inside the task, never emitted as rows);
-3. since |w·x - w·y| <= |x - y|, a row whose k-th distance is within the
-   projection gap to the rows outside its window is settled exactly; the
-   other rows repeat step 2 with h doubled, until every row is settled — at
-   the latest when the window spans the class (the worst case, where the
-   axis separates nothing, costs as much as comparing all pairs).
+Neighbours are found in a tree of cells:
+
+1. Every cell of more than ``block`` rows is split by medians along its widest
+   columns, up to 64 ways a pass; the cuts come from about ``SAMPLE`` hashed rows of the
+   cell, so a pass moves samples only, and cells that are still too large are split
+   again.  A cell of equal rows is dealt out by hash.  Any cuts are right: the
+   bounding boxes are taken from all rows afterwards.
+2. A row's neighbours within its cell give the radius of a ball that holds the k nearest
+   (where the cell has too few, the diagonal of the first box above that has enough).
+3. Cells meet the boxes that their largest ball touches by descending the tree, one
+   equi-join a level (cells on one side, boxes on the other); rows then visit the cells
+   whose box their own ball touches.
+4. A visited cell compares its rows with up to ``VISITORS`` visitors a task in NumPy;
+   the nearest of all visited cells are merged.  The ``CLOSEST`` cells go first, since
+   what they hold shrinks the balls that the others are tested with.
+
+No distance that could be among the k smallest is left out, so the result is exact.  A
+task holds ``block`` rows and ``VISITORS`` visitors however large a class is.
 
 Random draws are hashes of (class, sample index, seed), so the output does
 not depend on partitioning or retries.
@@ -25,16 +29,22 @@ not depend on partitioning or retries.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from .ranking import rank_rows
 
 _TWO53 = float(2 ** 53)
+SAMPLE, VISITORS, FAN, CLOSEST = 4096, 4096, 128, 4
+DEPTH = 6  # splits of a pass: 2 ** 6 cells, numbered by heap positions below FAN
+MAX_PASSES = 8  # cell numbers have 63 bits
+NEAREST = "array<struct<d:double,rank:long>>"
 
 
 def _unit(seed: int, purpose: str, cls, s) -> F.Column:
@@ -42,129 +52,189 @@ def _unit(seed: int, purpose: str, cls, s) -> F.Column:
     return F.pmod(h, F.lit(2 ** 53)).cast("double") / F.lit(_TWO53)
 
 
-def _direction(d: int, seed: int) -> np.ndarray:
-    w = np.random.default_rng(seed).standard_normal(d)
-    return w / np.linalg.norm(w)
+# ------------------------------------------------------------------- cells
+def _subtree(pdf: pd.DataFrame, block: int) -> pd.DataFrame:
+    """Median cuts of one cell from its sampled rows: a heap of (column, cut)."""
+    X = np.stack(pdf["x"].to_numpy())
+    enough = max(2.0, len(X) * block / float(pdf["n"].iloc[0]))
+    dims, cuts = np.full(FAN, -1, np.int32), np.zeros(FAN)
+    todo = [(1, np.arange(len(X)))]
+    while todo:
+        node, own = todo.pop()
+        if node >= FAN // 2 or len(own) <= enough:
+            continue
+        spread = X[own].var(axis=0)
+        j = int(spread.argmax())
+        values, counts = np.unique(X[own, j], return_counts=True)
+        if len(values) == 1:
+            continue
+        below = np.cumsum(counts)[:-1]
+        cut = values[np.abs(below - len(own) / 2).argmin()]
+        dims[node], cuts[node] = j, cut
+        above = X[own, j] > cut
+        todo += [(2 * node, own[~above]), (2 * node + 1, own[above])]
+    return pd.DataFrame({"cls": [pdf["cls"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "dims": [dims], "cuts": [cuts],
+                         "alike": [bool(dims[1] < 0)]})
 
 
-def _principal_directions(points: DataFrame, d: int, seed: int) -> dict:
-    """First principal axis of every class (one distributed pass).
+def _cells(ranked: DataFrame, block: int, seed: int) -> tuple[DataFrame, int]:
+    """``ranked`` with its cell, and the number of passes; a cell's parent is cell div FAN."""
+    rows = ranked.withColumn("cell", F.lit(1).cast("long"))
+    for passes in range(MAX_PASSES + 1):
+        sizes = rows.groupBy("cls", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).checkpoint()
+        if sizes.isEmpty():
+            return rows, passes
+        share = F.xxhash64("cls", "rank", F.lit(seed), F.lit(passes)).bitwiseAND(F.lit(0xFFFFFF)) * F.col("n")
+        picked = rows.join(sizes, ["cls", "cell"]).where(share <= F.lit(SAMPLE * 0x1000000)).select("cls", "cell", "x", "n")
+        trees = (picked.groupBy("cls", "cell")
+                 .applyInPandas(functools.partial(_subtree, block=block),
+                                "cls int, cell long, dims array<int>, cuts array<double>, alike boolean").checkpoint())
+        step = F.aggregate(F.array_repeat(F.lit(0), DEPTH), F.lit(1), lambda node, _: F.when(
+            F.get("dims", node) >= 0,
+            node * 2 + F.when(F.get("x", F.get("dims", node)) > F.get("cuts", node), F.lit(1)).otherwise(F.lit(0))).otherwise(node))
+        dealt = F.pmod(F.xxhash64("rank", F.lit(seed), F.lit(passes)), F.lit(FAN // 2)) + FAN // 2
+        node = F.when(F.col("alike"), dealt).when(F.col("dims").isNotNull(), step.cast("long")).otherwise(F.lit(1).cast("long"))
+        rows = (rows.join(trees, ["cls", "cell"], "left").withColumn("cell", F.col("cell") * FAN + node)
+                .drop("dims", "cuts", "alike").checkpoint())
+    raise RuntimeError(f"cells above {block} rows are left after {MAX_PASSES} passes")
 
-    Sorting along the axis of largest spread makes projection gaps largest,
-    so most rows settle in the first windows.  Per-partition sums of n, Σx
-    and Σxxᵀ per class are added up by a ``groupBy`` — (d² + d + 1) numbers
-    per class reach the driver.
-    """
-    def sums(batches):
-        acc = {}
-        for pdf in batches:
-            for c, g in pdf.groupby("cls"):
-                X = np.stack(g["x"].to_numpy())
-                n0, s0, q0 = acc.get(int(c), (0, np.zeros(d), np.zeros((d, d))))
-                acc[int(c)] = (n0 + len(X), s0 + X.sum(axis=0), q0 + X.T @ X)
-        for c, (n0, s0, q0) in acc.items():
-            vals = np.concatenate([[n0], s0, q0.ravel()])
-            yield pd.DataFrame({"cls": np.full(len(vals), c, dtype=np.int32),
-                                "i": np.arange(len(vals), dtype=np.int32), "v": vals})
-
-    rows = (points.mapInPandas(sums, "cls int, i int, v double")
-            .groupBy("cls", "i").agg(F.sum("v").alias("v")).collect())
-    per = {}
-    for r in rows:
-        per.setdefault(r["cls"], np.zeros(1 + d + d * d))[r["i"]] = r["v"]
-    out = {}
-    for c, vec in per.items():
-        n = vec[0]
-        mean = vec[1:1 + d] / n
-        cov = vec[1 + d:].reshape(d, d) / n - np.outer(mean, mean)
-        vals, vecs = np.linalg.eigh(cov)
-        w = vecs[:, -1] if vals[-1] > 1e-12 else _direction(d, seed)
-        out[c] = w / np.linalg.norm(w)
+
+def _extremes(rows: DataFrame, d: int, lo: str, hi: str, n: Column) -> DataFrame:
+    """Bounding box and rows of every (cls, cell)."""
+    return rows.groupBy("cls", "cell").agg(F.array(*[F.min(F.get(lo, F.lit(j))) for j in range(d)]).alias("lo"),
+                                           F.array(*[F.max(F.get(hi, F.lit(j))) for j in range(d)]).alias("hi"),
+                                           F.sum(n).alias("n"))
+
+
+def _gap2(lo: str, hi: str, box_lo: str, box_hi: str) -> Column:
+    """Squared distance of two boxes; a point is a box with lo = hi."""
+    apart = F.zip_with(F.zip_with(F.col(box_lo), F.col(hi), lambda a, b: a - b),
+                       F.zip_with(F.col(lo), F.col(box_hi), lambda a, b: a - b),
+                       lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    return F.aggregate(apart, F.lit(0.0), lambda acc, v: acc + v * v)
+
+
+# -------------------------------------------------------------- neighbours
+def _square_distances(A: np.ndarray, B: np.ndarray) -> np.ndarray:
+    """Column by column: no cancellation, so equal rows are at distance 0."""
+    out = np.zeros((len(A), len(B)))
+    for j in range(A.shape[1]):
+        gap = A[:, j, None] - B[None, :, j]
+        out += gap * gap
+    return out
+
+
+def _nearest(d2: np.ndarray, ranks: np.ndarray, k: int, below: np.ndarray) -> list:
+    """Per row the up to k nearest (distance, rank) with a squared distance under ``below``."""
+    kk = min(k, d2.shape[1])
+    part = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
+    out = []
+    for row, own, most in zip(d2, part, below):
+        near = sorted((float(np.sqrt(row[i])), int(ranks[i])) for i in own if row[i] < most)
+        out.append([{"d": d, "rank": r} for d, r in near])
     return out
 
 
+def _inside(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Neighbours within a cell; r2 is null where it holds fewer than k."""
+    pdf = pdf.sort_values("rank")
+    X, ranks = np.stack(pdf["x"].to_numpy()), pdf["rank"].to_numpy()
+    near, r2 = [], []
+    for at in range(0, len(X), 512):
+        d2 = _square_distances(X[at:at + 512], X)
+        d2[np.arange(len(d2)), np.arange(at, at + len(d2))] = np.inf
+        near += _nearest(d2, ranks, k, np.full(len(d2), np.inf))
+        r2 += np.partition(d2, k - 1, axis=1)[:, k - 1].tolist() if len(X) > k else [None] * len(d2)
+    return pd.DataFrame({"cls": pdf["cls"].to_numpy(), "cell": pdf["cell"].to_numpy(), "rank": ranks, "x": pdf["x"].to_numpy(),
+                         "near": near, "r2": pd.array(r2, "Float64"), "seen": len(X)})
+
+
+def _visit(visitors: pd.DataFrame, pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """What a cell holds nearer than a visitor's radius."""
+    if visitors.empty or pdf.empty:
+        kinds = {"cls": "int32", "rank": "int64", "near": object, "seen": "int64"}
+        return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in kinds.items()})
+    pdf = pdf.sort_values("rank")
+    X, ranks = np.stack(pdf["x"].to_numpy()), pdf["rank"].to_numpy()
+    Q, r2, near = np.stack(visitors["x"].to_numpy()), visitors["r2"].to_numpy(), []
+    for at in range(0, len(Q), 512):
+        near += _nearest(_square_distances(Q[at:at + 512], X), ranks, k, r2[at:at + 512])
+    return pd.DataFrame({"cls": visitors["cls"].to_numpy(), "rank": visitors["rank"].to_numpy(), "near": near, "seen": len(X)})
+
+
 def knn_within_class(points: DataFrame, k: int = C.SMOTE_K, block: int = 512, seed: int = C.SEED):
     """Exact k nearest same-class neighbours of every row.
 
     ``points``: (cls int, rid long, x array<double>).  Returns
-    ``(neighbours, ranked)``: neighbours (cls, rank, nn array<long>) name the
-    k nearest rows by their rank along the projection; ranked holds
-    (cls, rid, x, proj, rank, blk).
-
-    Level w compares each pending row with the rows of blocks b-w..b+w of its
-    own class (NumPy, per (class, block) group).  A row is settled when its
-    k-th distance is within the projection gap to the window edges — no row
-    outside the window can then be closer.  Pending rows go to the next level
-    with a doubled window; once a window spans the whole class every row is
-    settled, so the result is exact with no cap on candidates.
+    ``(neighbours, ranked)``: neighbours (cls, rank, nn array<long>, seen long) name the
+    k nearest rows by their rank in the order of ``rid`` and count the rows compared;
+    ranked holds (cls, rid, x, rank).  A class of at most k rows gets fewer.
     """
-    d = len(points.select("x").first()["x"])
-    axes = _principal_directions(points, d, seed)
-    proj = None
-    for c, w in axes.items():
-        wcol = F.array(*[F.lit(float(v)) for v in w])
-        dot = F.aggregate(F.zip_with("x", wcol, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        proj = F.when(F.col("cls") == c, dot) if proj is None else proj.when(F.col("cls") == c, dot)
-    ranked = rank_rows(points.withColumn("proj", proj), ["cls"], ["proj", "rid"], "rank")
-    ranked = ranked.withColumn("blk", ((F.col("rank") - 1) / F.lit(block)).cast("long")).checkpoint()
-    settled = []
-    pending = None  # (cls, rank) still to resolve; None = every row
-    half = 1
-    while True:
-        cand = ranked.select("cls", "rank", "blk", "proj", "x",
-                             F.explode(F.sequence(F.col("blk") - half, F.col("blk") + half)).alias("gblk"))
-        if pending is None:
-            rows = cand.withColumn("q", F.col("gblk") == F.col("blk"))
-        else:
-            qblocks = pending.select("cls", F.col("blk").alias("gblk")).distinct()
-            marks = pending.select("cls", "rank", F.lit(True).alias("_p"))
-            rows = (cand.join(qblocks, ["cls", "gblk"])
-                    .join(marks, ["cls", "rank"], "left")
-                    .withColumn("q", (F.col("gblk") == F.col("blk")) & F.col("_p").isNotNull())
-                    .drop("_p"))
-        res = (rows.groupBy("cls", "gblk")
-               .applyInPandas(_window_knn(k, half), "cls int, rank long, blk long, nn array<long>, ok boolean")
-               .checkpoint())
-        settled.append(res.where("ok").select("cls", "rank", "nn"))
-        pending = res.where(~F.col("ok")).select("cls", "rank", "blk")
-        if pending.limit(1).count() == 0:
-            break
-        half *= 2
-    out = settled[0]
-    for extra in settled[1:]:
-        out = out.unionByName(extra)
-    return out, ranked
-
-
-def _window_knn(k: int, half: int):
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = int(pdf["gblk"].iloc[0])
-        qmask = pdf["q"].to_numpy()
-        q = np.where(qmask)[0]
-        if len(q) == 0:
-            return pd.DataFrame({"cls": pd.Series([], dtype="int32"), "rank": pd.Series([], dtype="int64"),
-                                 "blk": pd.Series([], dtype="int64"), "nn": pd.Series([], dtype=object),
-                                 "ok": pd.Series([], dtype=bool)})
-        X = np.stack(pdf["x"].to_numpy())
-        proj_all = pdf["proj"].to_numpy()
-        ranks = pdf["rank"].to_numpy()
-        blks = pdf["blk"].to_numpy()
-        # a window edge block that is absent does not exist: nothing lies beyond it
-        lo_edge = proj_all[blks == g - half].min() if np.any(blks == g - half) else -np.inf
-        hi_edge = proj_all[blks == g + half].max() if np.any(blks == g + half) else np.inf
-        Xq = X[q]
-        d2 = np.sum(Xq * Xq, axis=1)[:, None] + np.sum(X * X, axis=1)[None, :] - 2.0 * Xq @ X.T
-        d2 = np.maximum(d2, 0.0)
-        d2[np.arange(len(q)), q] = np.inf
-        kk = min(k, X.shape[0] - 1)
-        order = np.lexsort((np.broadcast_to(ranks, d2.shape), d2), axis=1)[:, :kk]
-        rk = np.sqrt(d2[np.arange(len(q))[:, None], order][:, -1])
-        pq = proj_all[q]
-        gap = np.minimum(pq - lo_edge, hi_edge - pq)
-        ok = (rk <= gap) & (kk == k)
-        return pd.DataFrame({"cls": pdf["cls"].iloc[q].to_numpy(), "rank": ranks[q], "blk": blks[q],
-                             "nn": list(ranks[order].astype(np.int64)), "ok": ok})
-    return nearest
+    first = points.select("x").first()
+    d = len(first["x"]) if first else 0
+    ranked = rank_rows(points.select("cls", "rid", "x"), ["cls"], ["rid"], "rank").checkpoint()
+    rows, passes = _cells(ranked.select("cls", "rank", "x"), block, seed)
+    inside = (rows.groupBy("cls", "cell").applyInPandas(
+        functools.partial(_inside, k=k),
+        f"cls int, cell long, rank long, x array<double>, near {NEAREST}, r2 double, seen long").checkpoint())
+
+    # boxes of every level, the leaves last
+    boxes = [_extremes(rows, d, "x", "x", F.lit(1)).checkpoint()]
+    for _ in range(passes):
+        boxes.insert(0, _extremes(boxes[0].withColumn("cell", F.floor(F.col("cell") / FAN)), d, "lo", "hi", F.col("n")).checkpoint())
+    # rows of cells with too few: the diagonal of the deepest box above that has enough
+    wide = F.aggregate(F.zip_with("hi", "lo", lambda a, b: a - b), F.lit(0.0), lambda acc, v: acc + v * v)
+    leaves = boxes[-1].select("cls", "cell")
+    for level in range(passes, -1, -1):
+        above = boxes[level].where(F.col("n") > k).select("cls", F.col("cell").alias("up"), (wide * 1.000001 + 1e-9).alias(f"w{level}"))
+        leaves = (leaves.withColumn("up", F.floor(F.col("cell") / FAN ** (passes - level))).join(above, ["cls", "up"], "left").drop("up"))
+    leaves = leaves.select("cls", "cell", F.coalesce(*[f"w{i}" for i in range(passes, -1, -1)], F.lit(float("inf"))).alias("bound")).checkpoint()
+    inside = inside.join(leaves, ["cls", "cell"]).withColumn("r2", F.coalesce("r2", "bound")).drop("bound").checkpoint()
+
+    # cells down the tree: (cell, box) pairs that the cell's largest ball touches
+    reach = inside.groupBy("cls", "cell").agg(F.max("r2").alias("r2"))
+    pairs = boxes[-1].join(reach, ["cls", "cell"]).select("cls", F.col("cell").alias("own"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"),
+                                                          "r2", F.lit(1).cast("long").alias("box"))
+    for level in range(1, passes + 1):
+        below = boxes[level].select("cls", F.floor(F.col("cell") / FAN).alias("box"), F.col("cell").alias("next"), "lo", "hi")
+        pairs = (pairs.join(below, ["cls", "box"]).where(_gap2("qlo", "qhi", "lo", "hi") < F.col("r2"))
+                 .select("cls", "own", "qlo", "qhi", "r2", F.col("next").alias("box")))
+    middle = lambda lo, hi: F.zip_with(lo, hi, lambda a, b: a + b)
+    target = boxes[-1].select("cls", F.col("cell").alias("box"), "lo", "hi")
+    pairs = pairs.where("own <> box").join(target, ["cls", "box"])
+    off = F.aggregate(F.zip_with(middle("qlo", "qhi"), middle("lo", "hi"), lambda a, b: a - b), F.lit(0.0), lambda acc, v: acc + v * v)
+    closest = Window.partitionBy("cls", "own").orderBy(off, "box")
+    pairs = pairs.select("cls", "own", "box", "lo", "hi", (F.row_number().over(closest) <= CLOSEST).alias("close")).checkpoint()
+
+    # a cell's few closest cells first: they shrink the balls that the others must meet
+    for close in (True, False):
+        inside = _round(inside, rows, pairs.where(F.col("close") == close).drop("close"), k)
+    return inside.select("cls", "rank", F.transform("near", lambda n: n["rank"]).alias("nn"), "seen"), ranked
+
+
+def _round(inside: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Rows visit the given cells that their ball touches; neighbours and radii are updated."""
+    visits = (inside.select("cls", F.col("cell").alias("own"), "rank", "x", "r2").join(pairs, ["cls", "own"])
+              .where(_gap2("x", "x", "lo", "hi") < F.col("r2")).select("cls", F.col("box").alias("cell"), "rank", "x", "r2").checkpoint())
+    shares = visits.groupBy("cls", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(VISITORS // 2)).alias("shares"))
+    guests = visits.join(shares, ["cls", "cell"]).withColumn("share", F.pmod(F.xxhash64("rank"), F.col("shares"))).drop("shares")
+    hosts = rows.join(shares, ["cls", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    by = ["cls", "cell", "share"]
+    met = (guests.groupBy(*by).cogroup(hosts.select(*by, "rank", "x").groupBy(*by))
+           .applyInPandas(_visiting(k), f"cls int, rank long, near {NEAREST}, seen long"))
+    met = met.groupBy("cls", "rank").agg(F.flatten(F.collect_list("near")).alias("more"), F.sum("seen").alias("met"))
+    found = F.slice(F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(NEAREST)))), 1, k)
+    farthest = F.get(found, F.lit(k - 1))["d"]
+    # a hair wider than the square of the rounded root, so that no equal distance is lost
+    return (inside.join(met, ["cls", "rank"], "left")
+            .select("cls", "cell", "rank", "x", found.alias("near"), F.least("r2", farthest * farthest * 1.000001).alias("r2"),
+                    (F.col("seen") + F.coalesce("met", F.lit(0))).alias("seen")).checkpoint())
+
+
+def _visiting(k: int):
+    def compare(visitors, pdf):
+        return _visit(visitors, pdf, k)
+    return compare
 
 
 def smote(df: DataFrame, label: str = "label", features: str = "features", k: int = C.SMOTE_K,
