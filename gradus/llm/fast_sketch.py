@@ -8,22 +8,28 @@ shingles after one or two, and the share of equal coordinates is concentrated
 around the Jaccard similarity.  Coordinates are banded; documents that share a band
 are candidates and are confirmed on their full shingle sets.
 
-Equal sets are one class from the start.  No bucket's pairs are ever listed:
+Equal sets are one class from the start.  Pairs of a bucket are compared in bounded blocks
+and only a few for each member leave a block:
 
 1. each bucket links its members to two of them (smallest and largest class hash);
    confirmed links give first components;
 2. buckets that still hold several components are looked at in blocks of at most
    ``BLOCK`` members, where sketches rule out pairs in numpy: a pair is dropped if its
-   equal coordinates are five deviations below the threshold.  First every member's
-   likeliest candidates of other components are confirmed on full sets, which joins
-   most of a group of near copies.  Then all that are left are compared in their blocks
-   on sets of short hashes, and those that agree are confirmed on full sets.
+   equal coordinates are five deviations below the threshold, and looked at in the first
+   band that it shares only.  First every member's likeliest candidates of other
+   components are confirmed on full sets, which joins most of a group of near copies.
+   Then all that are left are compared in their blocks on sets of short hashes; a block
+   returns a spanning forest of the links that these prove, and pairs at the threshold
+   itself, and both are confirmed on full sets.  A bucket of m members that are left in
+   several components still has (m / ``BLOCK``)^2 / 2 pairs of blocks.
 
 Misses: a pair at the threshold s shares no band with probability (1 - s^rows)^bands:
 1e-9 at 0.85 and 1e-6 at 0.8 with the default 36 bands of 5.
 
 Defined cases: null and empty texts, or texts without words, have the empty set and
-link with nothing; a null id counts after all others as the smallest of a group;
+link with nothing; very long texts are sets like any other, a text to a numpy step;
+columns other than id and text are not looked at, whatever their names (``one_of_each``
+reserves ``__i``, ``__h``, ``__id`` and ``__th``); a null id counts after all others as the smallest of a group;
 repeated rows are one class; a document of fewer words than a shingle has its whole
 sequence as one shingle; an empty table gives an empty result.
 """
@@ -44,7 +50,7 @@ from .rolling import Spans, mix, runs
 BANDS, ROWS = 36, 5
 BLOCK = 512
 LIKELIEST = (2,)  # candidates of a member in the rounds before the one that takes all
-STEP_BYTES = 1_000_000
+STEP_BYTES = 400_000
 STEP_DOCS = 4_000
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -161,10 +167,17 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterato
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _agree(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether sets of 32-bit hashes allow a link; up to two of each set's may coincide."""
-    both = len(np.intersect1d(x, y)) + 2
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def _agree(x: np.ndarray, y: np.ndarray, percent: int) -> int:
+    """0 if sets of 32-bit hashes allow no link, 2 if they prove one, 1 if full sets must
+    tell; up to two hashes of a set may coincide."""
+    both = len(np.intersect1d(x, y))
+    return sum(100 * b >= percent * (len(x) + len(y) - b) for b in (both + 2, both - 2))
+
+
+def _top(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = x = parent.get(up, up)
+    return x
 
 
 def _short_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -179,37 +192,47 @@ def _short_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
                 names=["h", "set"])
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, t: int, best: int) -> Iterator[pa.RecordBatch]:
+def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, t: int, rows: int, best: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one block, or between two, of different components whose sketches allow a
-    link: of each member the ``best`` likeliest, or (0) all whose sets agree enough."""
+    link, each in the first band that it shares: of each member the ``best`` likeliest, or
+    (0) those whose sets agree, without pairs that links of the block join already."""
     least = t * (percent / 100) - 5 * (t * percent / 100 * (1 - percent / 100)) ** 0.5
-    for table, at in runs(batches, ["band", "i", "j"], 4096):
-        c = {n: table.column(n).to_numpy() for n in ("h", "root", "n", "side", "i", "j")}
+    for table, cuts in runs(batches, ["band", "i", "j"], 4096):
+        c = {n: table.column(n).to_numpy() for n in ("h", "root", "n", "side", "i", "j", "at")}
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, t)
         sets = [] if best else [np.frombuffer(x, np.uint32) for x in table.column("set").to_pylist()]
         keys = np.zeros((0, 0)) if best else table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sig), -1)
-        band = table.column("band").to_numpy()
         found: list[np.ndarray] = []
-        for s, e in zip(at, [*at[1:], table.num_rows], strict=True):
-            rows = np.arange(s, e)
+        for s, e in zip(cuts, [*cuts[1:], table.num_rows], strict=True):
+            members, parent = np.arange(s, e), {}
             one_block = c["i"][s] == c["j"][s]
-            for x in rows:
-                y = rows[c["root"][s:e] != c["root"][x]] if one_block else rows[
-                    (c["root"][s:e] != c["root"][x]) & (c["side"][s:e] != c["side"][x])]
+            for x in members:
+                other = c["root"][s:e] != c["root"][x]
+                if best:
+                    other &= True if one_block else c["side"][s:e] != c["side"][x]
+                else:
+                    other &= members > x if one_block else c["side"][s:e] > c["side"][x]
+                y = members[other]
                 y = y[100 * np.minimum(c["n"][y], c["n"][x]) >= percent * np.maximum(c["n"][y], c["n"][x])]
-                same = (sig[y] == sig[x]).sum(axis=1)
-                y, same = y[same >= least], same[same >= least]
+                same = sig[y] == sig[x]
+                likely = same.sum(axis=1)
+                y, same, likely = y[likely >= least], same[likely >= least], likely[likely >= least]
+                if len(y) and (before := int(c["at"][x])):
+                    # whole bands by the signature's bytes in the rounds that may miss a pair, by the keys in the last
+                    earlier = same[:, :before * rows].reshape(len(y), before, rows).all(axis=2) if best else keys[y][:, :before] == keys[x, :before]
+                    first = ~earlier.any(axis=1)
+                    y, likely = y[first], likely[first]
                 if best and len(y) > best:
-                    y = y[np.argpartition(-same, best - 1)[:best]]
+                    y = y[np.argpartition(-likely, best - 1)[:best]]
                 elif not best:
-                    if not one_block:
-                        y = y[c["side"][x] < c["side"][y]]
-                    else:
-                        y = y[y > x]
-                    if len(y):  # in the first band that the two share
-                        before = int(np.flatnonzero(keys[x] == band[x])[0])
-                        y = y[~(keys[y][:, :before] == keys[x, :before]).any(axis=1)]
-                    y = y[np.array([_agree(sets[x], sets[k], percent) for k in y], bool)]
+                    kept = []
+                    for k in y:
+                        a, b = _top(parent, int(c["root"][x])), _top(parent, int(c["root"][k]))
+                        if a != b and (told := _agree(sets[x], sets[k], percent)):
+                            kept.append(k)
+                            if told == 2:
+                                parent[max(a, b)] = min(a, b)
+                    y = np.array(kept, np.int64)
                 if len(y):
                     found.append(np.stack([np.minimum(c["h"][y], c["h"][x]), np.maximum(c["h"][y], c["h"][x])]))
         if found:
@@ -246,7 +269,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
             break
         seed += 1
 
-    member = sk.where("n > 0").select(F.explode("bands").alias("band"), "h")
+    member = sk.where("n > 0").select(F.posexplode("bands").alias("at", "band"), "h")
     buckets = member.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
     member = stored(member.join(buckets, "band").distinct(), "buckets")
     stars = (member.select(F.col("h").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).where("x <> y")
@@ -273,7 +296,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tried = stars
     for best in (*LIKELIEST, 0):
-        rest = (member.select("band", "h").join(root.select(F.col("node").alias("h"), "root"), "h", "left")
+        rest = (member.select("band", "at", "h").join(root.select(F.col("node").alias("h"), "root"), "h", "left")
                 .withColumn("root", F.coalesce("root", "h")))
         open_ = (rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
                  .where("lo < hi").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
@@ -281,9 +304,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
                 .withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                 .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                        (F.col("block") > F.col("other")).cast("int").alias("side"), "h", "root", "n", "sig", *([] if best else ["set", "bands"])))
+                        (F.col("block") > F.col("other")).cast("int").alias("side"), "at", "h", "root", "n", "sig", *([] if best else ["set", "bands"])))
         more = (rest.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-                .mapInArrow(functools.partial(_block_pairs, percent=percent, t=bands * rows, best=best), "a long, b long")
+                .mapInArrow(functools.partial(_block_pairs, percent=percent, t=bands * rows, rows=rows, best=best), "a long, b long")
                 .distinct().join(tried, ["a", "b"], "left_anti"))
         more = stored(more, "pairs")
         tried = tried.union(more)
@@ -306,7 +329,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     keep = alone.distinct().union(first).select(F.col("id").alias("__id"), F.col("th").alias("__th"))
     d = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__h": text_hash(F.col("text").cast("string"))})
     same = d.join(keep, d["__i"].eqNullSafe(keep["__id"]) & (d["__h"] == keep["__th"]))
-    with_words = F.length(F.trim(F.coalesce(F.col("text"), F.lit("")))) > 0
+    with_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     once = same.where(with_words).dropDuplicates(["__i", "__h"])
     return once.unionByName(same.where(~with_words)).drop("__i", "__h", "__id", "__th")
 
