@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
+from collections.abc import Callable, Iterable
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,6 +42,53 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", folder)))
 
 
+#: what this worker process keeps between the tasks of one operator
+_STATE: dict = {"owner": None, "kept": {}}
+
+
+def worker_state(owner: str, key=None, make: Callable | None = None, keep: int = 1):
+    """State that an operator's tasks share within a worker process.
+
+    Worker processes outlive a job.  What another operator left is dropped first, so a
+    pipeline's stages never hold each other's tables and caches; without ``make`` that is
+    all.  At most ``keep`` values stay, the latest used.
+    """
+    if _STATE["owner"] != owner:
+        _STATE["kept"].clear()
+        _STATE["owner"] = owner
+        gc.collect()
+    if make is None:
+        return None
+    kept = _STATE["kept"]
+    value = kept.pop(key) if key in kept else None
+    if value is None:
+        while len(kept) >= keep:
+            del kept[next(iter(kept))]
+        value = make()
+    kept[key] = value
+    return value
+
+
+class WordCache(dict):
+    """Results by word, bounded by bytes: it starts anew when full and leaves out words
+    above ``longest`` characters."""
+
+    def __init__(self, most: int = 48 << 20, longest: int = 1000, unit: int = 1):
+        super().__init__()
+        self.most, self.longest, self.unit, self.held = most, longest, unit, 0
+
+    def put(self, found: Iterable[tuple[str, bytes]]) -> None:
+        for word, value in found:
+            if len(word) <= self.longest:
+                self.held += 2 * len(word) + self.unit * len(value) + 150
+                self[word] = value
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+
+
 def doc_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text) only, under fixed names, so no other column can clash."""
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"),

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, doc_columns, read, stored, text_hash
+from .common import components, doc_columns, read, stored, text_hash, worker_state
 from .rolling import Spans, mix, runs
 
 BANDS, ROWS = 36, 5
@@ -130,6 +130,7 @@ def band_keys(sk: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int, seed: int) -> Iterator[pa.RecordBatch]:
+    worker_state("fast_sketch")
     for batch in batches:
         texts = [t or b"" for t in batch.column("text").to_pylist()]
         for s in steps(texts):
@@ -149,6 +150,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int,
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    worker_state("fast_sketch")
     for batch in batches:
         ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
         texts = list({id(t): t for t in [*ta, *tb]}.values())
@@ -181,6 +183,7 @@ def _top(parent: dict[int, int], x: int) -> int:
 
 
 def _short_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    worker_state("fast_sketch")
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for s in steps(texts):
@@ -196,6 +199,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, t: int, rows:
     """Pairs of one block, or between two, of different components whose sketches allow a
     link, each in the first band that it shares: of each member the ``best`` likeliest, or
     (0) those whose sets agree, without pairs that links of the block join already."""
+    worker_state("fast_sketch")
     least = t * (percent / 100) - 5 * (t * percent / 100 * (1 - percent / 100)) ** 0.5
     for table, cuts in runs(batches, ["band", "i", "j"], 4096):
         c = {n: table.column(n).to_numpy() for n in ("h", "root", "n", "side", "i", "j", "at")}

@@ -35,13 +35,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_path, read, stored, text_hash
+from .common import file_system, fresh_path, read, stored, text_hash, worker_state
 
 ORDER = 5
 SHARD = 4_000_000
 QUANTILE = 0.99
 BROADCAST_IDS = 1_000_000
-STEP_BYTES = 1_000_000
+STEP_BYTES = 400_000
+HELD_BYTES = 64 << 20  # shards of a worker process
 FLUSH = 1_500_000
 
 
@@ -195,7 +196,7 @@ class Shard:
 
 
 class Model:
-    """The shards of a folder; the latest one stays loaded."""
+    """The shards of a folder; the latest used stay loaded, up to ``HELD_BYTES``."""
 
     def __init__(self, path: str):
         self.fs, self.base = file_system(path)
@@ -205,15 +206,18 @@ class Model:
             if name.startswith("part="):
                 lang, shard, shards = name[5:].split("-")
                 self.parts.setdefault(lang, []).append((int(shard), int(shards), f.path))
-        self.loaded: tuple[str, Shard | None] = ("", None)
+        self.loaded: dict[str, tuple[Shard, int]] = {}
 
     def _load(self, path: str) -> Shard:
-        if self.loaded[0] != path:
-            self.loaded = ("", None)
+        got = self.loaded.pop(path, None)
+        if got is None:
             files = [f.path for f in self.fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet")]
-            self.loaded = (path, Shard(pa.concat_tables(
-                [pq.ParquetFile(self.fs.open_input_file(f)).read(["kind", "m", "code", "value"]) for f in sorted(files)])))
-        return self.loaded[1]
+            table = pa.concat_tables([pq.ParquetFile(self.fs.open_input_file(f)).read(["kind", "m", "code", "value"]) for f in sorted(files)])
+            while self.loaded and table.nbytes + sum(n for _, n in self.loaded.values()) > HELD_BYTES:
+                del self.loaded[next(iter(self.loaded))]
+            got = (Shard(table), table.nbytes)
+        self.loaded[path] = got
+        return got[0]
 
     def sums(self, lang: str, texts: list[bytes], order: int) -> np.ndarray | None:
         """Sum of log p of each text; None without a model of the language."""
@@ -233,13 +237,8 @@ class Model:
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def _model(path: str) -> Model:
-    return Model(path)
-
-
 def _perplexities(batches: Iterator[pa.RecordBatch], path: str, order: int) -> Iterator[pa.RecordBatch]:
-    model = _model(path)
+    model = worker_state("kn_quality", path, functools.partial(Model, path))
     for batch in batches:
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
         out: list[float | None] = [None] * len(texts)

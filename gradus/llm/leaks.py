@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_columns, read
+from .common import doc_columns, read, worker_state
 
 WINDOW = 10
 SHARD_WORDS = 100_000
@@ -162,16 +162,10 @@ class Automaton:
 
 
 Shard = tuple[str, Broadcast]  # a name of its own and the items
-_BUILT: dict[tuple[str, int], Automaton] = {}  # of this worker process, the latest few
 
 
 def _automaton(shard: Shard, window: int) -> Automaton:
-    key = (shard[0], window)
-    if key not in _BUILT:
-        while len(_BUILT) >= KEPT_AUTOMATA:
-            _BUILT.pop(next(iter(_BUILT)))
-        _BUILT[key] = Automaton(shard[1].value, window)
-    return _BUILT[key]
+    return worker_state("leaks", (shard[0], window), lambda: Automaton(shard[1].value, window), KEPT_AUTOMATA)
 
 
 def _scan_texts(texts: list[bytes], shards: list[Shard], window: int):

@@ -32,10 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_columns, read
+from .common import doc_columns, read, WordCache, worker_state
 
 SPACE = "▁"
-CACHE_WORDS = 600_000
 SHORT = 48  # symbols
 DOCS_PER_STEP = 512
 _RUNS = re.compile(" *[^ ]+| +$")
@@ -70,7 +69,7 @@ class PieceBpe:
             self.text_of[self.bytes[b]] = chr(b)
         self.high = frozenset(self.bytes[128:])
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordCache()
 
     def agenda(self, text: str) -> list[int]:
         """Ids of ``text``, whose spaces are U+2581, by the score-ordered agenda."""
@@ -136,16 +135,18 @@ class PieceBpe:
         return text.split(" ")
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        self.cache.trim()
         cut = [self._words(t.replace(SPACE, " ")) if t else [] for t in texts]
         new = list({w for words in cut for w in words if w not in self.cache})
         if new:
             got = [self.agenda(SPACE + w.replace(" ", SPACE)) if w else [self.ids[SPACE]] for w in new]
             filled = [(w, g) for w, g in zip(new, got, strict=True) if w]
             self.check([w for w, _ in filled], [g for _, g in filled])
-            self.cache.update((w, struct.pack(f"<{len(g)}I", *g)) for w, g in zip(new, got, strict=True))
-        out = [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in cut]
+            packed = {w: struct.pack(f"<{len(g)}I", *g) for w, g in zip(new, got, strict=True)}
+            self.cache.put(packed.items())
+        long = {w: p for w, p in packed.items() if w not in self.cache} if new else {}
+        look = self.cache.__getitem__ if not long else lambda w: self.cache.get(w) or long[w]
+        out = [np.frombuffer(b"".join(map(look, words)), "<u4") for words in cut]
         for t, ids in zip(texts, out, strict=True):
             if t:
                 self.check([t], [ids.tolist()])
@@ -194,10 +195,9 @@ class PieceBpe:
         return "".join(out)
 
 
-@functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> PieceBpe:
     """One for each worker process."""
-    return PieceBpe(path)
+    return worker_state("piece_bpe", path, functools.partial(PieceBpe, path))
 
 
 def _steps(batches: Iterator[pa.RecordBatch], path: str):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_columns, read, stored, text_hash
+from .common import doc_columns, read, stored, text_hash, worker_state
 from .rolling import Spans, mix, runs
 
 LENGTH, GRAM = 200, 50
@@ -87,6 +87,7 @@ def anchors(buf: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gr
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    worker_state("suffix_dedup")
     for batch in batches:
         key, th = batch.column("key").to_numpy(), batch.column("th").to_numpy()
         for piece in _pieces([t or b"" for t in batch.column("text").to_pylist()], length):
@@ -106,6 +107,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of each class's first context, out of its document."""
+    worker_state("suffix_dedup")
     names = ["gram", "context", "pos"]
     for batch in batches:
         for i in range(batch.num_rows):
@@ -149,6 +151,7 @@ def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 def _previous_factors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """For each class: offsets of passages that occur elsewhere, and of those with an
     earlier occurrence."""
+    worker_state("suffix_dedup")
     for table, at in runs(batches, ["gram"], GROUP_ROWS):
         c = {n: table.column(n).to_numpy() for n in ("gram", "context", "key", "th", "pos")}
         new = np.ones(table.num_rows, bool)  # a document that stands twice gave its contexts twice
@@ -185,6 +188,7 @@ def _previous_factors(batches: Iterator[pa.RecordBatch], length: int) -> Iterato
 
 def _passages(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """A row for each single passage of a class, under two hashes of its bytes."""
+    worker_state("suffix_dedup")
     for batch in batches:
         data = batch.column("bytes").to_pylist()
         for s in range(0, batch.num_rows, 2_000):
@@ -223,6 +227,7 @@ def _rest(text: bytes, cuts: list[list[int]]) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    worker_state("suffix_dedup")
     for batch in batches:
         rows: list[tuple] = []
         for text, ranges in zip(batch.column("text"), batch.column("ranges"), strict=True):
@@ -236,6 +241,7 @@ def _digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch], length: int, text: str) -> Iterator[pa.RecordBatch]:
+    worker_state("suffix_dedup")
     for batch in batches:
         column = batch.column(text).to_pylist()
         for i, ranges in enumerate(batch.column("__ranges").to_pylist()):

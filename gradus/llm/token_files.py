@@ -38,9 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_columns, file_system, fresh_path, read, stored, text_hash
+from .common import doc_columns, file_system, fresh_path, read, stored, text_hash, WordCache, worker_state
 
-CACHE_CHUNKS = 600_000
 DOCS_PER_STEP = 512
 INDEX_SCHEMA = "part int, n_docs long, n_nulls long, n_tokens long, width int"
 
@@ -69,8 +68,7 @@ class ChunkEncoder:
         self.model = self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.cache, self.words = WordCache(), WordCache()
         spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
         both = self.ids(["Ab"])[0] + self.ids(["c1"])[0]
         whole = self.ids([f"Ab{c}c1" for c in spaces])
@@ -95,41 +93,41 @@ class ChunkEncoder:
         got = self.words.get(word)
         if got is None:
             mapped = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            got = self.words[word] = self._bytes([t.id for t in self.model.tokenize(mapped)])
+            got = self._bytes([t.id for t in self.model.tokenize(mapped)])
+            self.words.put([(word, got)])
         return got
 
     def _plain(self, chunk: str) -> bytes:
         return b"".join(map(self._word, _WORDS.findall(chunk.lower())))
 
-    def _fill(self, chunks: Iterable[str]) -> None:
-        rest = []
+    def _new(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        out, rest = {}, []
         for c in chunks:
             if self.plain and _PLAIN.fullmatch(c) and not ("<|" in c and any(s in c for s in self.special)):
-                self.cache[c] = self._plain(c)
+                out[c] = self._plain(c)
             else:
                 rest.append(c)
         if rest:
-            self.cache.update(zip(rest, map(self._bytes, self.ids(rest)), strict=True))
+            out.update(zip(rest, map(self._bytes, self.ids(rest)), strict=True))
+        return out
 
     def encode(self, text: str) -> bytes:
         if not self.chunked or (self.unsafe and self.unsafe.search(text)):
             return self._bytes(self.ids([text])[0])
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        if len(self.words) > CACHE_CHUNKS:
-            self.words.clear()
+        self.cache.trim()
+        self.words.trim()
         chunks = text.split()
         got = list(map(self.cache.get, chunks))
         if None in got:
-            self._fill({c for c, g in zip(chunks, got, strict=True) if g is None})
-            got = map(self.cache.__getitem__, chunks)
+            new = self._new({c for c, g in zip(chunks, got, strict=True) if g is None})
+            got = [new[c] if g is None else g for c, g in zip(chunks, got, strict=True)]
+            self.cache.put(new.items())
         return b"".join(got)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each worker process."""
-    return ChunkEncoder(path)
+    return worker_state("token_files", path, functools.partial(ChunkEncoder, path))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: list[int]) -> Iterator[pa.RecordBatch]:

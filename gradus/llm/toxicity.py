@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_columns, read
+from .common import doc_columns, read, worker_state, WordCache
 
 Z = 4.5
 PREFIXES = (4, 5, 6)
@@ -44,7 +44,6 @@ MEMBERS = 4
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 16_000
 EPOCHS, BATCHES, RATE, DECAY = 25, 16, 0.1, 1e-5
-CACHE_WORDS = 400_000
 DOCS_PER_STEP = 512
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -190,30 +189,25 @@ class Scorer:
             self.weights[[at[x] for x in f], k] = w
         self.offset = np.array([m[2] for m in model])
         self.prior = prior
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = WordCache(unit=36)
 
     def score(self, text: str) -> float:
         if not len(self.offset):
             return self.prior
         words = words_of(text)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        self.words.trim()
+        hit: set[int] = set()
         for w in words:
-            if w not in self.words:
-                self.words[w] = tuple(i for f in features(w) if (i := self.slot.get(f)) is not None)
-        hit = {i for w in words for i in self.words[w]}
+            if (own := self.words.get(w)) is None:
+                own = tuple(i for f in features(w) if (i := self.slot.get(f)) is not None)
+                self.words.put([(w, own)])
+            hit.update(own)
         g = self.offset + (self.weights[sorted(hit)].sum(axis=0) if hit else 0)
         return float(_sigmoid(g).mean())
 
 
-_SCORERS: dict[str, Scorer] = {}  # the latest of this worker process
-
-
 def _score(batches: Iterator[pa.RecordBatch], name: str, shared) -> Iterator[pa.RecordBatch]:
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(*shared.value)
-    scorer = _SCORERS[name]
+    scorer = worker_state("toxicity", name, lambda: Scorer(*shared.value))
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS_PER_STEP):
             b = batch.slice(at, DOCS_PER_STEP)
