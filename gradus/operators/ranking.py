@@ -10,9 +10,9 @@ Every size of input takes the same plans here:
   must not re-derive them).  Per (partition, group) totals give the offset of every
   group that continues from an earlier partition; at most one group per partition
   can, so there are at most ``#partitions`` offsets.
-* Cut points: the t-th smallest of a 64-bit key in each group is found by counting
-  on the leading 16 bits, then on the next 16 inside the one bucket that holds it,
-  and so on; no sort, no shuffle of rows.
+* Cut points and percentiles: any number of ranks in any number of (few) groups is found
+  by counting on the leading digit, then on the next inside the buckets that hold a
+  rank, and so on, all in the same passes; no sort, no shuffle of rows.
 
 Order keys must be unique within a group so that the result does not depend on
 partitioning; callers add a tie-break.
@@ -48,6 +48,16 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` to be sent to all tasks in a join if it has no more than ``most`` rows.
+
+    For tables of one row a group: the rows are counted first, since Spark estimates an
+    aggregate by its input and would deal the other side out by its few keys.
+    """
+    df = df.checkpoint()
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def running_sums(df: DataFrame, group_cols: list[str], order_cols: list,
                  value_cols: list[str], prefix: str = "cum_",
                  num_partitions: int | None = None) -> DataFrame:
@@ -126,115 +136,167 @@ def rank_rows(df: DataFrame, group_cols: list[str], order_cols: list,
     return out.withColumnRenamed("_cum_one", rank_col).drop("_one")
 
 
-def cut_points(df: DataFrame, group: Column, key: Column, targets: dict) -> dict:
-    """{group value: (value, before, equal)} for ``targets`` {group value: t >= 1}: the
+def _buckets(rows: DataFrame, conditions: list[Column], digit: list[Column], ranks: list[list[int]]) -> list:
+    """Of every bucket (a condition), the digits at which its ranks lie.
+
+    One aggregation on (bucket, digit) for all buckets and ranks; of a bucket's at most
+    65,536 counts only those that hold a rank reach the driver.
+    """
+    def of(values):
+        out = F.when(conditions[0], values[0])
+        for c, v in zip(conditions[1:], values[1:]):
+            out = out.when(c, v)
+        return out
+
+    counts = (rows.select(of([F.lit(i) for i in range(len(ranks))]).alias("_b"), of(digit).cast("int").alias("_d"), "_k")
+              .where(F.col("_b").isNotNull()).groupBy("_b", "_d")
+              .agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi")))
+    counts = counts.withColumn("_c", F.sum("_n").over(Window.partitionBy("_b").orderBy("_d")))
+    wanted = F.when(F.col("_b") == 0, F.array(*map(F.lit, ranks[0])))
+    for i, r in enumerate(ranks[1:], 1):
+        wanted = wanted.when(F.col("_b") == i, F.array(*map(F.lit, r)))
+    return counts.where(F.exists(wanted, lambda r: (r <= F.col("_c")) & (r > F.col("_c") - F.col("_n")))).collect()
+
+
+def cuts(df: DataFrame, group: Column, key: Column, targets: dict) -> dict:
+    """{(group value, t): (value, before, equal)} for ``targets`` {group value: [t >= 1]}: the
     t-th smallest of the long ``key`` in the group, the rows below it, the rows at it.
 
-    Each pass is one aggregation on (group, next 16 bits); of its at most 65,536 counts
-    a group only the one bucket with the cut reaches the driver.  A bucket of one value
-    ends the search early, so unique hashes take two or three passes.
+    All ranks of all groups share each pass, so their number does not add passes: the
+    leading 16 bits first, then the next 16 inside the buckets that hold a rank.  A bucket
+    of one value ends its search early, so unique hashes take two or three passes.
     """
     rows = df.select(group.alias("_g"), key.cast("long").alias("_k")).where(F.col("_k").isNotNull())
     # flipping the sign bit makes unsigned digits sort like the signed key
     rows = rows.withColumn("_u", F.col("_k").bitwiseXOR(F.lit(-(1 << 63))))
-    state = {g: (0, t, 0) for g, t in targets.items() if t > 0}  # prefix, rank inside it, rows below it
+    # (group, prefix) -> its ranks: (t, rank inside, rows below the bucket)
+    state = {(g, 0): [(t, t, 0) for t in sorted(set(ts)) if t > 0] for g, ts in targets.items()}
+    state = {b: r for b, r in state.items() if r}
     done: dict = {}
     for shift in (48, 32, 16, 0):
         if not state:
             break
+        known = list(state)
+        inside = [(F.col("_g") == F.lit(g)) & (F.lit(True) if shift == 48 else F.shiftrightunsigned("_u", shift + 16) == F.lit(p))
+                  for g, p in known]
         digit = F.shiftright("_u", shift).bitwiseAND(F.lit(0xFFFF))
-        prefix, rank = None, None
-        for g, (p, t, _) in state.items():
-            mine = F.col("_g") == F.lit(g)
-            prefix = F.when(mine, F.lit(p)) if prefix is None else prefix.when(mine, F.lit(p))
-            rank = F.when(mine, F.lit(t)) if rank is None else rank.when(mine, F.lit(t))
-        inside = F.lit(True) if shift == 48 else F.shiftrightunsigned("_u", shift + 16) == prefix
-        counts = (rows.where(F.col("_g").isin(list(state)) & inside).groupBy("_g", digit.alias("_d"))
-                  .agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi")))
-        upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_d"))
-        found = (counts.withColumn("_c", upto).where((F.col("_c") >= rank) & (F.col("_c") - F.col("_n") < rank)).collect())
-        nxt = {}
-        for r in found:
-            p, t, below = state[r["_g"]]
-            below += r["_c"] - r["_n"]
+        state, before = {}, state
+        for r in _buckets(rows, inside, [digit] * len(known), [[x[1] for x in before[b]] for b in known]):
+            g, p = known[r["_b"]]
+            own = [(t, k - (r["_c"] - r["_n"]), below + r["_c"] - r["_n"]) for t, k, below in before[g, p] if r["_c"] - r["_n"] < k <= r["_c"]]
             if r["_lo"] == r["_hi"]:
-                done[r["_g"]] = (r["_lo"], below, r["_n"])
+                done.update({(g, t): (r["_lo"], below, r["_n"]) for t, _, below in own})
             else:
-                nxt[r["_g"]] = ((p << 16) | r["_d"], t - (r["_c"] - r["_n"]), below)
-        state = nxt
+                state[g, (p << 16) | r["_d"]] = own
     return done
 
 
-def first_rows(df: DataFrame, group: Column, hash_key: Column, key: Column, targets: dict) -> Column:
-    """Condition for the first t rows of each group in the order (hash, key)."""
-    cuts = cut_points(df, group, hash_key, targets)
-    # rows that share the cut's hash are told apart by the key
-    ties = {g: targets[g] - below for g, (_, below, equal) in cuts.items() if targets[g] - below < equal}
-    tied = {}
+def cut_points(df: DataFrame, group: Column, key: Column, targets: dict) -> dict:
+    """``cuts`` with one rank a group: {group value: (value, before, equal)}."""
+    return {g: v for (g, _), v in cuts(df, group, key, {g: [t] for g, t in targets.items()}).items()}
+
+
+def first_conditions(df: DataFrame, group: Column, hash_key: Column, key: Column, targets: dict) -> dict:
+    """{(group value, t): condition for the first t rows of the group in the order (hash, key)}."""
+    found = cuts(df, group, hash_key, targets)
+    # rows that share a cut's hash are told apart by the key: one more search for all of them
+    ties = {b: b[1] - below for b, (_, below, equal) in found.items() if b[1] - below < equal}
+    at, tied = [], {}
     if ties:
-        at = None
-        for g in ties:
-            mine = (group == F.lit(g)) & (hash_key == F.lit(cuts[g][0]))
-            at = mine if at is None else at | mine
-        tied = cut_points(df.where(at), group, key, ties)
-    out = F.lit(False)
-    for g, (cut, _, _) in cuts.items():
+        at = sorted({(g, found[g, t][0]) for g, t in ties}, key=str)
+        number = F.lit(None).cast("int")
+        for i, (g, cut) in enumerate(at):
+            number = F.when((group == F.lit(g)) & (hash_key == F.lit(cut)), F.lit(i)).otherwise(number)
+        ranks: dict = {}
+        for (g, t), left in ties.items():
+            ranks.setdefault(at.index((g, found[g, t][0])), []).append(left)
+        tied = cuts(df, number, key, ranks)
+    out = {}
+    for (g, t), (cut, _, _) in found.items():
         last = hash_key == F.lit(cut)
-        if g in tied:
-            last = last & (key <= F.lit(tied[g][0]))
-        out = F.when(group == F.lit(g), (hash_key < F.lit(cut)) | last).otherwise(out)
+        if (g, t) in ties:
+            last = last & (key <= F.lit(tied[at.index((g, cut)), ties[g, t]][0]))
+        out[g, t] = (group == F.lit(g)) & ((hash_key < F.lit(cut)) | last)
     return out
 
 
+def first_rows(df: DataFrame, group: Column, hash_key: Column, key: Column, targets: dict) -> Column:
+    """Condition for the first t rows of each group in the order (hash, key)."""
+    out = F.lit(False)
+    for c in first_conditions(df, group, hash_key, key, {g: [t] for g, t in targets.items()}).values():
+        out = out | c
+    return F.coalesce(out, F.lit(False))
+
+
+def _order_statistics(rows: DataFrame, ranges: dict, targets: dict) -> dict:
+    """{(group, t): value}: the t-th smallest double ``_k`` of group number ``_g``.
+
+    ``ranges`` has each group's least and largest value, ``targets`` its ranks.  A bucket
+    is an interval between two values that occur; it is cut into 65,536 equal widths, and
+    the parts that hold a rank are the next buckets, shrunk to the values in them.  So the
+    ends of a bucket always part and the search ends; numbers take two or three passes.
+    """
+    state = {(g, *ranges[g]): [(t, t) for t in sorted(set(ts))] for g, ts in targets.items() if ts}
+    done: dict = {}
+    edge = 1.7976931348623157e308
+    while state:
+        for (g, lo, hi), own in list(state.items()):
+            if lo == hi:
+                done.update({(g, t): lo for t, _ in own})
+                del state[g, lo, hi]
+        if not state:
+            break
+        known = list(state)
+        v = F.col("_k")
+        inside = [(F.col("_g") == F.lit(g)) & (v >= F.lit(lo)) & (v <= F.lit(hi)) for g, lo, hi in known]
+        parts = []
+        for _, lo, hi in known:
+            base, top = max(lo, -edge) / 4, min(hi, edge) / 4
+            part = F.floor((v / 4 - F.lit(base)) / F.lit(max(top - base, 5e-324)) * 65536)
+            parts.append(F.when(v == F.lit(lo), 0).when(v == F.lit(hi), 65535).otherwise(F.greatest(F.lit(0), F.least(F.lit(65535), part))))
+        state, before = {}, state
+        for r in _buckets(rows, inside, parts, [[x[1] for x in before[b]] for b in known]):
+            bucket = known[r["_b"]]
+            own = [(t, k - (r["_c"] - r["_n"])) for t, k in before[bucket] if r["_c"] - r["_n"] < k <= r["_c"]]
+            state[bucket[0], r["_lo"], r["_hi"]] = own
+    return done
+
+
 def exact_percentiles(df: DataFrame, value_col: str, probs: list[float],
                       group_cols: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles (numpy 'linear') of a column.
 
-    Nulls and NaNs are ignored.  Rows are first counted by (group, distinct value);
-    a distributed running sum over these counts gives every value's ranks.
+    Nulls and NaNs are ignored.  Groups are few (labels, columns): their sizes and ranges
+    reach the driver, and every pass looks for all ranks of all groups by counting, so no
+    row is sorted or moved.
     """
     group_cols = list(group_cols or [])
     names = names or [f"p{int(round(p * 100))}" for p in probs]
-    v = F.col(f"`{value_col}`")
-    clean = df.select(*group_cols, v.try_cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    return _percentiles_by_rank(clean, group_cols, probs, names)
+    v = F.col(f"`{value_col}`").try_cast("double")
+    clean = df.select(*[F.col(f"`{g}`") for g in group_cols], v.alias("_k")).where(F.col("_k").isNotNull() & ~F.isnan("_k"))
+    sizes = clean.groupBy(*[f"`{g}`" for g in group_cols]).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi")).where("_n > 0").collect()
+    number = F.lit(0)
+    for i, r in enumerate(sizes):
+        for j, same in enumerate([F.col(f"`{g}`").eqNullSafe(F.lit(r[g])) for g in group_cols]):
+            here = same if not j else here & same
+        number = F.when(here, F.lit(i)).otherwise(number) if group_cols else number
+    places = [[(r["_n"] - 1) * float(p) for p in probs] for r in sizes]
+    want = {i: [int(x) + 1 for x in pos] + [int(np.ceil(x)) + 1 for x in pos] for i, pos in enumerate(places)}
+    found = _order_statistics(clean.select(number.alias("_g"), "_k"), {i: (r["_lo"], r["_hi"]) for i, r in enumerate(sizes)}, want)
+    rows = []
+    for i, r in enumerate(sizes):
+        low = [found[i, int(x) + 1] for x in places[i]]
+        high = [found[i, int(np.ceil(x)) + 1] for x in places[i]]
+        rows.append((*[r[g] for g in group_cols], *[a if a == b else a + (b - a) * (x - int(x)) for a, b, x in zip(low, high, places[i])]))
+    schema = T.StructType([df.schema[g] for g in group_cols] + [T.StructField(n, T.DoubleType()) for n in names])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> dict:
-    """Exact medians of several columns: one count of (column, value) and one running
-    sum for all of them; None for a column without values."""
+    """Exact medians of several columns, all found in the same passes; None for a column
+    without values."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"`{c}`").try_cast("double").alias("_v"))
                                          for c in cols])).alias("_s")).select("_s.*")
     got = {r["_c"]: r["m"] for r in exact_percentiles(long, "_v", [0.5], ["_c"], ["m"]).collect()}
     return {c: got.get(c) for c in cols}
-
-
-def _percentiles_by_rank(clean, group_cols, probs, names):
-    gkey = group_cols or ["_g"]
-    if not group_cols:
-        clean = clean.withColumn("_g", F.lit(0))
-    counts = clean.groupBy(*gkey, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_sums(counts, gkey, ["_v"], ["_n"])
-    cum = cum.withColumn("_lo_rank", F.col("cum__n") - F.col("_n"))
-    sizes = counts.groupBy(*gkey).agg(F.sum("_n").alias("_size"))
-    targets = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_size") - 1) * F.lit(float(p))
-        targets.append(sizes.select(*gkey, F.lit(i).alias("_qi"),
-                                    F.floor(pos).cast("long").alias("_r_lo"),
-                                    F.ceil(pos).cast("long").alias("_r_hi"),
-                                    (pos - F.floor(pos)).alias("_frac")))
-    tgt = reduce(DataFrame.unionByName, targets)
-    # one row per (group, quantile): joined as its size asks for
-    lo = (cum.join(tgt, gkey)
-          .where((F.col("_lo_rank") <= F.col("_r_lo")) & (F.col("_r_lo") < F.col("cum__n")))
-          .select(*gkey, "_qi", "_frac", F.col("_v").alias("_v_lo")))
-    hi = (cum.join(tgt, gkey)
-          .where((F.col("_lo_rank") <= F.col("_r_hi")) & (F.col("_r_hi") < F.col("cum__n")))
-          .select(*gkey, "_qi", F.col("_v").alias("_v_hi")))
-    q = lo.join(hi, [*gkey, "_qi"]).select(
-        *gkey, "_qi", (F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac")).alias("_q"))
-    wide = q.groupBy(*gkey).pivot("_qi", list(range(len(probs)))).agg(F.first("_q"))
-    out = wide.select(*gkey, *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)])
-    return out.drop("_g") if not group_cols else out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from .ranking import first_rows
+from .ranking import first_conditions, first_rows
 
 
 def seeded_hash(key: str, seed: int, purpose: str = "") -> Column:
@@ -75,7 +75,7 @@ def kfold(df: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED, key: str = C.I
     """Shuffled k-fold assignment: contiguous chunks of a seeded permutation.
 
     The first n mod k folds get one extra row, as in the usual k-fold split.
-    The k - 1 cut points are found by counting; ``exact_sizes=False``
+    The k - 1 cut points are found by counting, all in the same passes; ``exact_sizes=False``
     assigns ``pmod(hash, k)`` instead — a pure projection, fold sizes equal
     only in expectation.
     """
@@ -87,9 +87,10 @@ def kfold(df: DataFrame, k: int = C.CV_FOLDS, seed: int = C.SEED, key: str = C.I
     h, key_col = h.cast("long"), _tie_key(df, key)
     fold = F.lit(k - 1)
     ends = [(i + 1) * size + min(i + 1, extra) for i in range(k - 1)]
+    first = first_conditions(df, F.lit(0), h, key_col, {0: ends})
     for i in reversed(range(k - 1)):
-        first = first_rows(df, F.lit(0), h, key_col, {0: ends[i]}) if ends[i] else F.lit(False)
-        fold = F.when(first, F.lit(i)).otherwise(fold)
+        if ends[i]:
+            fold = F.when(first[0, ends[i]], F.lit(i)).otherwise(fold)
     return df.withColumn(out, fold.cast("int"))
 
 

@@ -162,18 +162,27 @@ def bayes_table(df: DataFrame, conditions: list[tuple[str, str, str]], label: st
                     p_c.alias("p_cond"), (p_c_s * p_s / p_c).alias("p_sev_given_cond")))
 
 
+def by_label(label: str, values: dict) -> F.Column:
+    """A number for each of a few labels, as literals."""
+    out = F.lit(None).cast("double")
+    for x, v in values.items():
+        out = F.when(F.col(label) == F.lit(x), F.lit(v).cast("double")).otherwise(out)
+    return out
+
+
 def histogram_by(df: DataFrame, col: str, label: str, bins: int = C.HIST_BINS) -> DataFrame:
     """Equal-width histogram per label over that label's own [min, max].
 
     The last bin is closed; a label with min = max uses [min-0.5, max+0.5].
-    Only non-empty bins are returned.
+    Only non-empty bins are returned.  Labels are few: their ranges are literals, so rows
+    are not joined, and only counts move.
     """
     clean = df.where(F.col(col).isNotNull() & F.col(label).isNotNull())
-    rng = clean.groupBy(label).agg(F.min(col).alias("_lo0"), F.max(col).alias("_hi0"))
-    rng = rng.select(label,
-                     F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("_lo"),
-                     F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("_hi"))
-    j = clean.join(rng, label)
+    rng = {r[label]: (r["_lo"], r["_hi"]) for r in
+           clean.groupBy(label).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")).collect()}
+    rng = {x: (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi) for x, (lo, hi) in rng.items()}
+    j = clean.withColumns({"_lo": by_label(label, {x: v[0] for x, v in rng.items()}),
+                           "_hi": by_label(label, {x: v[1] for x, v in rng.items()})})
     width = (F.col("_hi") - F.col("_lo"))
     b = F.least(F.floor((F.col(col) - F.col("_lo")) * F.lit(bins) / width).cast("int"), F.lit(bins - 1))
     counted = j.groupBy(label, b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
@@ -185,11 +194,15 @@ def histogram_by(df: DataFrame, col: str, label: str, bins: int = C.HIST_BINS) -
 
 
 def box_stats(df: DataFrame, col: str, label: str, whis: float = 1.5) -> DataFrame:
-    """Quartiles (linear), 1.5·IQR whiskers at data points, outlier count per label."""
+    """Quartiles (linear), 1.5·IQR whiskers at data points, outlier count per label.
+
+    The quartiles of the few labels are literals, so no row is joined or moved.
+    """
     clean = df.where(F.col(col).isNotNull() & F.col(label).isNotNull())
     q = exact_percentiles(clean, col, [0.25, 0.5, 0.75], group_cols=[label],
                           names=["q1", "median", "q3"])
-    j = clean.join(q, label)
+    q = {r[label]: r for r in q.collect()}
+    j = clean.withColumns({n: by_label(label, {x: r[n] for x, r in q.items()}) for n in ("q1", "median", "q3")})
     iqr = F.col("q3") - F.col("q1")
     lo_lim = F.col("q1") - F.lit(whis) * iqr
     hi_lim = F.col("q3") + F.lit(whis) * iqr

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gradus.operators.ranking import cut_points, exact_percentiles, first_rows, rank_rows, running_sums
+from gradus.operators.ranking import cut_points, cuts, exact_percentiles, first_rows, rank_rows, running_sums
 from gradus.operators.sampling import kfold, split_stratified
 
 
@@ -69,3 +69,31 @@ def test_grouped_percentiles_equal_sparks(spark):
     b = df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).select(
         "g", *[F.col("q")[i] for i in range(3)])
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_many_ranks_in_one_search(spark):
+    df = _data(spark, 3)
+    keys = sorted(r["k"] for r in df.select(F.xxhash64("id").alias("k")).collect())
+    want = [1, 2, 700, 701, 2999, 3000]
+    assert {t: v for (_, t), (v, _, _) in cuts(df, F.lit(0), F.xxhash64("id"), {0: want}).items()} == {t: keys[t - 1] for t in want}
+
+
+def test_folds_of_tied_keys_keep_their_sizes(spark):
+    df = _data(spark, 3)
+    out = kfold(df, 7, key="id", order=F.col("h") % 3)
+    rows = sorted((r["h"] % 3, r["id"], r["fold"]) for r in out.collect())
+    assert [f for *_, f in rows] == sorted(f for *_, f in rows)
+    assert sorted(sum(f == i for *_, f in rows) for i in range(7)) == [428] * 3 + [429] * 4
+
+
+def test_percentiles_of_wide_ranges(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    wide = [*(rng.standard_normal(200) * 10.0 ** rng.integers(-300, 300, 200)), 0.0, -0.0, 5e-324, -1.7e308, 1.7e308, float("nan"), None]
+    df = spark.createDataFrame([("a", None if v is None else float(v)) for v in wide] + [("b", 2.0)] * 3 + [(None, float(v)) for v in range(4)]
+                               + [("c", float("-inf")), ("c", 1.0), ("c", 2.0), ("c", 4.0), ("c", float("inf"))], "g string, v double")
+    got = {r["g"]: (r["p25"], r["p50"], r["p90"]) for r in exact_percentiles(df, "v", [0.25, 0.5, 0.9], ["g"]).collect()}
+    clean = [v for v in wide if v is not None and v == v]
+    assert np.allclose(got["a"], np.quantile(clean, [0.25, 0.5, 0.9]), rtol=1e-12, atol=0)
+    assert got["b"] == (2.0, 2.0, 2.0) and got[None] == (0.75, 1.5, 2.7) and got["c"][:2] == (1.0, 2.0)
+    assert exact_percentiles(df.limit(0), "v", [0.5], ["g"]).collect() == []
