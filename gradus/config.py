@@ -98,6 +98,7 @@ RF_TREES, RF_DEPTH = 500, 10
 GBT_ROUNDS, GBT_DEPTH, GBT_STEP, GBT_SUBSAMPLE = 300, 5, 0.1, 0.8
 MLP_HIDDEN = [128, 64, 32]
 MLP_MAX_ITER = 500
+MLP_ALPHA, MLP_VALIDATION = 0.001, 0.15
 ORDINAL_MAX_ITER, ORDINAL_FTOL = 800, 1e-8
 ORDINAL_PROB_FLOOR = 1e-9
 LR_MAX_ITER = 1000

@@ -1,11 +1,11 @@
-"""MLlib classifiers behind one prediction contract.
+"""Classifiers behind one prediction contract.
 
 Every fitted model turns a frame with a ``features`` vector into
 ``p0..p{k-1}`` (fixed label positions) and ``prediction`` (first maximum),
-so all evaluation operators work on any model.  Models MLlib lacks are
-composed: one-vs-rest boosting (``GBTClassifier`` is binary only) and an
-RBF-kernel machine approximated by random Fourier features + per-class
-``LinearSVC`` with sigmoid calibration.
+so all evaluation operators work on any model.  The forest and the logistic
+baseline are MLlib's; boosting (multinomial), network (ReLU, L2, early
+stopping) and kernel machine are fitted here by passes that sum NumPy
+gradients (``passes``, ``joint``), since MLlib has none with these parts.
 """
 
 from __future__ import annotations
@@ -15,17 +15,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
 from ..operators.sampling import class_weights
+from . import boosting, kernel, network
 
 
 def _with_probs(df: DataFrame, arr, k: int) -> DataFrame:
@@ -36,36 +34,45 @@ def _with_probs(df: DataFrame, arr, k: int) -> DataFrame:
     return out.withColumn("prediction", (F.array_position(parr, F.array_max(parr)) - 1).cast("int"))
 
 
+def _linear(arrays: dict):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def proba(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(boosting.softmax(np.stack(x.to_numpy()) @ arrays["coefficients"].T + arrays["intercepts"])))
+    return proba
+
+
+#: probabilities from the arrays of a model, by its kind
+ARRAY_KINDS = {"gbt": boosting.probabilities, "mlp": network.probabilities, "svm": kernel.probabilities, "lr": _linear}
+
+
 @dataclass
 class FittedClassifier:
-    """A fitted model with the common ``predict`` contract."""
+    """A fitted model with the common ``predict`` contract: arrays, or an MLlib forest."""
 
     kind: str
     k: int
     model: object = None
-    parts: list = field(default_factory=list)
-    extra: dict = field(default_factory=dict)
+    arrays: dict = field(default_factory=dict)
 
     def predict(self, df: DataFrame) -> DataFrame:
         keep = [c for c in df.columns if c not in ("rawPrediction", "probability", "prediction")]
         base = df.select(*keep)
-        if self.kind in ("rf", "lr", "mlp"):
+        if self.kind == "rf":
             out = self.model.transform(base)
             out = _with_probs(out.drop("prediction"), vector_to_array(F.col("probability")), self.k)
-            return out.drop("rawPrediction", "probability", "_scaled")
-        if self.kind == "gbt_ovr":
-            return _ovr_predict(base, self.parts, self.k)
-        if self.kind == "svm_rff":
-            return _svm_predict(base, self, self.k)
-        raise ValueError(self.kind)
+            return out.drop("rawPrediction", "probability")
+        if self.kind not in ARRAY_KINDS:
+            raise ValueError(self.kind)
+        out = base.withColumn("_proba", ARRAY_KINDS[self.kind](self.arrays)(vector_to_array(F.col("features"))))
+        return _with_probs(out, F.col("_proba"), self.k).drop("_proba")
 
     def feature_importances(self) -> np.ndarray | None:
         if self.kind == "rf":
             return self.model.featureImportances.toArray()
-        if self.kind == "gbt_ovr":
-            imp = np.mean([m.featureImportances.toArray() for m in self.parts if m is not None], axis=0)
-            s = imp.sum()
-            return imp / s if s > 0 else imp
+        if self.kind == "gbt":
+            return boosting.importances(self.arrays, len(self.arrays["edge_ends"]))
         return None
 
 
@@ -94,135 +101,29 @@ def fit_logistic(train: DataFrame, k: int = 4, max_iter: int = C.LR_MAX_ITER, we
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial",
                             maxIter=max_iter, regParam=1.0 / (c * total_w), elasticNetParam=0.0,
                             standardization=False)
-    return FittedClassifier("lr", k, lr.fit(data.withColumn("label", F.col("label").cast("double"))))
-
-
-# ------------------------------------------------------------ boosted OvR
-def fit_gbt_ovr(train: DataFrame, k: int = 4, rounds: int = C.GBT_ROUNDS, depth: int = C.GBT_DEPTH,
-                step: float = C.GBT_STEP, subsample: float = C.GBT_SUBSAMPLE, seed: int = C.SEED,
-                parallelism: int = 4) -> FittedClassifier:
-    """One binary boosted model per class (fitted concurrently), probabilities
-    normalised to sum 1.  A class absent from training gets probability 0."""
-    data = train.withColumn("label", F.col("label").cast("double")).persist()
-    present = sorted(int(r[0]) for r in data.select("label").distinct().collect())
-
-    def fit_one(j):
-        if j not in present:
-            return None
-        y = data.withColumn("bin", (F.col("label") == float(j)).cast("double"))
-        gbt = GBTClassifier(featuresCol="features", labelCol="bin", maxIter=rounds, maxDepth=depth,
-                            stepSize=step, subsamplingRate=subsample, seed=seed)
-        return gbt.fit(y)
-
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            parts = list(pool.map(fit_one, range(k)))
-    finally:
-        data.unpersist()
-    return FittedClassifier("gbt_ovr", k, parts=parts)
-
-
-def _ovr_predict(df: DataFrame, parts: list, k: int) -> DataFrame:
-    score_cols = []
-    cur = df
-    for j, m in enumerate(parts):
-        if m is None:
-            cur = cur.withColumn(f"_s{j}", F.lit(0.0))
-        else:
-            cur = (m.transform(cur).withColumn(f"_s{j}", vector_to_array(F.col("probability"))[1])
-                   .drop("rawPrediction", "probability", "prediction"))
-        score_cols.append(F.col(f"_s{j}"))
-    tot = sum(score_cols[1:], score_cols[0])
-    arr = F.array(*[F.when(tot > 0, c / tot).otherwise(F.lit(1.0 / k)) for c in score_cols])
-    res = _with_probs(cur, arr, k)
-    return res.drop(*[f"_s{j}" for j in range(k)])
-
-
-# ------------------------------------------------------------- perceptron
-def fit_mlp(train: DataFrame, k: int = 4, hidden: list[int] = C.MLP_HIDDEN, max_iter: int = C.MLP_MAX_ITER,
-            seed: int = C.SEED) -> FittedClassifier:
-    """Feed-forward network (MLlib: sigmoid hidden units, softmax output;
-    no L2 or early stopping in MLlib — stated deviation)."""
-    d = len(train.select("features").first()["features"])
-    # inputs are standardised first: sigmoid units saturate on unscaled columns
-    scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True)
-    mlp = MultilayerPerceptronClassifier(featuresCol="_scaled", labelCol="label", layers=[d, *hidden, k],
-                                         maxIter=max_iter, seed=seed)
-    model = Pipeline(stages=[scaler, mlp]).fit(train.withColumn("label", F.col("label").cast("double")))
-    return FittedClassifier("mlp", k, model)
+    fitted = lr.fit(data.withColumn("label", F.col("label").cast("double")))
+    coef, start = np.zeros((k, fitted.numFeatures)), np.full(k, -1e30)  # a class that training lacks gets probability 0
+    found = min(k, fitted.numClasses)
+    coef[:found], start[:found] = fitted.coefficientMatrix.toArray()[:found], fitted.interceptVector.toArray()[:found]
+    return FittedClassifier("lr", k, arrays={"coefficients": coef, "intercepts": np.maximum(start, -1e30)})
 
 
-# ------------------------------------------------- RBF machine via features
-def _rff_params(d: int, n_components: int, gamma: float, seed: int):
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(n_components, d))
-    b = rng.uniform(0.0, 2.0 * np.pi, size=n_components)
-    return W, b
+# ------------------------------------------------------- own estimators
+def fit_gbt(train: DataFrame, k: int = 4, rounds: int = C.GBT_ROUNDS, depth: int = C.GBT_DEPTH,
+            step: float = C.GBT_STEP, subsample: float = C.GBT_SUBSAMPLE, seed: int = C.SEED) -> FittedClassifier:
+    """Multinomial boosting; a class absent from training gets a probability near 0."""
+    return FittedClassifier("gbt", k, arrays=boosting.fit(train, k, rounds, depth, step, subsample, seed))
 
 
-def rff_transform(df: DataFrame, W: np.ndarray, b: np.ndarray, out: str = "rff") -> DataFrame:
-    """Random Fourier features sqrt(2/D)·cos(Wx + b), Arrow-batched NumPy."""
-    scale = np.sqrt(2.0 / W.shape[0])
+def fit_mlp(train: DataFrame, k: int = 4, hidden: list[int] = C.MLP_HIDDEN, max_iter: int = C.MLP_MAX_ITER,
+            seed: int = C.SEED) -> FittedClassifier:
+    """Feed-forward network: ReLU, L2, early stopping on a held-out share."""
+    return FittedClassifier("mlp", k, arrays=network.fit(train, k, hidden, max_iter, seed=seed))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def rff(x: pd.Series) -> pd.Series:
-        X = np.stack(x.to_numpy())
-        Z = scale * np.cos(X @ W.T + b)
-        return pd.Series(list(Z))
-
-    return df.withColumn(out, array_to_vector(rff(vector_to_array(F.col("features")))))
-
-
-def fit_svm_rff(train: DataFrame, k: int = 4, n_components: int = 200, max_iter: int = 100,
-                reg: float | None = None, seed: int = C.SEED, parallelism: int = 4) -> FittedClassifier:
-    """Approximate RBF-kernel SVM: gamma = 1/(d·Var X) (the 'scale' rule),
-    random Fourier features, one ``LinearSVC`` per class, and a per-class
-    sigmoid (logistic) calibration of the margins; probabilities normalised."""
-    arr = vector_to_array(F.col("features"))
-    d = len(train.select("features").first()["features"])
-    stats = train.select(F.posexplode(arr).alias("j", "v")).agg(F.var_pop("v").alias("var")).first()
-    var = stats["var"] or 1.0
-    gamma = 1.0 / (d * var) if var > 0 else 1.0
-    W, b = _rff_params(d, n_components, gamma, seed)
-    n = train.count()
-    data = rff_transform(train.withColumn("label", F.col("label").cast("double")), W, b).persist()
-    reg = reg if reg is not None else 1.0 / n
-
-    def fit_one(j):
-        y = data.withColumn("bin", (F.col("label") == float(j)).cast("double"))
-        if y.where(F.col("bin") == 1.0).limit(1).count() == 0:
-            return None
-        svc = LinearSVC(featuresCol="rff", labelCol="bin", maxIter=max_iter, regParam=reg).fit(y)
-        margin = svc.transform(y).select("bin", vector_to_array("rawPrediction")[1].alias("m"))
-        cal = LogisticRegression(featuresCol="mv", labelCol="bin", maxIter=100).fit(
-            margin.withColumn("mv", array_to_vector(F.array("m"))))
-        return svc, float(cal.coefficients[0]), float(cal.intercept)
 
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            parts = list(pool.map(fit_one, range(k)))
-    finally:
-        data.unpersist()
-    return FittedClassifier("svm_rff", k, parts=parts, extra={"W": W, "b": b})
-
-
-def _svm_predict(df: DataFrame, fitted: FittedClassifier, k: int) -> DataFrame:
-    cur = rff_transform(df, fitted.extra["W"], fitted.extra["b"], "_rff")
-    cols = []
-    for j, part in enumerate(fitted.parts):
-        if part is None:
-            cur = cur.withColumn(f"_s{j}", F.lit(0.0))
-        else:
-            svc, a, c0 = part
-            # the margin is w·z + b; applied as a column expression on the RFF vector
-            wv = F.array(*[F.lit(float(v)) for v in svc.coefficients.toArray()])
-            m = F.aggregate(F.zip_with(vector_to_array("_rff"), wv, lambda x, y: x * y),
-                            F.lit(float(svc.intercept)), lambda acc, v: acc + v)
-            cur = cur.withColumn(f"_s{j}", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * m + F.lit(c0)))))
-        cols.append(F.col(f"_s{j}"))
-    tot = sum(cols[1:], cols[0])
-    arr = F.array(*[F.when(tot > 0, c / tot).otherwise(F.lit(1.0 / k)) for c in cols])
-    return _with_probs(cur, arr, k).drop("_rff", *[f"_s{j}" for j in range(k)])
+def fit_svm(train: DataFrame, k: int = 4, components: int = 300, max_iter: int = 100, seed: int = C.SEED) -> FittedClassifier:
+    """RBF machine on landmark features (gamma by the 'scale' rule), calibrated out of fold."""
+    return FittedClassifier("svm", k, arrays=kernel.fit(train, k, components, max_iter, seed=seed))
 
 
 # ------------------------------------------------------------ validation

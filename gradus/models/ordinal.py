@@ -19,7 +19,6 @@ Prediction is a pure column expression (no Python at scoring time).
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,17 +149,20 @@ class OrdinalLogitModel:
         rows = [(n, float(c)) for n, c in zip(self.feature_names, self.coef)]
         return spark.createDataFrame(rows, "Feature string, Coefficient double")
 
-    def save(self, spark, path: str) -> None:
-        payload = json.dumps({"coef": list(map(float, self.coef)), "thresholds": list(map(float, self.thresholds)),
-                              "feature_names": self.feature_names, "labels": self.labels,
-                              "n_iter": self.n_iter, "loss": self.loss, "features_col": self.features_col})
-        spark.createDataFrame([(payload,)], "params string").coalesce(1).write.mode("overwrite").json(path)
-
-    @staticmethod
-    def load(spark, path: str) -> "OrdinalLogitModel":
-        p = json.loads(spark.read.json(path).first()["params"])
-        return OrdinalLogitModel(np.array(p["coef"]), np.array(p["thresholds"]), p["feature_names"], p["labels"],
-                                 p["n_iter"], p["loss"], p["features_col"])
+
+class OrdinalClassifier:
+    """Gives the ordinal model the common ``predict`` contract."""
+
+    kind = "olr"
+
+    def __init__(self, model: OrdinalLogitModel):
+        self.model, self.k = model, len(model.labels)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+    def feature_importances(self):
+        return None
 
 
 class OrdinalLogit:

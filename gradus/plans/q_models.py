@@ -208,16 +208,17 @@ def q_score_corrected(spark, sf):
 
 @query("score_stream")
 def q_score_stream(spark, sf):
-    """Scenario rows written as Parquet files, scored by a streaming query
-    with the saved-and-reloaded forest; returns the stream's output."""
+    """Scenario rows written as Parquet files, scored by a streaming query that
+    follows the published version of the forest; returns the stream's output."""
+    from . import jobs
     tr = TR.cached_training(spark, sf, TR.QUICK, which=("RF",))
     base = scratch_path(spark, "score-stream")
-    model_dir = os.path.join(base, "model")
-    MS.save_model(tr.models["RF"], tr.prepared.feature_model, model_dir)
-    inbox = os.path.join(base, "inbox")
+    root, inbox, out = (os.path.join(base, x) for x in ("published", "inbox", "out"))
+    jobs.publish(spark, root, *jobs.new_version(root), tr.models, tr.prepared.feature_model)
     _scenarios(spark, sf).repartition(4).write.mode("overwrite").parquet(inbox)
-    out = SS.score_stream_once(spark, inbox, model_dir, os.path.join(base, "out"), os.path.join(base, "ckpt"))
-    return out
+    stream = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
+    SS.follow_versions(stream, root, out, os.path.join(base, "ckpt")).awaitTermination()
+    return SS.scored(spark, out).drop("batch", "version")
 
 
 # -------------------------------------------------------- sinks and jobs
@@ -231,21 +232,27 @@ def q_sink_reports(spark, sf):
 
 @query("sink_model")
 def q_sink_model(spark, sf):
-    """Save the forest + feature parameters; returns the saved parameter table."""
-    tr = TR.cached_training(spark, sf, TR.QUICK, which=("RF",))
-    path = scratch_path(spark, "model")
-    MS.save_model(tr.models["RF"], tr.prepared.feature_model, path)
-    return spark.read.json(os.path.join(path, "feature_model"))
+    """Save all seven models + feature parameters; returns what each says of itself."""
+    tr = TR.cached_training(spark, sf, TR.QUICK)
+    path, rows = scratch_path(spark, "model"), []
+    for name, model in tr.models.items():
+        MS.save_model(model, tr.prepared.feature_model, os.path.join(path, name))
+        info = MS.model_info(spark, os.path.join(path, name))
+        rows.append((name, info["kind"], info["k"], info["format"], len(info["features"]["feature_names"])))
+    return spark.createDataFrame(rows, "model string, kind string, classes int, format int, n_features int")
 
 
 @query("src_model")
 def q_src_model(spark, sf):
-    """Reload a saved forest and score the test rows with it."""
-    tr = TR.cached_training(spark, sf, TR.QUICK, which=("RF",))
-    path = scratch_path(spark, "model")
-    MS.save_model(tr.models["RF"], tr.prepared.feature_model, path)
-    model, fmodel = MS.load_model(spark, path)
-    return model.predict(tr.prepared.test).select(ID, "label", "p0", "p1", "p2", "p3", "prediction")
+    """Reload every saved model and score the test rows with it."""
+    tr = TR.cached_training(spark, sf, TR.QUICK)
+    path, out = scratch_path(spark, "model"), None
+    for name, model in tr.models.items():
+        MS.save_model(model, tr.prepared.feature_model, os.path.join(path, name))
+        again, _ = MS.load_model(spark, os.path.join(path, name))
+        got = again.predict(tr.prepared.test).select(F.lit(name).alias("model"), ID, "label", "p0", "p1", "p2", "p3", "prediction")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("job_retrain")

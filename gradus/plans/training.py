@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import columns as X
 from ..models import classifiers as CL
+from ..models import joint
 from ..models.importance import permutation_importance
-from ..models.ordinal import OrdinalLogit, OrdinalLogitModel, coef_ranking, odds_ratio
+from ..models.ordinal import OrdinalClassifier, OrdinalLogit, OrdinalLogitModel, coef_ranking, odds_ratio
 from ..operators import evaluate as EV
 from ..operators import features as FE
 from ..operators import sampling as SA
@@ -136,40 +137,25 @@ def train_all(spark: SparkSession, incidents: DataFrame | None, sizes: Sizes = F
     sm = out.resampled
     if "OLR" in want:
         out.ordinal = OrdinalLogit(task.labels, max_iter=sizes.ordinal_iter).fit(train, prep.feature_model.feature_names)
-        out.models["OLR"] = _OrdinalAdapter(out.ordinal)
+        out.models["OLR"] = OrdinalClassifier(out.ordinal)
     if "RF" in want:
         out.models["RF"] = CL.fit_random_forest(train, k, True, sizes.rf_trees, sizes.rf_depth)
     if "OLR_SMOTE" in want:
         m = OrdinalLogit(task.labels, max_iter=sizes.ordinal_iter).fit(sm, prep.feature_model.feature_names)
-        out.models["OLR_SMOTE"] = _OrdinalAdapter(m)
+        out.models["OLR_SMOTE"] = OrdinalClassifier(m)
     if "RF_SMOTE" in want:
         out.models["RF_SMOTE"] = CL.fit_random_forest(sm, k, False, sizes.rf_trees, sizes.rf_depth)
     if "GBM" in want:
-        out.models["GBM"] = CL.fit_gbt_ovr(sm, k, sizes.gbt_rounds, sizes.gbt_depth)
+        out.models["GBM"] = CL.fit_gbt(sm, k, sizes.gbt_rounds, sizes.gbt_depth)
     if "MLP" in want:
         out.models["MLP"] = CL.fit_mlp(sm, k, list(sizes.mlp_hidden), sizes.mlp_iter)
     if "SVM" in want:
-        out.models["SVM"] = CL.fit_svm_rff(sm, k, sizes.svm_components, sizes.svm_iter)
+        out.models["SVM"] = CL.fit_svm(sm, k, sizes.svm_components, sizes.svm_iter)
     preds = [_tag(m.predict(prep.test), name, idc) for name, m in out.models.items()]
     out.predictions = reduce(DataFrame.unionByName, preds).checkpoint()
     return out
 
 
-class _OrdinalAdapter:
-    """Gives the ordinal model the common ``predict`` contract."""
-
-    kind = "olr"
-
-    def __init__(self, model: OrdinalLogitModel):
-        self.model = model
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df)
-
-    def feature_importances(self):
-        return None
-
-
 def cached_prepared(spark: SparkSession, sf_dir: str) -> Prepared:
     """Feature fit + split once per (session, input folder) within a process."""
     from .fixtures import incidents
@@ -253,8 +239,9 @@ def cross_validation_report(spark: SparkSession, prep: Prepared, sizes: Sizes, k
     folds = SA.kfold(prep.features.where(F.col("label").isNotNull()), sizes.cv_folds).checkpoint()
     rf = CL.cross_validate(lambda d: CL.fit_random_forest(d, k, True, sizes.rf_trees, sizes.rf_depth), folds,
                            k_folds=sizes.cv_folds)
-    lr = CL.cross_validate(lambda d: CL.fit_logistic(d, k, sizes.lr_iter), folds, k_folds=sizes.cv_folds)
-    return spark.createDataFrame([("RF", rf["mean"], rf["std"]), ("LR", lr["mean"], lr["std"])],
+    # the logistic models of all folds share their passes
+    lr = joint.logistic_by_folds(folds, sizes.cv_folds, k, max_iter=sizes.lr_iter)["accuracy"]
+    return spark.createDataFrame([("RF", rf["mean"], rf["std"]), ("LR", float(lr.mean()), float(lr.std()))],
                                  "model string, mean double, std double")
 
 
