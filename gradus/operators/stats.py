@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import columns as X
-from ..functions.distributions import chi2_sf_udf
+from ..functions.distributions import chi2_sf
 from .ranking import exact_percentiles
 
 
@@ -116,7 +116,7 @@ def chi_square(df: DataFrame, cols: list[str], label: str, with_p: bool = True)
     out = stat.select(F.col("variable").alias("Variable"), F.col("chi2").alias("Chi2"),
                       F.col("dof").alias("df"))
     if with_p:
-        out = out.withColumn("p_value", chi2_sf_udf(F.col("Chi2"), F.col("df").cast("double")))
+        out = out.withColumn("p_value", chi2_sf(F.col("Chi2"), F.col("df")))
         out = out.withColumn("Significance", X.significance("p_value", C.SIGNIFICANCE_LEVELS))
     return out
 

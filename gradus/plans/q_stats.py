@@ -109,9 +109,18 @@ def q_chi_square(spark, sf):
     return rounded(ST.chi_square(incidents(spark, sf), C.CHI_SQUARE_COLUMNS, SEV, with_p=False))
 
 
-@query("chi_square_test")
+# Oracle side: 1 minus the lower tail's series, exp(-h) h^(a + n) / Gamma(a + n + 1).
+_TAIL = """GREATEST(0e0, 1e0 - list_sum(list_transform(range(2000),
+  lambda n: exp(-chi2 / 2 + (dof / 2 + n) * ln(chi2 / 2) - lgamma(dof / 2 + n + 1)))))"""
+
+
+@query("chi_square_test", with_(_chi_sql() + f""",
+tail AS (SELECT variable, chi2, dof, CASE WHEN dof <= 0 THEN NULL WHEN chi2 <= 0 THEN 1e0 ELSE {_TAIL} END AS p FROM chi)""", """
+SELECT variable AS "Variable", ROUND(chi2, 6) AS "Chi2", CAST(dof AS INTEGER) AS df, ROUND(p, 6) AS p_value,
+  CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS "Significance"
+FROM tail"""))
 def q_chi_square_test(spark, sf):
-    """Statistic, dof, p-value (pandas UDF on the result rows) and stars."""
+    """Statistic, dof, p-value and stars."""
     return rounded(ST.chi_square(incidents(spark, sf), C.CHI_SQUARE_COLUMNS, SEV, with_p=True))
 
 

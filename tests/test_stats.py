@@ -6,16 +6,35 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import functions as F
 
 from gradus import config as C
-from gradus.functions.distributions import chi2_survival
+from gradus.functions.distributions import chi2_sf, erfc
 from gradus.operators import stats as ST
 from gradus.plans.fixtures import incidents
 
 
-def test_chi2_survival_known_values():
-    assert chi2_survival(3.841458820694124, 1) == pytest.approx(0.05, rel=1e-9)
-    assert chi2_survival(16.918977604620448, 9) == pytest.approx(0.05, rel=1e-9)
-    assert chi2_survival(0.0, 3) == 1.0
-    assert chi2_survival(200.0, 6) < 1e-38
+def test_chi2_tail_known_values(spark):
+    import math
+    known = [(3.841458820694124, 1, 0.05), (16.918977604620448, 9, 0.05), (0.0, 3, 1.0), (-1e-18, 4, 1.0),
+             (9.487729036781154, 4, 0.05), (27.877164871256568, 9, 0.001), (7.879438576622417, 1, 0.005),
+             (0.003932140000019522, 1, 0.95), (2000.0, 2000, 0.4957950), (1000.0, 999, 0.4851574)]
+    rows = spark.createDataFrame([(float(x), k, p) for x, k, p in known] + [(5.0, 0, None), (None, 3, None), (float("nan"), 3, None)],
+                                 "x double, k int, p double").select("*", chi2_sf(F.col("x"), F.col("k")).alias("got")).collect()
+    for r in rows:
+        assert (r["got"] is None) == (r["p"] is None)
+        assert r["p"] is None or r["got"] == pytest.approx(r["p"], rel=1e-6 if r["k"] < 100 else 2e-3)
+    # recurrence Q(k + 2) = Q(k) + (x/2)^(k/2) exp(-x/2) / Gamma(k/2 + 1), and erfc itself
+    grid = spark.createDataFrame([(x / 7, k) for x in range(1, 700, 13) for k in range(1, 12)], "x double, k int").select(
+        "x", "k", chi2_sf(F.col("x"), F.col("k")).alias("a"), chi2_sf(F.col("x"), F.col("k") + 2).alias("b"),
+        erfc(F.sqrt(F.col("x") / 2)).alias("e")).collect()
+    for r in grid:
+        step = math.exp(r["k"] / 2 * math.log(r["x"] / 2) - r["x"] / 2 - math.lgamma(r["k"] / 2 + 1))
+        assert r["b"] == pytest.approx(r["a"] + step, rel=1e-9)
+        assert r["e"] == pytest.approx(math.erfc(math.sqrt(r["x"] / 2)), rel=1e-9)
+
+
+def test_p_values_need_no_python_worker(spark, sf_small):
+    from gradus.plans.fixtures import incidents
+    out = ST.chi_square(incidents(spark, sf_small), ["weather"], "severity")
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_yates_on_two_by_two(spark):
