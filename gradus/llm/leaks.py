@@ -7,15 +7,16 @@ reaches the window length, or is a whole item shorter than that, the words of th
 window are hit.  Stretches whose adjacent word pairs occur in no item cannot hold
 a window and are skipped before streaming.
 
-Items are cut into shards of at most ``SHARD_WORDS`` words; each shard is a
-broadcast of that bound, and a worker holds the automata of a few shards at a
-time and runs every batch of documents through all of them, so a large set of
-items costs passes, not memory.  Documents are never shuffled.
+Items are cut into shards of about ``SHARD_WORDS`` words, which tasks write to and read
+from the shared folder; longer items are cut into pieces that overlap by a window less one
+word.  A task runs stretches of its documents through one shard's automaton after the
+other and holds one at a time, so more items cost passes over a stretch, not memory.
+Documents are never shuffled, and items never pass through the driver.
 
 Defined cases: null or empty text has no words and is not contaminated; null or
 empty items have no windows; a null item id counts as the empty id; repeated items
-count once per id; repeated documents are judged alike; clashing output columns of
-the input are replaced.
+count once per id; repeated documents are judged alike; very long texts are scanned
+whole; other columns are not looked at by ``judge`` and carried along by ``clean``.
 """
 
 from __future__ import annotations
@@ -23,21 +24,21 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_columns, read, worker_state
+from .common import doc_columns, file_system, fresh_path, read, stored, worker_state
 
 WINDOW = 10
 SHARD_WORDS = 100_000
 DOCS_PER_STEP = 512
-KEPT_AUTOMATA = 2
+HELD_BYTES = 16 << 20
 _WORD_BYTES = [c for c in range(256) if c >= 0x80 or chr(c).isalnum()]
 TABLE = bytes(ord(chr(c).lower()) if c in _WORD_BYTES and c < 0x80 else c if c in _WORD_BYTES else 32 for c in range(256))
 
@@ -161,61 +162,89 @@ class Automaton:
         return hits, found
 
 
-Shard = tuple[str, Broadcast]  # a name of its own and the items
+def _pieces(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Words of the items, cut into pieces of ``most`` that overlap by a window less one word."""
+    for b in batches:
+        rows = []
+        for name, text in zip(b.column("name").to_pylist(), b.column("text").to_pylist(), strict=True):
+            words = words_of(text)
+            for at in range(0, max(1, len(words) - window + 1), most - window + 1) if words else ():
+                rows.append((name, b" ".join(words[at:at + most]), len(words[at:at + most])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["name", "words", "n"])
 
 
-def _automaton(shard: Shard, window: int) -> Automaton:
-    return worker_state("leaks", (shard[0], window), lambda: Automaton(shard[1].value, window), KEPT_AUTOMATA)
-
-
-def _scan_texts(texts: list[bytes], shards: list[Shard], window: int):
-    """For each text: its word count, merged hit word ranges, sorted item ids."""
-    words = [words_of(t) for t in texts]
-    hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    for shard in shards:
-        auto = _automaton(shard, window)
-        for k, w in enumerate(words):
-            got, found = auto.scan(w)
-            if got:
-                hits[k] += got
-                items[k].update(auto.names[i] for i in found)
-    for k, w in enumerate(words):
-        merged: list[list[int]] = []
-        for a, b in sorted(hits[k]):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        yield w, merged, sorted(items[k])
-
-
-def _shards(items: DataFrame, item_id: str, text: str) -> list[Shard]:
-    spark = items.sparkSession
+def _shards(items: DataFrame, item_id: str, text: str, window: int) -> tuple[str, int]:
+    """Folder of the shards and their number; written by tasks, read by tasks."""
     it = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("name"),
                       F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null").distinct()
-    size = it.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    count = max(1, -(-size // (6 * SHARD_WORDS)))
-    out = []
-    for s in range(count):
-        rows = it.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == s).collect()
-        found = [(r["name"], words_of(bytes(r["text"]))) for r in rows]
-        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast(sorted((n, w) for n, w in found if w))))
-    return out
-
-
-def _judge(batches: Iterator[pa.RecordBatch], shards: list[Shard], window: int) -> Iterator[pa.RecordBatch]:
+    pieces = stored(it.mapInArrow(functools.partial(_pieces, window=window, most=max(2 * window, SHARD_WORDS // 8)), "name string, words binary, n long"), "items")
+    count = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS))
+    path = fresh_path(items.sparkSession, "shards")
+    shard = F.pmod(F.xxhash64("name", "words"), F.lit(count))
+    pieces.select(shard.alias("shard"), "name", "words").repartition(count, "shard").write.partitionBy("shard").parquet(path)
+    return path, count
+
+
+def _items(path: str, shard: int) -> list[tuple[str, list[bytes]]]:
+    fs, base = file_system(path)
+    folder = pafs.FileSelector(f"{base}/shard={shard}", allow_not_found=True)
+    files = sorted(f.path for f in fs.get_file_info(folder) if f.path.endswith(".parquet"))
+    rows = [r for f in files for r in pq.ParquetFile(fs.open_input_file(f)).read(["name", "words"]).to_pylist()]
+    return sorted((r["name"], r["words"].split()) for r in rows)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], column: str, path: str, shards: int, window: int):
+    """(batch, raw texts, (words, merged hit word ranges, sorted item ids) of each).
+
+    Up to ``HELD_BYTES`` of a task's texts meet one shard's automaton after the other, so
+    an automaton is built once for that many texts, and is the only one in memory.
+    """
+    def results(held):
+        found = [[(0, [], set()) for _ in texts] for _, texts in held]
+        for shard in range(shards):
+            auto = worker_state("leaks", (path, shard, window), lambda s=shard: Automaton(_items(path, s), window))
+            for out, (_, texts) in zip(found, held, strict=True):
+                for k, t in enumerate(texts):
+                    words = words_of(t)
+                    got, items = auto.scan(words)
+                    out[k] = len(words), out[k][1] + got, out[k][2].union(auto.names[i] for i in items) if got else out[k][2]
+        for out, (b, texts) in zip(found, held, strict=True):
+            yield b, texts, [(n, _merged(hits), sorted(items)) for n, hits, items in out]
+
+    held, size = [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS_PER_STEP):
             b = batch.slice(at, DOCS_PER_STEP)
-            got = list(_scan_texts([t or b"" for t in b.column("text").to_pylist()], shards, window))
-            hit = [sum(e - s for s, e in spans) for _, spans, _ in got]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([len(w) for w, _, _ in got], pa.int64()), pa.array(hit, pa.int64()),
-                 pa.array([len(i) for _, _, i in got], pa.int64()),
-                 pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in got]),
-                 pa.array([h > 0 for h in hit], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            texts = [t.encode() if isinstance(t, str) else t or b"" for t in b.column(column).to_pylist()]
+            held.append((b, texts))
+            size += sum(map(len, texts))
+            if size > HELD_BYTES:
+                yield from results(held)
+                held, size = [], 0
+    if held:
+        yield from results(held)
+
+
+def _merged(hits: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(hits):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _judge(batches: Iterator[pa.RecordBatch], path: str, shards: int, window: int) -> Iterator[pa.RecordBatch]:
+    for b, _, got in _scanned(batches, "text", path, shards, window):
+        hit = [sum(e - s for s, e in spans) for _, spans, _ in got]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id"), pa.array([n for n, _, _ in got], pa.int64()), pa.array(hit, pa.int64()),
+             pa.array([len(i) for _, _, i in got], pa.int64()),
+             pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in got]),
+             pa.array([h > 0 for h in hit], pa.bool_())],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def _word_offsets(text: bytes) -> np.ndarray:
@@ -224,31 +253,27 @@ def _word_offsets(text: bytes) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))).reshape(-1, 2)
 
 
-def _clean(batches: Iterator[pa.RecordBatch], shards: list[Shard], window: int, text: str,
+def _clean(batches: Iterator[pa.RecordBatch], path: str, shards: int, window: int, text: str,
            max_coverage: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, DOCS_PER_STEP):
-            b = batch.slice(at, DOCS_PER_STEP)
-            column = b.column(text).to_pylist()
-            raw = [(t or "").encode() for t in column]
-            keep = []
-            for k, (words, spans, _) in enumerate(_scan_texts(raw, shards, window)):
-                hit = sum(e - s for s, e in spans)
-                keep.append(not hit or hit <= max_coverage * len(words))
-                if hit:
-                    off = _word_offsets(raw[k])
-                    cut = [0, *itertools.chain.from_iterable((off[s, 0], off[e - 1, 1]) for s, e in spans), len(raw[k])]
-                    column[k] = b"".join(raw[k][i:j] for i, j in zip(cut[::2], cut[1::2], strict=True)).decode()
-            arrays = [pa.array(column, b.schema.field(n).type) if n == text else b.column(n) for n in b.schema.names]
-            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(keep))
+    for b, raw, got in _scanned(batches, text, path, shards, window):
+        column, keep = b.column(text).to_pylist(), []
+        for k, (n, spans, _) in enumerate(got):
+            hit = sum(e - s for s, e in spans)
+            keep.append(not hit or hit <= max_coverage * n)
+            if hit:
+                off = _word_offsets(raw[k])
+                cut = [0, *itertools.chain.from_iterable((off[s, 0], off[e - 1, 1]) for s, e in spans), len(raw[k])]
+                column[k] = b"".join(raw[k][i:j] for i, j in zip(cut[::2], cut[1::2], strict=True)).decode()
+        arrays = [pa.array(column, b.schema.field(n).type) if n == text else b.column(n) for n in b.schema.names]
+        yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(pa.array(keep))
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_id: str = "item_id",
           item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
-    shards = _shards(items, item_id, item_text)
+    path, shards = _shards(items, item_id, item_text, window)
     return (doc_columns(docs).select("id", F.col("text").cast("binary").alias("text"))
-            .mapInArrow(functools.partial(_judge, shards=shards, window=window),
+            .mapInArrow(functools.partial(_judge, path=path, shards=shards, window=window),
                         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
 
 
@@ -256,8 +281,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with every hit span cut from the text, and without documents of
     whose words more than ``max_coverage`` are hit."""
-    shards = _shards(items, item_id, item_text)
-    return docs.mapInArrow(functools.partial(_clean, shards=shards, window=window, text=text,
+    path, shards = _shards(items, item_id, item_text, window)
+    return docs.mapInArrow(functools.partial(_clean, path=path, shards=shards, window=window, text=text,
                                              max_coverage=max_coverage), docs.schema)
 
 

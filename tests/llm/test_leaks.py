@@ -58,3 +58,22 @@ def test_clean_cuts_spans_and_drops_mostly_leaked(spark, edge_docs, prose):
     bare = leaks.clean(edge_docs, bench, max_coverage=0.1)
     assert {10, 11}.isdisjoint(r["doc_id"] for r in bare.collect())
     assert got[1] == prose(1, 120) and bare.columns == edge_docs.columns
+
+
+def test_each_shard_is_built_once_a_task(spark, prose, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(leaks, "SHARD_WORDS", 160)
+    items = [(f"i{k}", prose(100 + k, 40)) for k in range(8)] + [("long", prose(7, 300))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    path, shards = leaks._shards(bench, "item_id", "text", 10)
+    assert shards >= 3 and max(len(w) for s in range(shards) for _, w in leaks._items(path, s)) <= 20
+    built = []
+    monkeypatch.setattr(leaks, "Automaton", lambda *a, real=leaks.Automaton: built.append(1) or real(*a))
+    texts = [prose(i, 50) + " " + items[i % 9][1] for i in range(1300)]
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(s, s + 650)), "text": [t.encode() for t in texts[s:s + 650]]}) for s in (0, 650)]
+    got = [r for b in leaks._judge(iter(batches), path, shards, 10) for r in b.to_pylist()]
+    assert len(built) == shards and len(got) == 1300
+    for r in got[::97]:
+        n, hit, names = brute(texts[r["doc_id"]], items, 10)
+        assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, hit, len(names))
