@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..session import stored
 from .passes import byte_matrix, matrix, spread, summed
 
 BINS, KEEP = 64, 10
@@ -150,7 +151,7 @@ def fit(train: DataFrame, k: int = 4, rounds: int = C.GBT_ROUNDS, depth: int = C
         return add
 
     schema = "y int, u long, bins binary, score array<double>"
-    state = rows.mapInArrow(binned, schema).checkpoint()
+    state = stored(rows.mapInArrow(binned, schema), "boosting")
     share, done, pending, losses = round(subsample * (1 << 20)), [], [], []
     for m in range(rounds):
         growing = [new_tree(depth) for _ in range(k)]
@@ -183,7 +184,7 @@ def fit(train: DataFrame, k: int = 4, rounds: int = C.GBT_ROUNDS, depth: int = C
         done.append(growing)
         pending.append(growing)
         if len(pending) == KEEP:
-            state, pending = state.mapInArrow(scored(pending), schema).checkpoint(), []
+            state, pending = stored(state.mapInArrow(scored(pending), schema), "boosting"), []
     pack = lambda name: np.array([[t[name] for t in own] for own in done])
     return {"start": start, "step": np.array([step]), "edge_ends": np.cumsum([len(e) for e in edges]), "edges": np.concatenate(edges),
             "losses": np.array(losses), **({n: pack(n) for n in ("dim", "cut", "value", "gain")} if done else {})}

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..session import stored
 from .joint import minimise
 from .passes import matrix, spread, summed
 
@@ -116,7 +117,7 @@ def fit(train: DataFrame, k: int = 4, components: int = 300, max_iter: int = 100
             margins = np.take_along_axis(K @ V.T + bias, own, axis=1)
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(list(margins), pa.list_(pa.float64()))], names=["y", "margins"])
 
-    margins = rows.mapInArrow(unseen, "y int, margins array<double>").checkpoint()
+    margins = stored(rows.mapInArrow(unseen, "y int, margins array<double>"), "margins")
 
     def calibrate(AB):
         def sums(batches):

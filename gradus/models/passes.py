@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 _SUMS = pa.schema([("i", pa.int64()), ("v", pa.float64())])
 
 
@@ -46,5 +48,5 @@ def summed(rows: DataFrame, size: int, sums: Callable[[Iterator[pa.RecordBatch]]
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` stored over all cores at least: they are read once a pass from here on."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    rows = rows.checkpoint()
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores).checkpoint()
+    rows = stored(rows, "rows")
+    return rows if rows.rdd.getNumPartitions() >= cores else stored(rows.repartition(cores), "rows")

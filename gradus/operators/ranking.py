@@ -6,7 +6,7 @@ Every size of input takes the same plans here:
 
 * Running sums: range-partition on (group, order) and sort within partitions; a
   ``mapInPandas`` pass adds partition-local running sums and the partition id, and
-  the result is checkpointed (range bounds come from sampling, so a recomputation
+  the result is stored (range bounds come from sampling, so a recomputation
   must not re-derive them).  Per (partition, group) totals give the offset of every
   group that continues from an earlier partition; at most one group per partition
   can, so there are at most ``#partitions`` offsets.
@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 
 def _sort_exprs(order_cols: list) -> list[Column]:
     out = []
@@ -54,7 +56,7 @@ def few(df: DataFrame, most: int = 10_000) -> DataFrame:
     For tables of one row a group: the rows are counted first, since Spark estimates an
     aggregate by its input and would deal the other side out by its few keys.
     """
-    df = df.checkpoint()
+    df = stored(df, "few")
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -109,7 +111,7 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list,
             carry = {v: out[prefix + v].iloc[-1] for v in vcols}
             yield out
 
-    local = parted.mapInPandas(local_cumsum, schema).checkpoint(eager=True)
+    local = stored(parted.mapInPandas(local_cumsum, schema), "sums")
     totals = local.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(v) for v in value_cols])
     w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("_pid")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

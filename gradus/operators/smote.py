@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import stored
 from .ranking import rank_rows
 
 _TWO53 = float(2 ** 53)
@@ -81,21 +82,20 @@ def _cells(ranked: DataFrame, block: int, seed: int) -> tuple[DataFrame, int]:
     """``ranked`` with its cell, and the number of passes; a cell's parent is cell div FAN."""
     rows = ranked.withColumn("cell", F.lit(1).cast("long"))
     for passes in range(MAX_PASSES + 1):
-        sizes = rows.groupBy("cls", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).checkpoint()
+        sizes = stored(rows.groupBy("cls", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "smote")
         if sizes.isEmpty():
             return rows, passes
         share = F.xxhash64("cls", "rank", F.lit(seed), F.lit(passes)).bitwiseAND(F.lit(0xFFFFFF)) * F.col("n")
         picked = rows.join(sizes, ["cls", "cell"]).where(share <= F.lit(SAMPLE * 0x1000000)).select("cls", "cell", "x", "n")
-        trees = (picked.groupBy("cls", "cell")
-                 .applyInPandas(functools.partial(_subtree, block=block),
-                                "cls int, cell long, dims array<int>, cuts array<double>, alike boolean").checkpoint())
+        trees = stored(picked.groupBy("cls", "cell").applyInPandas(
+            functools.partial(_subtree, block=block), "cls int, cell long, dims array<int>, cuts array<double>, alike boolean"), "smote")
         step = F.aggregate(F.array_repeat(F.lit(0), DEPTH), F.lit(1), lambda node, _: F.when(
             F.get("dims", node) >= 0,
             node * 2 + F.when(F.get("x", F.get("dims", node)) > F.get("cuts", node), F.lit(1)).otherwise(F.lit(0))).otherwise(node))
         dealt = F.pmod(F.xxhash64("rank", F.lit(seed), F.lit(passes)), F.lit(FAN // 2)) + FAN // 2
         node = F.when(F.col("alike"), dealt).when(F.col("dims").isNotNull(), step.cast("long")).otherwise(F.lit(1).cast("long"))
-        rows = (rows.join(trees, ["cls", "cell"], "left").withColumn("cell", F.col("cell") * FAN + node)
-                .drop("dims", "cuts", "alike").checkpoint())
+        rows = stored(rows.join(trees, ["cls", "cell"], "left").withColumn("cell", F.col("cell") * FAN + node)
+                      .drop("dims", "cuts", "alike"), "smote")
     raise RuntimeError(f"cells above {block} rows are left after {MAX_PASSES} passes")
 
 
@@ -172,24 +172,24 @@ def knn_within_class(points: DataFrame, k: int = C.SMOTE_K, block: int = 512, se
     """
     first = points.select("x").first()
     d = len(first["x"]) if first else 0
-    ranked = rank_rows(points.select("cls", "rid", "x"), ["cls"], ["rid"], "rank").checkpoint()
+    ranked = stored(rank_rows(points.select("cls", "rid", "x"), ["cls"], ["rid"], "rank"), "smote")
     rows, passes = _cells(ranked.select("cls", "rank", "x"), block, seed)
-    inside = (rows.groupBy("cls", "cell").applyInPandas(
+    inside = stored(rows.groupBy("cls", "cell").applyInPandas(
         functools.partial(_inside, k=k),
-        f"cls int, cell long, rank long, x array<double>, near {NEAREST}, r2 double, seen long").checkpoint())
+        f"cls int, cell long, rank long, x array<double>, near {NEAREST}, r2 double, seen long"), "smote")
 
     # boxes of every level, the leaves last
-    boxes = [_extremes(rows, d, "x", "x", F.lit(1)).checkpoint()]
+    boxes = [stored(_extremes(rows, d, "x", "x", F.lit(1)), "smote")]
     for _ in range(passes):
-        boxes.insert(0, _extremes(boxes[0].withColumn("cell", F.floor(F.col("cell") / FAN)), d, "lo", "hi", F.col("n")).checkpoint())
+        boxes.insert(0, stored(_extremes(boxes[0].withColumn("cell", F.floor(F.col("cell") / FAN)), d, "lo", "hi", F.col("n")), "smote"))
     # rows of cells with too few: the diagonal of the deepest box above that has enough
     wide = F.aggregate(F.zip_with("hi", "lo", lambda a, b: a - b), F.lit(0.0), lambda acc, v: acc + v * v)
     leaves = boxes[-1].select("cls", "cell")
     for level in range(passes, -1, -1):
         above = boxes[level].where(F.col("n") > k).select("cls", F.col("cell").alias("up"), (wide * 1.000001 + 1e-9).alias(f"w{level}"))
         leaves = (leaves.withColumn("up", F.floor(F.col("cell") / FAN ** (passes - level))).join(above, ["cls", "up"], "left").drop("up"))
-    leaves = leaves.select("cls", "cell", F.coalesce(*[f"w{i}" for i in range(passes, -1, -1)], F.lit(float("inf"))).alias("bound")).checkpoint()
-    inside = inside.join(leaves, ["cls", "cell"]).withColumn("r2", F.coalesce("r2", "bound")).drop("bound").checkpoint()
+    leaves = leaves.select("cls", "cell", F.coalesce(*[f"w{i}" for i in range(passes, -1, -1)], F.lit(float("inf"))).alias("bound"))
+    inside = stored(inside.join(leaves, ["cls", "cell"]).withColumn("r2", F.coalesce("r2", "bound")).drop("bound"), "smote")
 
     # cells down the tree: (cell, box) pairs that the cell's largest ball touches
     reach = inside.groupBy("cls", "cell").agg(F.max("r2").alias("r2"))
@@ -204,7 +204,7 @@ def knn_within_class(points: DataFrame, k: int = C.SMOTE_K, block: int = 512, se
     pairs = pairs.where("own <> box").join(target, ["cls", "box"])
     off = F.aggregate(F.zip_with(middle("qlo", "qhi"), middle("lo", "hi"), lambda a, b: a - b), F.lit(0.0), lambda acc, v: acc + v * v)
     closest = Window.partitionBy("cls", "own").orderBy(off, "box")
-    pairs = pairs.select("cls", "own", "box", "lo", "hi", (F.row_number().over(closest) <= CLOSEST).alias("close")).checkpoint()
+    pairs = stored(pairs.select("cls", "own", "box", "lo", "hi", (F.row_number().over(closest) <= CLOSEST).alias("close")), "smote")
 
     # a cell's few closest cells first: they shrink the balls that the others must meet
     for close in (True, False):
@@ -214,8 +214,8 @@ def knn_within_class(points: DataFrame, k: int = C.SMOTE_K, block: int = 512, se
 
 def _round(inside: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Rows visit the given cells that their ball touches; neighbours and radii are updated."""
-    visits = (inside.select("cls", F.col("cell").alias("own"), "rank", "x", "r2").join(pairs, ["cls", "own"])
-              .where(_gap2("x", "x", "lo", "hi") < F.col("r2")).select("cls", F.col("box").alias("cell"), "rank", "x", "r2").checkpoint())
+    visits = stored(inside.select("cls", F.col("cell").alias("own"), "rank", "x", "r2").join(pairs, ["cls", "own"])
+                    .where(_gap2("x", "x", "lo", "hi") < F.col("r2")).select("cls", F.col("box").alias("cell"), "rank", "x", "r2"), "smote")
     shares = visits.groupBy("cls", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(VISITORS // 2)).alias("shares"))
     guests = visits.join(shares, ["cls", "cell"]).withColumn("share", F.pmod(F.xxhash64("rank"), F.col("shares"))).drop("shares")
     hosts = rows.join(shares, ["cls", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
@@ -226,9 +226,9 @@ def _round(inside: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> Data
     found = F.slice(F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(NEAREST)))), 1, k)
     farthest = F.get(found, F.lit(k - 1))["d"]
     # a hair wider than the square of the rounded root, so that no equal distance is lost
-    return (inside.join(met, ["cls", "rank"], "left")
-            .select("cls", "cell", "rank", "x", found.alias("near"), F.least("r2", farthest * farthest * 1.000001).alias("r2"),
-                    (F.col("seen") + F.coalesce("met", F.lit(0))).alias("seen")).checkpoint())
+    return stored(inside.join(met, ["cls", "rank"], "left")
+                  .select("cls", "cell", "rank", "x", found.alias("near"), F.least("r2", farthest * farthest * 1.000001).alias("r2"),
+                          (F.col("seen") + F.coalesce("met", F.lit(0))).alias("seen")), "smote")
 
 
 def _visiting(k: int):
@@ -256,7 +256,7 @@ def smote(df: DataFrame, label: str = "label", features: str = "features", k: in
            .select(F.col(label).cast("int").alias("cls"), rid.alias("rid"),
                    vector_to_array(F.col(features)).alias("x")))
     if id_col is None:
-        pts = pts.checkpoint()
+        pts = stored(pts, "smote")
     nn, ranked = knn_within_class(pts, k, block, seed)
 
     # synthetic sample index s per class from one distributed range

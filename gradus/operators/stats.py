@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import columns as X
 from ..functions.distributions import chi2_sf
+from ..session import stored
 from .ranking import exact_percentiles
 
 
@@ -94,7 +95,7 @@ def chi_square(df: DataFrame, cols: list[str], label: str, with_p: bool = True)
             .where(F.col("value").isNotNull() & F.col(label).isNotNull()))
     # the observed cells are tiny (values x labels per column); materialise
     # them once so the marginals below do not re-scan and re-unpivot the input
-    cells = long.groupBy("variable", "value", label).agg(F.count(F.lit(1)).alias("o")).checkpoint()
+    cells = stored(long.groupBy("variable", "value", label).agg(F.count(F.lit(1)).alias("o")), "cells")
     rows = cells.groupBy("variable", "value").agg(F.sum("o").alias("r"))
     colm = cells.groupBy("variable", label).agg(F.sum("o").alias("c"))
     tot = rows.groupBy("variable").agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("nr"))

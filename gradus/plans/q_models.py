@@ -22,7 +22,7 @@ from ..models.ordinal import OrdinalLogitModel
 from ..operators import features as FE
 from ..operators import sampling as SA
 from ..operators.smote import smote
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import models as MS
 from ..sources import reports as RS
 from ..sources.incidents import scenario_choices
@@ -92,7 +92,7 @@ FROM names LEFT JOIN tr ON tr.label = names.code"""))
 def q_class_counts(spark, sf):
     feats, _ = FE.fit_features(incidents(spark, sf))
     labelled = feats.where(F.col("label").isNotNull())
-    split = SA.split_stratified(labelled, "label", order=_modular_order()).checkpoint()
+    split = stored(SA.split_stratified(labelled, "label", order=_modular_order()), "split")
     train = split.where(~F.col("is_test"))
     return SA.class_counts(train, smote(train, id_col=ID), L)
 

@@ -29,7 +29,7 @@ from ..operators import sampling as SA
 from ..operators import scoring as SC
 from ..operators import stats as ST
 from ..operators.smote import smote
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def prepare(spark: SparkSession, incidents: DataFrame, task: C.TaskConfig = C.DE
     try:
         feats, fmodel = FE.fit_features(src, task)
         labelled = feats.where(F.col("label").isNotNull())
-        split = SA.split_stratified(labelled, "label", test_fraction, seed, task.id_col).checkpoint()
+        split = stored(SA.split_stratified(labelled, "label", test_fraction, seed, task.id_col), "split")
     finally:
         src.unpersist()
     train = split.where(~F.col("is_test")).drop("is_test")
@@ -114,8 +114,8 @@ def _tag(pred: DataFrame, name: str, id_col: str) -> DataFrame:
 
 
 def resample(prep: Prepared, task: C.TaskConfig = C.DEFAULT_TASK) -> DataFrame:
-    """SMOTE on the training part (checkpointed: it feeds several fits)."""
-    return smote(prep.train, "label", "features", seed=C.SEED, id_col=task.id_col).checkpoint()
+    """SMOTE on the training part (stored: it feeds several fits)."""
+    return stored(smote(prep.train, "label", "features", seed=C.SEED, id_col=task.id_col), "resampled")
 
 
 def train_all(spark: SparkSession, incidents: DataFrame | None, sizes: Sizes = FULL,
@@ -152,7 +152,7 @@ def train_all(spark: SparkSession, incidents: DataFrame | None, sizes: Sizes = F
     if "SVM" in want:
         out.models["SVM"] = CL.fit_svm(sm, k, sizes.svm_components, sizes.svm_iter)
     preds = [_tag(m.predict(prep.test), name, idc) for name, m in out.models.items()]
-    out.predictions = reduce(DataFrame.unionByName, preds).checkpoint()
+    out.predictions = stored(reduce(DataFrame.unionByName, preds), "predictions")
     return out
 
 
@@ -236,7 +236,7 @@ def build_reports(spark: SparkSession, incidents: DataFrame, trained: Trained, s
 
 def cross_validation_report(spark: SparkSession, prep: Prepared, sizes: Sizes, k: int = 4) -> DataFrame:
     """5-fold accuracy of the weighted forest and the logistic baseline on all rows."""
-    folds = SA.kfold(prep.features.where(F.col("label").isNotNull()), sizes.cv_folds).checkpoint()
+    folds = stored(SA.kfold(prep.features.where(F.col("label").isNotNull()), sizes.cv_folds), "folds")
     rf = CL.cross_validate(lambda d: CL.fit_random_forest(d, k, True, sizes.rf_trees, sizes.rf_depth), folds,
                            k_folds=sizes.cv_folds)
     # the logistic models of all folds share their passes
