@@ -74,13 +74,17 @@ def new_tree(depth: int) -> dict:
 
 
 def best_cut(n: np.ndarray, g: np.ndarray) -> tuple[float, int, int]:
-    """(improvement, feature, bin) from rows and residuals by (feature, bin); first of equals."""
+    """(improvement, feature, bin) from rows and residuals by (feature, bin).
+
+    Of equals the first is taken, and a billionth apart is equal: sums that Spark adds in
+    another order must not choose another cut.
+    """
     nl, gl = np.cumsum(n, axis=1)[:, :-1], np.cumsum(g, axis=1)[:, :-1]
     nr, gr = n.sum(axis=1, keepdims=True) - nl, g.sum(axis=1, keepdims=True) - gl
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = nl * nr / (nl + nr) * (gl / nl - gr / nr) ** 2
     gain = np.where((nl > 0) & (nr > 0), gain, -1.0)
-    at = int(gain.argmax()) if gain.size else 0
+    at = int((gain >= gain.max() - 1e-9 * abs(gain.max())).argmax()) if gain.size else 0
     return (float(gain.flat[at]), at // gain.shape[1], at % gain.shape[1]) if gain.size else (-1.0, 0, 0)
 
 
