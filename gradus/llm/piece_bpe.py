@@ -19,6 +19,7 @@ fallback, with user-defined or unused pieces, or with a normaliser raise ValueEr
 
 from __future__ import annotations
 
+import collections
 import functools
 import hashlib
 import heapq
@@ -36,6 +37,8 @@ from .common import doc_columns, read, WordCache, worker_state
 
 SPACE = "▁"
 SHORT = 48  # symbols
+SYMBOL_BITS = 20
+CACHE_BYTES = 96 << 20
 DOCS_PER_STEP = 512
 _RUNS = re.compile(" *[^ ]+| +$")
 
@@ -69,12 +72,55 @@ class PieceBpe:
             self.text_of[self.bytes[b]] = chr(b)
         self.high = frozenset(self.bytes[128:])
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cache = WordCache()
+        self.cache = WordCache(CACHE_BYTES)
+        self._number_pairs()
+
+    def _number_pairs(self) -> None:
+        """Symbols by number: pieces by their ids, further characters of pieces above them.
+
+        ``pairs`` maps two symbols, as one integer, to the rank of the piece that they make
+        and its number, so a smaller value has the higher score.  Pieces of tied scores cannot
+        be ranked so: their pairs map to -1, and words that meet one take the agenda of strings.
+        """
+        self.symbols = dict(self.ids)
+        for c in sorted(set("".join(self.ids)) - self.ids.keys()):
+            self.symbols[c] = len(self.pieces) + len(self.symbols) - len(self.ids)
+        self.pairs: dict[int, int] = {}
+        if len(self.pieces) + len(self.symbols) >= 1 << SYMBOL_BITS:
+            return
+        times = collections.Counter(self.scores.values())
+        get = self.symbols.get
+        for rank, piece in enumerate(sorted(self.scores, key=self.scores.__getitem__, reverse=True)):
+            for i in range(1, len(piece)):
+                if (a := get(piece[:i])) is not None and (b := get(piece[i:])) is not None:
+                    self.pairs[a << SYMBOL_BITS | b] = rank << SYMBOL_BITS | self.ids[piece] if times[self.scores[piece]] == 1 else -1
 
     def agenda(self, text: str) -> list[int]:
         """Ids of ``text``, whose spaces are U+2581, by the score-ordered agenda."""
         sym = list(text)
-        return self._ids(self._merge_short(sym) if len(sym) <= SHORT else self._merge_long(sym))
+        if len(sym) > SHORT:
+            return self._ids(self._merge_long(sym))
+        codes = list(map(self.symbols.get, sym)) if self.pairs else [None]
+        if None in codes:  # a character of no piece
+            return self._ids(self._merge_short(sym))
+        codes = self._merge_codes(codes)
+        return codes if codes and max(codes) < len(self.pieces) else self._ids(self._merge_short(sym))
+
+    def _merge_codes(self, sym: list[int]) -> list[int]:
+        """``_merge_short`` on symbol numbers; nothing where a tied pair turns up."""
+        get, none, low = self.pairs.get, 1 << 62, (1 << SYMBOL_BITS) - 1
+        queue = [get(a << SYMBOL_BITS | b, none) for a, b in itertools.pairwise(sym)]
+        while queue and (best := min(queue)) != none:
+            if best < 0:
+                return []
+            i = queue.index(best)  # the leftmost of equals
+            new = sym[i] = best & low
+            del sym[i + 1], queue[i]
+            if i < len(queue):
+                queue[i] = get(new << SYMBOL_BITS | sym[i + 1], none)
+            if i:
+                queue[i - 1] = get(sym[i - 1] << SYMBOL_BITS | new, none)
+        return sym
 
     def _merge_short(self, sym: list[str]) -> list[str]:
         """The agenda as a plain list of the pairs' scores: few pairs are scanned faster
