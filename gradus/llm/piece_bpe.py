@@ -38,7 +38,7 @@ from .common import doc_columns, read, WordCache, worker_state
 SPACE = "▁"
 SHORT = 48  # symbols
 SYMBOL_BITS = 20
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 144 << 20
 DOCS_PER_STEP = 512
 _RUNS = re.compile(" *[^ ]+| +$")
 
