@@ -25,7 +25,7 @@ import hashlib
 import heapq
 import itertools
 import re
-import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +38,11 @@ from .common import doc_columns, read, WordCache, worker_state
 SPACE = "▁"
 SHORT = 48  # symbols
 SYMBOL_BITS = 20
-CACHE_BYTES = 144 << 20
+NONE = 1 << 62
+BLOCK_WORDS = 8_192
+CACHE_BYTES = 96 << 20
 DOCS_PER_STEP = 512
+_UTF8 = np.array([0x80, 0x800, 0x10000])  # first code points of two, three and four bytes
 _RUNS = re.compile(" *[^ ]+| +$")
 
 
@@ -70,57 +73,135 @@ class PieceBpe:
                 self.text_of[i] = " ⁇ "
         for b in range(128):
             self.text_of[self.bytes[b]] = chr(b)
-        self.high = frozenset(self.bytes[128:])
+        self.raw_of = [t.encode() for t in self.text_of]
+        for b in range(128, 256):
+            self.raw_of[self.bytes[b]] = bytes([b])
+        self.byte_ids = np.array(self.bytes, np.uint32)
+        self.decimal = list(map(str, range(n)))
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cache = WordCache(CACHE_BYTES)
         self._number_pairs()
 
     def _number_pairs(self) -> None:
-        """Symbols by number: pieces by their ids, further characters of pieces above them.
+        """Symbols by number: pieces by their ids, further characters of pieces above them,
+        then all other characters, which form no pair.
 
-        ``pairs`` maps two symbols, as one integer, to the rank of the piece that they make
-        and its number, so a smaller value has the higher score.  Pieces of tied scores cannot
-        be ranked so: their pairs map to -1, and words that meet one take the agenda of strings.
+        A pair of symbols, as one integer, has the rank of the piece that they make and its
+        number, so a smaller value has the higher score.  Pieces of tied scores cannot be
+        ranked so: their pairs have -1, and words that meet one take the agenda of strings.
         """
-        self.symbols = dict(self.ids)
+        symbols = dict(self.ids)
         for c in sorted(set("".join(self.ids)) - self.ids.keys()):
-            self.symbols[c] = len(self.pieces) + len(self.symbols) - len(self.ids)
-        self.pairs: dict[int, int] = {}
-        if len(self.pieces) + len(self.symbols) >= 1 << SYMBOL_BITS:
-            return
+            symbols[c] = len(self.pieces) + len(symbols) - len(self.ids)
+        self.other = len(self.pieces) + len(symbols)
+        self.symbol_of = np.full(sys.maxunicode + 1, self.other, np.int32)
+        for c, number in symbols.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = number
         times = collections.Counter(self.scores.values())
-        get = self.symbols.get
+        pairs: dict[int, int] = {}
+        get = symbols.get
         for rank, piece in enumerate(sorted(self.scores, key=self.scores.__getitem__, reverse=True)):
             for i in range(1, len(piece)):
                 if (a := get(piece[:i])) is not None and (b := get(piece[i:])) is not None:
-                    self.pairs[a << SYMBOL_BITS | b] = rank << SYMBOL_BITS | self.ids[piece] if times[self.scores[piece]] == 1 else -1
+                    pairs[a << SYMBOL_BITS | b] = rank << SYMBOL_BITS | self.ids[piece] if times[self.scores[piece]] == 1 else -1
+        self.pair = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
+        self.by_number = bool(pairs) and self.other < 1 << SYMBOL_BITS
+
+    def _made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << SYMBOL_BITS | b
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.made[at], NONE)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, whose spaces are U+2581, one after another, and how many each has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero(size <= SHORT) if self.by_number else np.zeros(0, np.int64)
+        short = short[np.argsort(size[short], kind="stable")]  # words of a block are of like length
+        blocks = [short[s:s + BLOCK_WORDS] for s in range(0, len(short), BLOCK_WORDS)]
+        order, flat, count = [], [], []
+        rest = [np.setdiff1d(np.arange(len(words)), short)]
+        for block in blocks:
+            ids, n, tied = self._merge_block([words[i] for i in block.tolist()], size[block])
+            rest.append(block[tied])
+            order.append(block[~tied])
+            flat.append(ids)
+            count.append(n)
+        for i in np.concatenate(rest).tolist():
+            ids = self.agenda(words[i])
+            order.append(np.array([i]))
+            flat.append(np.array(ids, np.uint32))
+            count.append(np.array([len(ids)]))
+        where = np.concatenate(order)
+        n = np.empty(len(words), np.int64)
+        n[where] = got = np.concatenate(count)
+        start = np.empty(len(words), np.int64)
+        start[where] = np.cumsum(got) - got
+        pick = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.concatenate(flat)[pick], n
+
+    def _merge_block(self, words: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every word's agenda at once, a row of scores each: a step merges the best pair
+        (the leftmost of equals) of every word that has one left.
+
+        Returns the ids of the words without a tied pair, how many each has, and which have one.
+        """
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        width = int(size.max())
+        cell = np.repeat(np.arange(len(words)) * width - (np.cumsum(size) - size), size) + np.arange(len(chars))
+        sym = np.full(len(words) * width + 1, self.other, np.int32)  # the last cell is beyond every end
+        sym[cell] = self.symbol_of[chars]
+        end = len(sym) - 1
+        right, left = np.full(len(sym), end), np.full(len(sym), end)
+        inner = cell[1:] == cell[:-1] + 1
+        inner &= cell[1:] % width != 0
+        right[cell[:-1][inner]] = cell[1:][inner]
+        left[cell[1:][inner]] = cell[:-1][inner]
+        score = np.full(len(sym), NONE)
+        score[cell] = self._made(sym[cell], sym[right[cell]])
+        rows = score[:-1].reshape(len(words), width)
+        live = np.zeros(len(sym), bool)
+        live[cell] = True
+        tied = np.zeros(len(words), bool)
+        active = np.arange(len(words))
+        while len(active):
+            at = rows[active].argmin(axis=1)
+            i = active * width + at
+            best = score[i]
+            tied[active[best < 0]] = True
+            go = (best >= 0) & (best < NONE)
+            active, i, best = active[go], i[go], best[go]
+            gone = right[i]
+            sym[i] = best & ((1 << SYMBOL_BITS) - 1)
+            live[gone] = False
+            score[gone] = NONE
+            right[i] = after = right[gone]
+            left[after] = i
+            score[i] = self._made(sym[i], sym[after])
+            before = left[i]
+            score[before] = self._made(sym[before], sym[i])
+            score[end] = NONE
+            left[end] = end
+        char = np.zeros(len(sym), np.uint32)
+        char[cell] = chars
+        row = np.arange(len(sym) - 1) // width
+        pos = np.flatnonzero(live[:-1] & ~tied[row])
+        own = sym[pos]
+        odd = own >= len(self.pieces)  # characters that are no piece
+        data = char[pos[odd]].tobytes().decode("utf-32-le")
+        raw = np.frombuffer(data.encode(), np.uint8)
+        wide = np.ones(len(pos), np.int64)
+        wide[odd] = np.searchsorted(_UTF8, char[pos[odd]], "right") + 1
+        ids = np.repeat(own, wide).astype(np.uint32)
+        ids[np.repeat(odd, wide)] = self.byte_ids[raw]
+        n = np.bincount(row[pos], wide, len(words)).astype(np.int64)
+        return ids, n[~tied], tied
 
     def agenda(self, text: str) -> list[int]:
         """Ids of ``text``, whose spaces are U+2581, by the score-ordered agenda."""
         sym = list(text)
-        if len(sym) > SHORT:
-            return self._ids(self._merge_long(sym))
-        codes = list(map(self.symbols.get, sym)) if self.pairs else [None]
-        if None in codes:  # a character of no piece
-            return self._ids(self._merge_short(sym))
-        codes = self._merge_codes(codes)
-        return codes if codes and max(codes) < len(self.pieces) else self._ids(self._merge_short(sym))
-
-    def _merge_codes(self, sym: list[int]) -> list[int]:
-        """``_merge_short`` on symbol numbers; nothing where a tied pair turns up."""
-        get, none, low = self.pairs.get, 1 << 62, (1 << SYMBOL_BITS) - 1
-        queue = [get(a << SYMBOL_BITS | b, none) for a, b in itertools.pairwise(sym)]
-        while queue and (best := min(queue)) != none:
-            if best < 0:
-                return []
-            i = queue.index(best)  # the leftmost of equals
-            new = sym[i] = best & low
-            del sym[i + 1], queue[i]
-            if i < len(queue):
-                queue[i] = get(new << SYMBOL_BITS | sym[i + 1], none)
-            if i:
-                queue[i - 1] = get(sym[i - 1] << SYMBOL_BITS | new, none)
-        return sym
+        return self._ids(self._merge_long(sym) if len(sym) > SHORT else self._merge_short(sym))
 
     def _merge_short(self, sym: list[str]) -> list[str]:
         """The agenda as a plain list of the pairs' scores: few pairs are scanned faster
@@ -185,35 +266,43 @@ class PieceBpe:
         cut = [self._words(t.replace(SPACE, " ")) if t else [] for t in texts]
         new = list({w for words in cut for w in words if w not in self.cache})
         if new:
-            got = [self.agenda(SPACE + w.replace(" ", SPACE)) if w else [self.ids[SPACE]] for w in new]
-            filled = [(w, g) for w, g in zip(new, got, strict=True) if w]
-            self.check([w for w, _ in filled], [g for _, g in filled])
-            packed = {w: struct.pack(f"<{len(g)}I", *g) for w, g in zip(new, got, strict=True)}
+            ids, n = self.encode_words([SPACE + w.replace(" ", SPACE) for w in new])
+            self.check_words(new, ids, n)
+            data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+            packed = {w: data[a:b] for w, a, b in zip(new, [0, *ends[:-1]], ends, strict=True)}
             self.cache.put(packed.items())
         long = {w: p for w, p in packed.items() if w not in self.cache} if new else {}
         look = self.cache.__getitem__ if not long else lambda w: self.cache.get(w) or long[w]
         out = [np.frombuffer(b"".join(map(look, words)), "<u4") for words in cut]
         for t, ids in zip(texts, out, strict=True):
             if t:
-                self.check([t], [ids.tolist()])
+                self.check(t, ids.tolist())
                 break
         return out
 
-    def check(self, texts: list[str], ids: list[list[int]]) -> None:
-        if self.library.encode(texts, num_threads=1) != ids:
+    def check_words(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        """The empty word, a space alone, is left out: the library takes it for no text."""
+        want = self.library.encode(words, num_threads=1)
+        if "" in words:
+            want[words.index("")] = [self.ids[SPACE]]
+        if list(map(len, want)) != n.tolist() or list(itertools.chain.from_iterable(want)) != (flat := ids.tolist()):
             raise RuntimeError("ids differ from the sentencepiece library's")
         # all ids as one text: every word starts with its space, so no run of bytes crosses two
-        flat = [i for own in ids for i in own]
         if self.library.decode(flat) != self.decode(flat):
             raise RuntimeError("decoded texts differ from the sentencepiece library's")
 
+    def check(self, text: str, ids: list[int]) -> None:
+        if self.library.encode(text, num_threads=1) != ids or self.library.decode(ids) != self.decode(ids):
+            raise RuntimeError("a text differs from the sentencepiece library's")
+
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: one leading space goes, runs of byte pieces become characters."""
         if not ids:
             return ""
-        if self.high.isdisjoint(ids):
-            text = "".join(map(self.text_of.__getitem__, ids))
-        else:
+        try:
+            # no piece starts within a character, so what is valid as a whole is so in each run
+            text = b"".join(map(self.raw_of.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
             parts, run = [], bytearray()
             for i in ids:
                 if i in self.byte_of:
@@ -258,11 +347,12 @@ def _steps(batches: Iterator[pa.RecordBatch], path: str):
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     sha = hashlib.sha256
     for b, ids in _steps(batches, path):
-        decode = vocabulary(path).decode
+        v = vocabulary(path)
+        lists = [x.tolist() for x in ids]
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), pa.array([len(x) for x in ids], pa.int64()),
-             pa.array([sha(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]),
-             pa.array([sha(decode(x.tolist()).encode()).hexdigest() for x in ids])],
+            [b.column("id"), pa.array(map(len, lists), pa.int64()),
+             pa.array([sha(",".join(map(v.decimal.__getitem__, x)).encode()).hexdigest() for x in lists]),
+             pa.array([sha(v.decode(x).encode()).hexdigest() for x in lists])],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 

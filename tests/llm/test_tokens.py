@@ -41,6 +41,18 @@ def test_agenda_and_decoding_like_the_library(pieces, edge_rows):
         assert pieces.library.decode(ids) == pieces.decode(ids), ids
 
 
+@pytest.mark.parametrize("block", [8_192, 3])
+def test_words_of_a_block_merge_like_single_agendas(pieces, block, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "BLOCK_WORDS", block)
+    r = random.Random(2)
+    words = ["▁" + "".join(r.choice("abcdeinrst▁é日😀\x00ẞ") for _ in range(r.randint(0, 60))) for _ in range(300)]
+    for made in (pieces.made, np.where(np.arange(len(pieces.made)) % 50 == 0, -1, pieces.made)):  # some pairs as if tied
+        monkeypatch.setattr(pieces, "made", made)
+        ids, n = pieces.encode_words(words)
+        assert np.split(ids, np.cumsum(n)[:-1])[7].tolist() == pieces.agenda(words[7])
+        assert ids.tolist() == [i for w in words for i in pieces.agenda(w)]
+
+
 def test_token_files_round_trip(spark, edge_docs, no_docs, edge_rows, words):
     folder, index = token_files.write(edge_docs, WORD, 2, 4)
     got = sorted(map(tuple, token_files.documents(spark, folder, 4).collect()), key=lambda r: r[1])
