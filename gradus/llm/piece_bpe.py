@@ -73,7 +73,8 @@ class PieceBpe:
                 self.text_of[i] = " ⁇ "
         for b in range(128):
             self.text_of[self.bytes[b]] = chr(b)
-        self.raw_of = [t.encode() for t in self.text_of]
+        # a control piece has no text but ends a run of bytes: 0xFF is in no valid text
+        self.raw_of = [t.encode() or b"\xff" for t in self.text_of]
         for b in range(128, 256):
             self.raw_of[self.bytes[b]] = bytes([b])
         self.byte_ids = np.array(self.bytes, np.uint32)
