@@ -9,9 +9,9 @@ row instead of one for each byte.
 2. Rows of one anchor and equal context (all bytes of the run's passages) are a
    class; a class that is alone at its anchor is repeated as a whole.
 3. Where classes differ, one context of each is sorted: the suffix order of all its
-   passages by prefix doubling, in which repeats are stretches of LCP >= length.  A
-   passage has a longest previous factor of that length if a smaller position comes
-   before or after it in its stretch, that is, if it is not the stretch's smallest.
+   passages by prefix doubling.  The nearest smaller positions before and after a
+   passage in that order give its longest previous factor, up to ``length`` bytes; it
+   has an earlier copy if that is ``length``, and the place it was found at has a later.
    Anchors with more than ``MAX_CLASSES`` classes are dealt out by the hash of each
    single passage instead, so that no common line's surroundings meet in one task.
 
@@ -143,6 +143,75 @@ def passage_ranks(buf: np.ndarray, length: int) -> np.ndarray:
     return rank[:len(buf)]
 
 
+def smaller_before(value: np.ndarray) -> np.ndarray:
+    """For each element the last place before it of a smaller value, or -1: up a tree of
+    minima to the first left sibling that holds one, then down to its last."""
+    levels = [value]
+    while len(levels[-1]) > 1:
+        v = levels[-1]
+        v = np.append(v, v[-1:]) if len(v) % 2 else v
+        levels.append(np.minimum(v[::2], v[1::2]))
+    out = np.full(len(value), -1)
+    todo, found = np.arange(len(value)), []
+    for h, low in enumerate(levels):
+        at = todo >> h
+        hit = (at & 1 == 1) & (low[at - 1] < value[todo])
+        found.append((todo[hit], at[hit] - 1))
+        todo = todo[~hit]
+    who, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for h in range(len(levels) - 1, -1, -1):
+        if len(who):
+            at = 2 * at + 1  # the right child, if it is there and holds a smaller value
+            last = len(levels[h]) - 1
+            at -= (at > last) | (levels[h][np.minimum(at, last)] >= value[who])
+        who, at = np.concatenate([who, found[h][0]]), np.concatenate([at, found[h][1]])
+    out[who] = at
+    return out
+
+
+def common_prefix(buf: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of the bytes from ``a`` and from ``b``, up to ``most``,
+    in steps of eight bytes."""
+    padded = np.concatenate([buf, np.zeros(most + 8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    out = np.full(len(a), most)
+    todo = np.arange(len(a))
+    for at in range(0, most, 8):
+        differ = words[a[todo] + at] != words[b[todo] + at]
+        ends = differ.any(axis=1)
+        out[todo[ends]] = np.minimum(at + differ[ends].argmax(axis=1), most)
+        todo = todo[~ends]
+        if not len(todo):
+            break
+    return out
+
+
+def previous_factors(buf: np.ndarray, at: np.ndarray, rank: np.ndarray, place: np.ndarray, group: np.ndarray,
+                     length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factor of each passage, up to ``length``, and the passage it was
+    found at (-1: none).
+
+    ``at`` is a passage's start in ``buf``, ``rank`` its rank in suffix order, ``place`` its
+    position in the corpus; factors are looked for among the passages of its ``group``.
+    """
+    sa = np.lexsort((place, rank, group))
+    line = place[sa]
+    factor, source = np.zeros(len(sa), np.int64), np.full(len(sa), -1)
+    before = smaller_before(line)
+    after = len(sa) - 1 - smaller_before(line[::-1])[::-1]
+    for near in (before, after):
+        own = np.flatnonzero((near >= 0) & (near < len(sa)))
+        i, j = sa[own], sa[near[own]]
+        keep = group[i] == group[j]
+        i, j = i[keep], j[keep]
+        size = np.full(len(i), length)
+        differ = rank[i] != rank[j]
+        size[differ] = common_prefix(buf, at[i[differ]], at[j[differ]], length)
+        more = size > factor[i]
+        factor[i[more]], source[i[more]] = size[more], j[more]
+    return factor, source
+
+
 def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
@@ -161,26 +230,21 @@ def _previous_factors(batches: Iterator[pa.RecordBatch], length: int) -> Iterato
         c = {n: v[pick] for n, v in c.items()}
         data = table.column("bytes").take(pa.array(pick)).to_pylist()
         first = np.cumsum([0, *(len(x) for x in data)])[:-1]
-        rank = passage_ranks(np.frombuffer(b"".join(data), np.uint8), length)
+        buf = np.frombuffer(b"".join(data), np.uint8)
+        rank = passage_ranks(buf, length)
         order = np.empty(len(pick), np.int64)
         order[np.lexsort((c["pos"], c["th"], c["key"]))] = np.arange(len(pick))
         n = (c["pos"] & 0xFF) + 1
         row = np.repeat(np.arange(len(pick)), n)
         off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        # suffix order of the passages inside each anchor's group
-        r = rank[first[row] + off]
-        sa = np.lexsort((off, order[row], r, group[row]))
-        stretch = np.ones(len(sa), bool)
-        stretch[1:] = (r[sa[1:]] != r[sa[:-1]]) | (group[row[sa[1:]]] != group[row[sa[:-1]]])
-        begin = np.flatnonzero(stretch)
-        number = np.cumsum(stretch) - 1
-        place = order[row[sa]] * 256 + off[sa]
-        smallest = np.minimum.reduceat(place, begin)
-        again = np.diff(np.append(begin, len(sa)))[number] > 1
-        earlier = place > smallest[number]
+        at = first[row] + off
+        factor, source = previous_factors(buf, at, rank[at], order[row] * 256 + off, group[row], length)
+        earlier = factor >= length
+        again = earlier.copy()
+        again[source[earlier]] = True
         out = []
         for flag in (again, earlier):
-            hit = np.sort(sa[flag])
+            hit = np.flatnonzero(flag)
             out.append(_lists(row[hit], off[hit], len(pick)))
         yield pa.RecordBatch.from_arrays([pa.array(c["gram"]), pa.array(c["context"]), *out],
                                          names=["gram", "context", "again", "earlier"])

@@ -119,6 +119,28 @@ def test_first_copy_stays(spark, edge_docs, edge_rows, most, monkeypatch):
     assert suffix_dedup.cut(docs).columns == docs.columns
 
 
+def test_longest_previous_factors_by_hand():
+    r = np.random.default_rng(4)
+    for n, length, letters in ((1, 3, 2), (60, 5, 2), (400, 20, 2), (300, 9, 1), (500, 33, 3)):
+        buf = r.integers(97, 97 + letters, n + length).astype(np.uint8)
+        buf[n // 2:n // 2 + n // 4] = buf[:n // 4]
+        at = r.permutation(n)  # passages in any order, by places of their own, in two groups
+        place, group = r.permutation(n), (at % 2 if n > 60 else at * 0)
+        factor, source = suffix_dedup.previous_factors(buf, at, suffix_dedup.passage_ranks(buf, length)[at], place, group, length)
+        raw = buf.tobytes()
+
+        def common(i, j):
+            a, b = raw[at[i]:at[i] + length], raw[at[j]:at[j] + length]
+            return next((k for k in range(length) if a[k] != b[k]), length)
+
+        for i in range(n):
+            want = max((common(i, j) for j in range(n) if place[j] < place[i] and group[j] == group[i]), default=0)
+            assert factor[i] == want
+            assert want == 0 or common(i, source[i]) == want and place[source[i]] < place[i]
+        before = suffix_dedup.smaller_before(place)
+        assert before.tolist() == [max((j for j in range(i) if place[j] < place[i]), default=-1) for i in range(n)]
+
+
 def test_pieces_of_a_long_text(monkeypatch, prose):
     text = (prose(9, 900) + prose(8, 300) + prose(9, 900)).encode()
     whole = [x for p in suffix_dedup._pieces([text], 200) for x in p]
