@@ -325,6 +325,20 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], length: int, text: str) -> Ite
                                           for n in names], schema=schema)
 
 
+def _repeated_grams(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of grams that occur more than once; a gram of more than a quarter of a
+    partition's share of rows is split over several.  There are at most 4 * ``parts`` such."""
+    twice = stored(rows.groupBy("gram").count().where("count > 1"), "grams")
+    share = (twice.agg(F.sum("count")).first()[0] or 0) // (4 * parts) + 1
+    shares = F.floor(F.col("count") / share).cast("long")
+    common = twice.where(F.col("count") > share).select("gram", (shares + 1).alias("shares"))
+    salt = F.coalesce(F.pmod(F.xxhash64("key", "th", "pos"), F.col("shares")), F.lit(0).cast("long"))
+    dealt = twice.select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("count") > share, shares)
+                                                      .otherwise(0))).alias("salt"))
+    return (rows.join(F.broadcast(common), "gram", "left").withColumn("salt", salt).drop("shares")
+            .join(dealt, ["gram", "salt"]).drop("salt"))
+
+
 def repeats(raw: DataFrame, keep: str = "none", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, th, ranges) of every document that loses something: ranges [a, b] of the
     starts of removed passages.  ``raw`` has key, th and the binary text."""
@@ -333,8 +347,7 @@ def repeats(raw: DataFrame, keep: str = "none", length: int = LENGTH, gram: int
     parts = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = raw.where(F.octet_length("text") >= length).mapInArrow(
         functools.partial(_anchor_rows, length=length, gram=gram), ROW)
-    twice = rows.groupBy("gram").count().where("count > 1").select("gram")
-    rows = stored(rows.join(twice, "gram"), "anchors")
+    rows = stored(_repeated_grams(rows, parts), "anchors")
     classes = rows.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "th", "pos")).alias("first"))
     classes = stored(classes, "contexts")
     mixed = classes.join(classes.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "gram")

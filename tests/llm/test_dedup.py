@@ -141,6 +141,16 @@ def test_longest_previous_factors_by_hand():
         assert before.tolist() == [max((j for j in range(i) if place[j] < place[i]), default=-1) for i in range(n)]
 
 
+def test_common_grams_are_split(spark):
+    rows = spark.createDataFrame([(g, i, i, 0, 0) for i in range(400) for g in {7, i // 2 if i % 3 else -i}], suffix_dedup.ROW)
+    got = sorted(map(tuple, suffix_dedup._repeated_grams(rows, 8).select("gram", "context").collect()))
+    n = {}
+    for g, *_ in (all_rows := rows.collect()):
+        n[g] = n.get(g, 0) + 1
+    assert got == sorted((x["gram"], x["context"]) for x in all_rows if n[x["gram"]] > 1)
+    assert suffix_dedup._repeated_grams(rows.limit(0), 8).count() == 0
+
+
 def test_pieces_of_a_long_text(monkeypatch, prose):
     text = (prose(9, 900) + prose(8, 300) + prose(9, 900)).encode()
     whole = [x for p in suffix_dedup._pieces([text], 200) for x in p]
