@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gradus.operators import smote as SM
@@ -72,3 +73,29 @@ def test_draws_do_not_depend_on_partitions(spark):
             for n in (1, 6)]
     assert runs[0] == runs[1] and len(runs[0]) == 355 - 45
     assert df.where(F.col("label") == 1).count() == 45
+
+
+def test_visits_are_the_boxes_inside_the_ball():
+    rng = np.random.default_rng(7)
+    X, centre = rng.normal(size=(150, 3)), rng.normal(size=(1100, 3))
+    lo, hi, r2 = centre - 0.1, centre + 0.1, np.append(np.zeros(1), rng.uniform(0, 0.5, 149))
+    rows = pa.table({"cls": pa.array([1] * 150, pa.int32()), "own": [3] * 150, "rank": range(150), "x": X.tolist(), "r2": r2})
+    boxes = pa.table({"cls": pa.array([1] * 1100, pa.int32()), "own": [3] * 1100, "box": range(1100), "lo": lo.tolist(), "hi": hi.tolist()})
+    got = SM._touched(rows, boxes)
+    apart = np.maximum(np.maximum(lo[None] - X[:, None], X[:, None] - hi[None]), 0)
+    want = {(i, j) for i, j in zip(*np.nonzero((apart ** 2).sum(axis=2) < r2[:, None]))}
+    assert set(zip(got["rank"].to_pylist(), got["cell"].to_pylist())) == want and len(want) == got.num_rows > 0
+    assert SM._touched(rows, boxes.slice(0, 0)).num_rows == 0
+
+
+def test_a_visit_finds_what_all_distances_name():
+    rng = np.random.default_rng(8)
+    X = np.round(rng.normal(size=(90, 4)), 1) + 1e6  # far from 0: a matrix product alone would lose digits
+    Q, r2 = np.concatenate([X[:20], X[:20] + 0.1]), rng.uniform(0, 2, 40)
+    cell = pa.table({"rank": range(90), "x": X.tolist()})
+    found = SM._visit(pa.table({"cls": pa.array([2] * 40, pa.int32()), "rank": range(100, 140), "x": Q.tolist(), "r2": r2}), cell, 5)
+    d = np.sqrt(((Q[:, None] - X[None]) ** 2).sum(axis=2))
+    for row, near, most in zip(d, found["near"].to_pylist(), r2):
+        want = np.sort(row[row ** 2 < most])[:5]
+        assert np.allclose([n["d"] for n in near], want, rtol=0, atol=1e-9)
+        assert all(row[n["rank"]] == n["d"] for n in near)
