@@ -4,7 +4,7 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from gradus.models import ordinal as OL
@@ -96,3 +96,23 @@ def test_stream_equals_batch(spark, prepared, tmp_path):
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
     assert os.path.exists(str(tmp_path / "ck"))
     assert score_stream is not None
+
+
+def test_ordinal_fit_takes_one_pass_a_step_over_packed_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(600, 3))
+    y = np.digitize(X @ [1.0, -0.5, 0.0] + rng.logistic(size=600), [0.5, 1.5, 2.5])
+    rows = spark.createDataFrame([(int(v), [float(c) for c in x]) for v, x in zip(y, X)], "label int, x array<double>")
+    passes, plain = [], OL.summed
+    monkeypatch.setattr(OL, "summed", lambda data, size, sums: passes.append((data.columns, size)) or plain(data, size, sums))
+    model = OL.OrdinalLogit(ftol=1e-12).fit(rows.select("label", array_to_vector("x").alias("features")).repartition(3))
+    _, g, H = OL.nll_grad_hess(X, y, model.coef, model.thresholds)
+    assert np.abs(np.linalg.solve(H, g)).max() < 1e-4
+    assert all(columns == ["block"] for columns, _ in passes)
+    assert sum(size == 1 + 6 + 36 for _, size in passes) <= model.n_iter + 1 + sum(size == 9 for _, size in passes)
+
+
+def test_ordinal_fit_counts_rows_it_cannot_use(spark):
+    rows = spark.createDataFrame([(0, [1.0]), (None, [1.0]), (1, [float("nan")]), (2, [0.5])], "label int, x array<double>")
+    with pytest.raises(ValueError, match="2 training rows"):
+        OL.OrdinalLogit().fit(rows.select("label", array_to_vector("x").alias("features")))
