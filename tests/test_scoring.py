@@ -1,5 +1,7 @@
 """Correction cases of FIXTURES.md §5 and probability invariants."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,24 @@ def test_risk_band(spark):
                          [(0.1, "low"), (0.5, "medium")], "high", "band", strict_above=True)
     assert [r["band"] for r in cells.collect()] == ["low", "medium", "medium", "high"]
     assert F is not None
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark, capsys):
+    """HotSpot interprets methods above 8,000 bytes: the chain stays below, or its session falls back."""
+    limit, adaptive = "spark.sql.codegen.hugeMethodLimit", "spark.sql.adaptive.enabled"
+    before = {k: spark.conf.get(k) for k in (limit, adaptive)}
+    try:
+        spark.conf.set(adaptive, "false")
+        spark.conf.set(limit, "65535")
+        chain = SC.finalize_scores(SC.apply_corrections(_frame(spark).repartition(2)), "m")
+        assert int(spark.conf.get(limit)) == 8000
+        capsys.readouterr()
+        chain.explain("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000
+        spark.conf.set(limit, "4000")
+        SC.apply_corrections(_frame(spark))
+        assert spark.conf.get(limit) == "4000"  # a lower one of the user's stays
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
