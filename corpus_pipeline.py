@@ -52,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds token_ids, n_tokens and whether decoding gives the text back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = piece_bpe.decode(piece_bpe.encode(docs, model), model)
+    coded = piece_bpe.encode_and_decode(docs, model)
     return coded.withColumn("lossless", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
 
 

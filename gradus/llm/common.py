@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +49,15 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
 _STATE: dict = {"owner": None, "kept": {}}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system.  Worker processes stay when idle, and what they
+    keep for later use counts against their executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_state(owner: str, key=None, make: Callable | None = None, keep: int = 1):
     """State that an operator's tasks share within a worker process.
 
@@ -56,7 +68,7 @@ def worker_state(owner: str, key=None, make: Callable | None = None, keep: int =
     if _STATE["owner"] != owner:
         _STATE["kept"].clear()
         _STATE["owner"] = owner
-        gc.collect()
+        give_back()
     if make is None:
         return None
     kept = _STATE["kept"]

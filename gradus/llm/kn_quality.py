@@ -78,6 +78,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    worker_state("kn_quality")
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def rows(lang: str) -> pa.RecordBatch:

@@ -390,6 +390,19 @@ def decode(df: DataFrame, model_path: str) -> DataFrame:
     return df.mapInArrow(functools.partial(_texts, path=model_path), schema + ", decoded string")
 
 
+def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    return _texts(_ids(batches, path), path)
+
+
+def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: two passes in a row would take two worker
+    processes a task, each with a vocabulary and a cache of its own."""
+    docs = docs.drop("token_ids", "n_tokens", "decoded")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(functools.partial(_coded, path=model_path),
+                           schema + ", token_ids array<int>, n_tokens long, decoded string")
+
+
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of all ids and of the text decoded from them."""
     return doc_columns(docs).mapInArrow(functools.partial(_digests, path=model_path),

@@ -1,6 +1,6 @@
 """State of worker processes and caches."""
 
-from gradus.llm import common
+from gradus.llm import common, kn_quality
 from gradus.llm.piece_bpe import PieceBpe
 from gradus.llm.token_files import ChunkEncoder
 
@@ -36,3 +36,17 @@ def test_words_left_out_of_the_caches_are_encoded(prose):
         assert bpe.encode_batch([text, "", text])[2].tolist() == bpe.library.encode(text)
         assert chunks.encode(text) == chunks._bytes(chunks.ids([text])[0])
     assert max(map(len, [*bpe.cache, *chunks.cache, *chunks.words])) <= 1000
+
+
+def test_counting_drops_what_another_operator_left():
+    common.worker_state("piece_bpe", 1, object)
+    assert list(kn_quality._count(iter([]), 5)) == []
+    assert not common._STATE["kept"]
+
+
+def test_changing_operators_gives_memory_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1), raising=False)
+    for owner in ("c", "c", "d"):
+        common.worker_state(owner, 1, object)
+    assert len(done) == 2

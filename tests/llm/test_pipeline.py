@@ -79,3 +79,8 @@ def test_stages_on_odd_documents(spark, edge_docs, no_docs, sf_small):
         got = f(spark, edge_docs, sf_small)
         assert got.columns[:len(edge_docs.columns)] == edge_docs.columns
         assert 0 < got.count() <= n
+
+
+def test_a_task_of_token_ids_takes_one_worker_process(spark, edge_docs, sf_small):
+    plan = corpus_pipeline.tokenise(spark, edge_docs, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

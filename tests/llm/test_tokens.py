@@ -82,3 +82,12 @@ def test_piece_digests_and_columns(spark, edge_docs, no_docs, edge_rows, pieces)
     assert both.columns == [*edge_docs.columns, "token_ids", "n_tokens", "decoded"]
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in both.collect())
     assert piece_bpe.round_trip(no_docs, PIECE).count() == 0
+
+
+def test_encoding_and_decoding_take_one_worker(edge_docs, no_docs):
+    model = PIECE
+    both = piece_bpe.encode_and_decode(edge_docs, model)
+    apart = piece_bpe.decode(piece_bpe.encode(edge_docs, model), model)
+    assert both.schema == apart.schema
+    assert sorted(both.collect(), key=str) == sorted(apart.collect(), key=str)
+    assert piece_bpe.encode_and_decode(no_docs, model).count() == 0
