@@ -101,6 +101,26 @@ class WordCache(dict):
             self.held = 0
 
 
+class AgedCache(WordCache):
+    """A word cache of two halves: when the newer one is full it becomes the older one, so
+    words in use are not worked out again.  ``aged`` moves what it finds to the newer half."""
+
+    def __init__(self, most: int, longest: int = 1000, unit: int = 1):
+        super().__init__(most // 2, longest, unit)
+        self.older: dict = {}
+
+    def aged(self, word: str) -> bytes | None:
+        value = self.older.pop(word, None)
+        if value is not None:
+            self.put([(word, value)])
+        return value
+
+    def trim(self) -> None:
+        if self.held > self.most:
+            self.older = dict(self)
+            super().trim()
+
+
 def doc_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text) only, under fixed names, so no other column can clash."""
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"),

@@ -13,8 +13,8 @@ Files are written under a temporary name and renamed, so a retried task leaves
 one whole copy; a part's content depends on its rows alone.
 
 Encoding is by the tokenizers library.  Its vocabulary here drops white space and
-never joins across it, so a text is encoded chunk by chunk and a bounded cache
-holds recent chunks.  That shortcut is used only after the library itself has
+never joins across it, so a text is encoded chunk by chunk and bounded caches
+hold recent chunks and the words within them.  That shortcut is used only after the library itself has
 shown, for each white-space character, that a split there changes no id.
 
 Defined cases: null text is empty (its ids are the end id alone); null ids come
@@ -38,9 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_columns, file_system, fresh_path, read, stored, text_hash, WordCache, worker_state
+from .common import doc_columns, file_system, fresh_path, read, stored, text_hash, AgedCache, worker_state
 
 DOCS_PER_STEP = 512
+CACHE_BYTES = 96 << 20  # of chunks, and again of words, in a worker process
 INDEX_SCHEMA = "part int, n_docs long, n_nulls long, n_tokens long, width int"
 
 # letters and printable ASCII for which normalising and splitting is the plain rule below
@@ -68,7 +69,7 @@ class ChunkEncoder:
         self.model = self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
-        self.cache, self.words = WordCache(), WordCache()
+        self.cache, self.words = AgedCache(CACHE_BYTES), AgedCache(CACHE_BYTES)
         spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
         both = self.ids(["Ab"])[0] + self.ids(["c1"])[0]
         whole = self.ids([f"Ab{c}c1" for c in spaces])
@@ -91,6 +92,8 @@ class ChunkEncoder:
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
+        if got is None:
+            got = self.words.aged(word)
         if got is None:
             mapped = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
             got = self._bytes([t.id for t in self.model.tokenize(mapped)])
@@ -119,8 +122,10 @@ class ChunkEncoder:
         chunks = text.split()
         got = list(map(self.cache.get, chunks))
         if None in got:
-            new = self._new({c for c, g in zip(chunks, got, strict=True) if g is None})
-            got = [new[c] if g is None else g for c, g in zip(chunks, got, strict=True)]
+            known = {c: self.cache.aged(c) for c, g in zip(chunks, got, strict=True) if g is None}
+            new = self._new([c for c, g in known.items() if g is None])
+            known.update(new)
+            got = [known[c] if g is None else g for c, g in zip(chunks, got, strict=True)]
             self.cache.put(new.items())
         return b"".join(got)
 

@@ -50,3 +50,12 @@ def test_changing_operators_gives_memory_back(monkeypatch):
     for owner in ("c", "c", "d"):
         common.worker_state(owner, 1, object)
     assert len(done) == 2
+
+
+def test_aged_cache_keeps_used_words_and_stays_bounded():
+    cache = common.AgedCache(most=8_000)
+    for i in range(1000):
+        assert i == 0 or cache.get("used") or cache.aged("used")
+        cache.put([("used", b"1")] * (i == 0) + [(f"new{i}", b"2")])
+        cache.trim()
+        assert len(cache) + len(cache.older) < 60

@@ -29,6 +29,17 @@ def test_chunks_encode_like_the_library(words, edge_rows):
         assert words.encode(t) == words._bytes(words.ids([t])[0]), t[:50]
 
 
+def test_words_in_use_outlive_a_full_cache(monkeypatch):
+    enc = token_files.ChunkEncoder(WORD)
+    enc.cache.most = enc.words.most = 5_000
+    made, plain = [], enc._plain
+    monkeypatch.setattr(enc, "_plain", lambda c: made.append(c) or plain(c))
+    for i in range(300):
+        text = "again Ünder " + " ".join(f"w{i}x{k}" for k in range(10))
+        assert enc.encode(text) == enc._bytes(enc.ids([text])[0])
+    assert made.count("again") == made.count("Ünder") == 1 and made.count("w7x7") == 1
+
+
 def test_agenda_and_decoding_like_the_library(pieces, edge_rows):
     r = random.Random(1)
     odd = ["".join(r.choice("ab  ▁é日\n\t\x00😀<s>x.12 ") for _ in range(r.randint(0, 12))) for _ in range(500)]
