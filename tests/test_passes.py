@@ -110,3 +110,28 @@ def test_a_forest_counts_its_classes_before_it_deals_rows_out(made, monkeypatch)
     monkeypatch.setattr(CL, "in_parts", lambda d, *a: dealt.append(plain(d, 500)) or dealt[-1])
     CL.fit_random_forest(made, 4, True, 2, 2)
     assert len(dealt) == 1 and "weight" in dealt[0].columns and dealt[0].count() == 3000
+
+
+def test_blocks_are_read_a_few_at_a_time(spark):
+    import pyarrow.parquet as pq
+    from gradus.models import passes
+    from gradus.session import BATCH_BYTES, small_batches
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        rows = spark.range(0, 50 * passes.BLOCK, 1, 1).selectExpr("id % 2 y", "array(double(id), 1D) x")
+        blocks = passes.packed(rows)
+        assert spark.conf.get(key) == f"{BATCH_BYTES}b"
+        one = passes._grouped(blocks.coalesce(1))
+        for df in (blocks, one):
+            groups = [g for f in df.inputFiles() for m in [pq.read_metadata(f.removeprefix("file:"))]
+                      for g in (m.row_group(i).num_rows for i in range(m.num_row_groups))]
+            assert sum(groups) == blocks.count() and max(groups) <= passes.GROUP
+        assert len(groups) > 1
+        assert passes.summed(one, 1, lambda batches: np.array([sum(b.num_rows for b in batches)], float))[0] == 50 * passes.BLOCK
+        spark.conf.set(key, "4k")
+        small_batches(rows)
+        assert spark.conf.get(key) == "4k"
+    finally:
+        spark.conf.set(key, before)
