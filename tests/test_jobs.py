@@ -38,3 +38,19 @@ def test_current_version_reports_other_errors(spark, tmp_path):
     (tmp_path / "pointers" / "v" / "part.json").write_text('{"other": 1}')
     with pytest.raises(AnalysisException):
         current_version(spark, str(tmp_path))
+
+
+def test_kernel_machine_is_fitted_at_full_size(monkeypatch):
+    from types import SimpleNamespace
+    from gradus.plans import QUERIES, training as TR
+    monkeypatch.setattr(TR, "cached_training", lambda spark, sf, sizes, which: SimpleNamespace(predictions=(sizes, which)))
+    assert QUERIES["fit_svm_rbf"](None, "") == (TR.FULL, ("SVM",))
+    assert (TR.FULL.svm_components, TR.FULL.svm_iter) == (300, 100)
+
+
+def test_retrain_job_fits_at_full_size(monkeypatch):
+    from gradus.plans import QUERIES, jobs, q_models, training as TR
+    monkeypatch.setattr(q_models, "scratch_path", lambda spark, name: name)
+    monkeypatch.setattr(q_models, "incidents", lambda spark, sf: sf)
+    monkeypatch.setattr(jobs, "retrain", lambda spark, inc, root, sizes, on_missing: sizes)
+    assert QUERIES["job_retrain"](None, "") == TR.FULL
