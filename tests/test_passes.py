@@ -135,3 +135,22 @@ def test_blocks_are_read_a_few_at_a_time(spark):
         assert spark.conf.get(key) == "4k"
     finally:
         spark.conf.set(key, before)
+
+
+def test_vectors_are_the_same_collected_and_added_by_spark(spark, monkeypatch):
+    rows = passes.packed(spark.range(1000).repartition(5))
+    size = passes.SHORT + 7
+    add = lambda batches: sum((np.bincount(b.column("id").to_numpy() % size, minlength=size) for b in batches), np.zeros(size))
+    def jobs(df):
+        plans, real = [], type(df).toArrow
+        monkeypatch.setattr(type(df), "toArrow", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or real(self))
+        got = passes.summed(df, size, add)
+        monkeypatch.setattr(type(df), "toArrow", real)
+        return got, plans
+    one, (plan,) = jobs(rows)
+    assert "Exchange" not in plan  # one stage for all that the driver can add
+    monkeypatch.setattr(passes, "COLLECTED", size)
+    two, (plan,) = jobs(rows)
+    assert "Exchange" in plan
+    assert (one == two).all() and one.sum() == 1000
+    assert passes.summed(rows.where("false"), size, add).sum() == 0
