@@ -229,3 +229,12 @@ def test_a_stream_follows_the_published_version(spark, prepared, sf_small, tmp_p
     for batch, forest in ((0, forests[0]), (1, forests[1])):
         want = TR.score_corrected(scen, forest, prepared.feature_model, "x").select("incident_id", "p0").collect()
         assert sorted(map(tuple, scored(spark, out).where(F.col("batch") == batch).select("incident_id", "p0").collect())) == sorted(map(tuple, want))
+
+
+def test_fits_run_side_by_side_and_keep_their_order():
+    import threading
+    from gradus.plans.training import FITS, _together
+    met = threading.Barrier(2, timeout=20)  # one at a time, the first fit would wait in vain
+    assert _together([lambda: met.wait() * 0 + 1, lambda: met.wait() * 0 + 2]) == [1, 2] and FITS > 1
+    with pytest.raises(ZeroDivisionError):
+        _together([lambda: 1 // 0, lambda: 1])
