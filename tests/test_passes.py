@@ -154,3 +154,9 @@ def test_vectors_are_the_same_collected_and_added_by_spark(spark, monkeypatch):
     assert "Exchange" in plan
     assert (one == two).all() and one.sum() == 1000
     assert passes.summed(rows.where("false"), size, add).sum() == 0
+
+
+def test_forest_tasks_hold_fewer_rows_of_more_trees():
+    assert CL.forest_rows(1) == CL.forest_rows(20) == CL.FOREST_ROWS
+    size = lambda trees: CL.forest_rows(trees) * (220 + 4 * trees)
+    assert size(500) <= size(20)
